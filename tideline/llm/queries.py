@@ -35,6 +35,12 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm import hyperminhash
+
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm import cross_polytope
 
