@@ -41,6 +41,12 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm import bwt_repeats
+
+    return bwt_repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("removed")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm import toxicity
 
