@@ -83,6 +83,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(~language_id.learnt(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm import decontamination
+
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit() and callable(f)}
 
