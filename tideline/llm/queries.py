@@ -62,6 +62,15 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm import personal_data as pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.find(docs, "text", pii.fit(docs, "doc_id", "text"))
+    counts = [F.size(pii.of_kind("pii_base", k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return done.select("doc_id", *counts, F.sha2(pii.written(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("pii_spans")).alias("spans"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm import sentencepiece_codec
 
