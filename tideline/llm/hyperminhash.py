@@ -8,9 +8,10 @@
    with others is the hub, and pairs are made with the hub only, so that a bucket makes as many pairs as it has rows.
 4. Pairs whose estimate, corrected for chance collisions of registers, lies well below the threshold are left; all
    others are confirmed on their full sets, and the confirmed links make components.
-5. What the hubs cannot tell is finished exactly: members of one bucket that are still in different components take new hubs
-   for as long as the remaining pairs are many, and then every remaining pair is confirmed. No pair that shares a band and could
-   change a component is skipped, and none within a component is needed.
+5. What the hubs cannot tell is finished exactly: of the members of one bucket that are still in different components, every pair is
+   confirmed that its sizes and the number of shingles which no other such text has do not rule out. The join applies that bound, so
+   that a large group of texts that each differ by edits of their own makes few pairs. No pair that shares a band and could change a
+   component is skipped, and none within a component is needed.
 
 The number of rows in a band follows from the threshold: a pair three standard errors below it is missed with a probability under 1e-4.
 
@@ -214,70 +215,61 @@ def _likely(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
     return wide.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(judge, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold; whole texts of the pairs' documents are read again."""
-    pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = staged(full_sets(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, pairs_per_row: int = 2, most_rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for every row of docs.
 
-    Linked are texts with 100 * common >= percent * united shingles. `pairs_per_row` and `most_rounds` only choose between further
-    hubs and finishing all remaining pairs; they do not change the result.
+    Linked are texts with 100 * common >= percent * united shingles.
     """
     threshold = percent / 100
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     base = staged(sketches(texts, words, rows_per_band(threshold)), "sketches")
-    sets = ["n", "fp1", "fp2"]
-    classes = base.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"))
-    members = staged(base.select("doc_id", *sets).join(classes, sets, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    same = ["n", "fp1", "fp2"]
+    classes = base.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    members = staged(base.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     alone = members.where("doc_id = rep").select("doc_id").distinct()
     rows = base.where("n > 0").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = staged(rows.join(shared, "key"), "bands")
-    degree = met.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("degree"))
-    met = staged(met.join(degree, "doc_id").select("key", "doc_id", "degree"), "bands")
-
-    best = F.max(F.struct("degree", -F.col("doc_id")))
-    hubs = met.groupBy("key").agg(best.alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
-    candidates = staged(met.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "candidates")
-    tested, links = candidates, staged(_confirmed(_likely(candidates, base, threshold - SLACK), texts, words, percent), "links")
+    degree = staged(met.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("degree")), "degrees")
+    sets = staged(full_sets(texts.join(degree.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+
+    # Pairs with the hub of each bucket
+    ranked = met.join(degree, "doc_id").select("key", "doc_id", "degree")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
+    tested = staged(met.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "candidates")
+    links = staged(_confirmed(_likely(tested, base, threshold - SLACK), sets, percent), "links")
     labels = connected_components(links)
-    for turn in range(most_rounds + 1):
-        # Buckets whose members are in several components, and the pairs in them that could join these
-        open_rows = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        parts = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", -F.col("doc_id"))).alias("hub"))
-        keys = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.count(F.lit(1)).alias("components")).where("components > 1")
-        left = staged(open_rows.join(keys.select("key", "components"), "key"), "open")
-        todo = keys.agg(F.sum("pairs"), F.count(F.lit(1))).first()
-        if not todo[1]:
-            break
-        if turn < most_rounds and todo[0] > pairs_per_row * left.count():
-            # A new hub for each bucket: of the members that were not hubs before, that with the most company
-            spent = tested.select(F.col("a").alias("doc_id")).distinct()
-            fresh = left.join(spent, "doc_id", "left_anti").groupBy("key").agg(F.max(F.struct("degree", -F.col("doc_id"), "component")).alias("hub"))
-            fresh = fresh.select("key", (-F.col("hub.col2")).alias("a"), F.col("hub.component").alias("ca"))
-            pairs = left.join(fresh, "key").where("ca <> component").select("a", F.col("doc_id").alias("b")).distinct()
-            last = False
-        else:
-            other = left.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            pairs = left.join(other, "key").where("ca <> component AND a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-            last = True
-        old = tested.union(tested.select("b", "a"))
-        pairs = staged(pairs.join(old, ["a", "b"], "left_anti"), "candidates")
-        more = staged(_confirmed(_likely(pairs, base, threshold - SLACK), texts, words, percent), "links")
+
+    # Buckets whose members are still in several components
+    named = labels.withColumnRenamed("id", "doc_id")
+    apart = met.select("key", "doc_id").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    keys = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    apart = staged(apart.join(keys, "key"), "open")
+    if apart.limit(1).count():
+        # What only one of these texts has, it shares with no partner: a bound on what it can have in common
+        ids = apart.select("doc_id").distinct()
+        each = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+        own = each.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("doc_id")).where("texts = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+        sizes = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").cast("long").alias("n"))
+        most = sizes.join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("n"))
+        left = staged(apart.join(most, "doc_id"), "open")
+        x = left.toDF(*[f"{c}_a" if c != "key" else c for c in left.columns])
+        y = left.toDF(*[f"{c}_b" if c != "key" else c for c in left.columns])
+        shared_most = F.least("common_a", "common_b")
+        good = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most))
+        pairs = x.join(y, "key").where(good).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        pairs = staged(pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti"), "candidates")
+        more = staged(_confirmed(_likely(pairs, base, threshold - SLACK), sets, percent), "links")
         if more.limit(1).count():
-            links = links.union(more)
-            labels = connected_components(links)
-        if last:
-            break
-        tested = tested.union(pairs)
-    named = labels.select(F.col("id").alias("rep"), "component")
-    return members.join(named, "rep", "left").select(
+            labels = connected_components(links.union(more))
+    found = labels.select(F.col("id").alias("rep"), "component")
+    return members.join(found, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept")
     )
