@@ -64,13 +64,21 @@ def _hashed(df: DataFrame, text: Column, window: int) -> DataFrame:
 
 
 def _slotted(df: DataFrame, text: Column, window: int) -> DataFrame:
-    """A row for each window: h and its slots, (kind, value) in order of words."""
+    """A row for each window: h and its slots, (kind, value) in order of words; df has short columns only besides the text."""
     both = F.zip_with(_words(canonical(text)), _words(text), lambda c, raw: F.struct(c.alias("c"), F.regexp_replace(F.lower(raw), r"^\p{Punct}++|\p{Punct}++$", "").alias("raw")))
     out = df.withColumn("__pairs", F.filter(both, lambda p: p["c"] != "")).withColumn("__h", _window_hashes(F.col("__pairs.c"), window))
-    out = out.select(*df.columns, "__pairs", F.posexplode("__h").alias("place", "h"))
-    size = F.least(F.lit(window), F.size("__pairs"))
-    marked = F.filter(F.slice("__pairs", F.col("place") + 1, size), lambda p: p["c"].rlike(f"[{NUMBER}{NAME}{UNIT}]"))
-    return out.select(*df.columns, "place", "h", F.transform(marked, lambda p: F.struct(p["c"].alias("kind"), p["raw"].alias("value"))).alias("slots"))
+
+    def slots(i: Column) -> Column:
+        # get() reads one element; slice() would copy the whole array for each window
+        own = F.array(*[F.get("__pairs", i + k) for k in range(window)])
+        marked = F.filter(own, lambda p: p.isNotNull() & p["c"].rlike(f"[{NUMBER}{NAME}{UNIT}]"))
+        return F.transform(marked, lambda p: F.struct(p["c"].alias("kind"), p["raw"].alias("value")))
+
+    # Windows are made within the row, so that no row of a window carries the text's words. The outer form keeps the optimiser from
+    # adding a filter on the array's size, which would make the words again for each window.
+    windows = F.transform("__h", lambda h, i: F.struct(h.alias("h"), slots(i).alias("slots")))
+    short = [c for c in df.columns if c != "text"]
+    return out.select(*short, windows.alias("__windows")).select(*short, F.inline_outer("__windows")).where("h IS NOT NULL")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT, most_broadcast: int = 2_000_000) -> DataFrame:
@@ -88,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    windows = _hashed(body, F.col("text"), window).select("doc_id", F.explode("h").alias("h"))
+    windows = _hashed(body, F.col("text"), window).select("doc_id", F.explode_outer("h").alias("h")).where("h IS NOT NULL")
     hits = windows.join(sent(keys), "h").distinct()
     enough = 100 * F.col("n_found") >= percent * F.col("n_windows")
     found = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found")).join(sent(totals), "item_id").where(enough)
