@@ -65,8 +65,8 @@ def subwords(points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
         yield at, (mixed(h) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and their shares, which for a short text add up to less than one."""
+def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each text its distinct buckets. Each counts 1 / (their number + DAMPING), for a short text less than one together."""
     points, at = letters(*codepoints(data, offsets))
     starts = at + np.arange(len(at))
     found: list[list[np.ndarray]] = [[] for _ in range(len(at) - 1)]
@@ -77,36 +77,35 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     out = []
     for parts in found:
         own = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-        out.append((own, np.full(len(own), 1 / (len(own) + DAMPING), np.float32)))
+        out.append(own)
     return out
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds_shift: float, epochs: int = 5, rate: float = 0.3, batch: int = 64, least_texts: int = 3, seed: int = 7) -> Model:
+def train(texts: list[np.ndarray], labels: np.ndarray, odds_shift: float, epochs: int = 8, rate: float = 0.3, batch: int = 64, least_texts: int = 3, seed: int = 7) -> Model:
     """Adagrad on embedding rows and weights together; odds_shift is added to the learnt bias.
 
     Rows of n-grams in fewer than least_texts texts stay zero: they would carry chance alone.
     """
     rng = np.random.default_rng(seed)
-    spread = np.bincount(np.concatenate([c for c, _ in texts]), minlength=BUCKETS)
+    spread = np.zeros(BUCKETS, np.int32)
+    for c in texts:
+        spread[c] += 1
+    common = spread >= least_texts
     embedding = rng.normal(0, 0.3, (BUCKETS, DIMENSION)).astype(np.float32)
-    embedding[spread < least_texts] = 0
-    texts = [(c[k], s[k]) for c, s in texts for k in [spread[c] >= least_texts]]
+    embedding[~common] = 0
     weights = rng.normal(0, 1, (DIMENSION, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_e = np.full(BUCKETS, 1e-8, np.float32)
     seen_w, seen_b = np.full(weights.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     order = rng.permutation(len(texts))
-    batches = []
-    for a in range(0, len(order), batch):
-        rows = order[a : a + batch]
-        cols = np.concatenate([texts[r][0] for r in rows])
-        share = np.concatenate([texts[r][1] for r in rows])
-        size = np.array([len(texts[r][0]) for r in rows])
-        own, inverse = np.unique(cols, return_inverse=True)
-        batches.append((own, inverse.astype(np.int32), share, np.repeat(np.arange(len(rows), dtype=np.int32), size), labels[rows]))
+    batches = [order[a : a + batch] for a in range(0, len(order), batch)]
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
-            own, inverse, share, text, y = batches[k]
+            y = labels[batches[k]]
+            kept = [texts[r][common[texts[r]]] for r in batches[k]]
+            text = np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept])
+            share = np.array([1 / (len(texts[r]) + DAMPING) for r in batches[k]], np.float32)[text]
+            own, inverse = np.unique(np.concatenate(kept), return_inverse=True)
             rows = embedding[own]
             mean = np.stack([np.bincount(text, share * rows[inverse, d], len(y)) for d in range(DIMENSION)], axis=1).astype(np.float32)
             logit = mean @ weights + bias
@@ -129,7 +128,7 @@ def learnt(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, positives: int = 2500, negatives: int = 5000, longest: int = 60_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, positives: int = 1500, negatives: int = 3000, longest: int = 60_000) -> Model:
     """Learn from labels of rows that `learnt` allows; see the module's docstring for the sample's bounds."""
     own = labels.where(learnt(F.col(doc_id)) & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
@@ -145,15 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         for batch, data, offsets in pieces(batches, "text"):
             got = features(data, offsets)
             at = np.zeros(len(got) + 1, np.int32)
-            np.cumsum([len(c) for c, _ in got], out=at[1:])
-            cols, share = (pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x))) for x in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols, share], names=["id", "y", "cols", "share"])
+            np.cumsum([len(c) for c in got], out=at[1:])
+            cols = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cols], names=["id", "y", "cols"])
 
-    sample = rows.select("id", "y", "text").mapInArrow(extract, "id long, y int, cols array<int>, share array<float>").toArrow().sort_by("id")
+    sample = rows.select("id", "y", "text").mapInArrow(extract, "id long, y int, cols array<int>").toArrow().sort_by("id")
     y = sample["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), math.log(n[1]) - math.log(n[0]))
-    texts = [(c.values.to_numpy(), s.values.to_numpy()) for c, s in zip(sample["cols"], sample["share"], strict=True)]
+    texts = [c.values.to_numpy() for c in sample["cols"]]
     shift = math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))
     return train(texts, y, shift)
 
@@ -167,7 +166,7 @@ def score(docs: DataFrame, text: str, model: Model, keep: tuple[str, ...], name:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_row, bias = shared.value
         for batch, data, offsets in pieces(batches, "__text"):
-            logit = np.array([by_row[c].sum(dtype=np.float64) / (len(c) + DAMPING) for c, _ in features(data, offsets)]) + bias
+            logit = np.array([by_row[c].sum(dtype=np.float64) / (len(c) + DAMPING) for c in features(data, offsets)]) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(logit, -700, 700))))], names=[*keep, name])
 
     return source.mapInArrow(judge, schema)
