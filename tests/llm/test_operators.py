@@ -233,11 +233,11 @@ def test_redaction(spark):
 
 
 def test_boosting_learns_an_interaction(spark):
-    cells = [((a, b), 100, 90 if a == b else 10) for a in (0, 1) for b in (0, 1)] + [((2, 0), 50, 0)]
+    cells = [((a, b), 100, 90 if a and b else 10) for a in (0, 1) for b in (0, 1)] + [((2, 0), 50, 0)]
     m = boosting.fit(cells)
-    assert m.probability((0, 0)) > 0.6 > 0.4 > m.probability((0, 1))
-    row = spark.range(1).select(m.log_odds([F.lit(0), F.lit(0)]).alias("x")).first()
-    assert abs(1 / (1 + np.exp(-row["x"])) - m.probability((0, 0))) < 1e-9
+    assert m.probability((1, 1)) > 0.8 > 0.3 > m.probability((0, 1))
+    row = spark.range(1).select(m.log_odds([F.lit(1), F.lit(1)]).alias("x")).first()
+    assert abs(1 / (1 + np.exp(-row["x"])) - m.probability((1, 1))) < 1e-9
 
 
 # 8

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     if len(n) < 2:
         share = n.get(1, 0) / max(1, sum(n.values()))
-        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), math.log(max(share, 1e-300)) - math.log(max(1 - share, 1e-300)))
+        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), math.log(share / (1 - share)) if 0 < share < 1 else math.inf * (2 * share - 1))
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000))
     limit = F.when(F.col("y") == 1, math.ceil(1e6 * min(1, positives / n[1]))).otherwise(math.ceil(1e6 * min(1, negatives / n[0])))
     chosen = own.where(draw < limit)  # about positives + negatives ids, whatever the input: small enough to send to every task
@@ -167,6 +167,8 @@ def score(docs: DataFrame, text: str, model: Model, keep: tuple[str, ...], name:
         by_row, bias = shared.value
         for batch, data, offsets in pieces(batches, "__text"):
             logit = np.array([by_row[c].sum(dtype=np.float64) / (len(c) + DAMPING) for c in features(data, offsets)]) + bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(logit, -700, 700))))], names=[*keep, name])
+            with np.errstate(over="ignore"):
+                probability = 1 / (1 + np.exp(-logit))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(probability)], names=[*keep, name])
 
     return source.mapInArrow(judge, schema)
