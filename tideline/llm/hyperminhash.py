@@ -259,12 +259,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         own = each.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("doc_id")).where("texts = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
         sizes = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").cast("long").alias("n"))
         most = sizes.join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("n"))
-        left = staged(apart.join(most, "doc_id"), "open")
+        # A pair is made in the first bucket alone that both texts are in
+        own_keys = apart.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        left = staged(apart.join(most.join(own_keys, "doc_id"), "doc_id"), "open")
         x = left.toDF(*[f"{c}_a" if c != "key" else c for c in left.columns])
         y = left.toDF(*[f"{c}_b" if c != "key" else c for c in left.columns])
         shared_most = F.least("common_a", "common_b")
         good = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most))
-        pairs = x.join(y, "key").where(good).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+        pairs = x.join(y, "key").where(good & once).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
         pairs = staged(pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti"), "candidates")
         more = staged(_confirmed(_likely(pairs, base, threshold - SLACK), sets, percent), "links")
         if more.limit(1).count():
