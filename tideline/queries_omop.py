@@ -48,6 +48,17 @@ def source(x: Frames) -> dict[str, DataFrame]:
             F.col("l_orderkey").alias("sheet_key"), F.col("l_linenumber").alias("seq"), F.col("l_orderkey").alias("visit_key"), F.when(F.col("l_orderkey") % 3 == 0, _key("l_orderkey")).alias("anaesthetic_key"),
             (F.col("l_partkey") % 5).alias("kind"), text.alias("text"), at.alias("reading_time"), F.when(F.col("l_suppkey") % 20 == 0, "N").alias("accepted"),
         ),
+        "drugs": lines.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("given_key"), F.col("l_orderkey").alias("visit_key"), (F.col("l_partkey") % 7).alias("drug"), F.lit("a drug").alias("label"),
+            F.col("l_returnflag").alias("action"), F.col("l_linestatus").alias("route"), F.col("l_quantity").alias("amount"), F.col("l_shipdate").alias("given_time"),
+        ),
+        "devices": lines.where("l_orderkey % 3 = 0").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("device_key"), _key("l_orderkey").alias("anaesthetic_key"), (F.col("l_partkey") % 4).alias("device"), F.col("l_shipdate").alias("placed"),
+            F.when(F.col("l_linenumber") == 5, F.lit("2999-01-01").cast("timestamp_ntz")).otherwise(F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber") - 2)).alias("removed"),
+        ),
+        "events": with_order.where("l_orderkey % 3 = 0").select(
+            _key("l_orderkey").alias("anaesthetic_key"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_partkey") % 3 == 0, "view").when(F.col("l_partkey") % 3 == 1, "error").otherwise("click").alias("event_kind"), at.alias("event_time"),
+        ),
     }
 
 
@@ -162,3 +173,30 @@ def o11_pressures(x: Frames) -> DataFrame:
     rows = x.table("lineitem").select(F.col("l_orderkey").alias("sheet_key"), F.col("l_linenumber").alias("seq"), pressures(text).alias("p")).select("sheet_key", "seq", "p.*")
     on = {"concepts": x.spark.createDataFrame([("SITE_SETTING", "CALCULATE_MEAN_PRESSURE", 1)], "vocabulary string, code string, concept long")}
     return rows.withColumn("mean", F.round(F.col("diastolic") + (F.col("systolic") - F.col("diastolic")) / 3, 3)).join(omop.measurement_mean(on, rows).drop("value_as_number"), ["sheet_key", "seq"], "left_semi")
+
+
+@query(
+    f"""WITH {_BASE} SELECT person_id, CAST(coalesce(d.concept, 0) AS BIGINT) AS drug_concept_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, l_quantity AS quantity, CAST(coalesce(r.concept, 0) AS BIGINT) AS route_concept_id, visit_occurrence_id
+FROM lineitem JOIN visit ON o_orderkey = l_orderkey LEFT JOIN map d ON d.vocabulary = 'SITE_DRUG' AND d.code = CAST(l_partkey % 7 AS VARCHAR) LEFT JOIN map r ON r.vocabulary = 'SITE_ROUTE' AND r.code = l_linestatus WHERE l_returnflag IN ('R', 'N')"""
+)
+def o6_drug_exposure(x: Frames) -> DataFrame:
+    t = _run(x, "person", "care_site", "visit_occurrence", "drug_exposure")["drug_exposure"]
+    return t.select("person_id", "drug_concept_id", F.col("drug_exposure_start_date").cast("string").alias("day"), "quantity", "route_concept_id", "visit_occurrence_id")
+
+
+@query(
+    f"""WITH {_BASE}, e AS (SELECT 'A' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, CASE l_partkey % 3 WHEN 0 THEN 61 WHEN 1 THEN 62 END AS concept, o_orderdate + INTERVAL 8 HOUR + to_minutes(l_linenumber * 20) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 = 0)
+SELECT d.person_id, CAST(e.concept AS BIGINT) AS observation_concept_id, e.t AS observation_datetime, d.visit_detail_id, p.procedure_occurrence_id AS observation_event_id FROM e JOIN detail d USING (anaesthetic_key)
+LEFT JOIN proc p ON p.visit_detail_id = d.visit_detail_id AND e.t >= p.s - INTERVAL 30 MINUTE AND (p.e IS NULL OR e.t <= p.e + INTERVAL 30 MINUTE) WHERE e.concept IS NOT NULL"""
+)
+def o14_observation(x: Frames) -> DataFrame:
+    return _run(x, *_TO_DETAIL, "procedure_occurrence", "observation")["observation"].select("person_id", "observation_concept_id", "observation_datetime", "visit_detail_id", "observation_event_id")
+
+
+@query(
+    f"""WITH {_BASE}, v AS (SELECT 'A' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, CASE l_partkey % 4 WHEN 2 THEN 202 WHEN 3 THEN 203 END AS concept, l_shipdate AS a, CASE WHEN l_linenumber >= 2 AND l_linenumber <> 5 THEN l_shipdate + to_days(l_linenumber - 2) END AS b FROM lineitem WHERE l_orderkey % 3 = 0)
+SELECT person_id, CAST(concept AS BIGINT) AS device_concept_id, CAST(CAST(a AS DATE) AS VARCHAR) AS first_day, CAST(CAST(b AS DATE) AS VARCHAR) AS last_day, visit_detail_id FROM v JOIN detail USING (anaesthetic_key) WHERE concept IS NOT NULL"""
+)
+def o15_device_exposure(x: Frames) -> DataFrame:
+    t = _run(x, *_TO_DETAIL, "device_exposure")["device_exposure"]
+    return t.select("person_id", "device_concept_id", F.col("device_exposure_start_date").cast("string").alias("first_day"), F.col("device_exposure_end_date").cast("string").alias("last_day"), "visit_detail_id")
