@@ -290,6 +290,23 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_case_and_with_any_names(spark):
+    train = "A train leaves London at 3 pm and travels 240 km to Paris in 3 hours. How fast does it go on its way?"
+    apples = "Alice has 3 apples. Bob gives Alice 5 apples. How many apples does Alice have in total?"
+    titled = "Why Do Alice and Bob Love Carol More than Dan Eve Frank Grace"
+    items = spark.createDataFrame([(1, train), (2, apples), (3, titled)], "item_id long, text string")
+    other = apples.replace("Alice", "Carol").replace("Bob", "Dan")
+    rows = [
+        (1, train.lower()), (2, train.upper()), (3, apples.lower()), (4, apples.upper()), (5, other), (6, other.lower()), (7, other.upper()), (8, "So. " + other + " ok"), (9, prose(40) + " " + other.lower()),
+        (10, titled.lower()), (11, titled.replace("Alice", "Zoe")), (12, prose(60)), (13, apples.replace("Bob", "Alice")), (14, apples.replace("Alice", "Bob", 1)),
+        (15, "apples are cheap and how many apples does a shop have in total nobody knows"), (16, " ".join(w.title() for w in WORDS[:40])), (17, "Max has 3 pears. Eve takes Max 5 plums. How many pears can Max keep in stock?"),
+    ]
+    want = {(1, 1): False, (2, 1): False, (3, 2): False, (4, 2): False, (5, 2): True, (6, 2): True, (7, 2): True, (8, 2): True, (9, 2): True, (10, 3): False, (11, 3): True, (14, 2): False}
+    for most in (2_000_000, 0):
+        got = {(r["doc_id"], r["item_id"]): r["changed"] for r in decontamination.contaminated(frame(spark, rows), items, most_broadcast=most).collect()}
+        assert got == want
+
+
 def test_text_buffer_of_a_slice():
     from tideline.llm.common import text_buffer
 

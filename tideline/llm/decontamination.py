@@ -7,14 +7,20 @@ the item's distinct windows are found in it; then slots are checked: over all wi
 the text and the other way round (the most frequent pairing counts, ties to the smaller value). Windows with another pairing
 do not count, and the share is taken again.
 
-Plan: a text's window hashes are made within its row, exploded and joined at once with the items' hashes, which are broadcast if they
+Names are told by the item alone: each of its words that begins with a capital and has a small letter is a slot, at the beginning of a sentence too, and
+stands for any one word of a text in any case. A window of an item is hashed without its slots, with their positions as its form, and each
+window of a text is hashed in all forms that the items have. Where slots would leave too little (over half of
+an item's words, or fewer than two other words in a window), a window is found literally in any case, or with
+capitalised words of the text at exactly its slots; a window of slots alone is found literally. An item wholly in capitals has no slots for names.
+
+Plan: a text's word hashes are made within its row, exploded by window, hashed by form and joined at once with the items' hashes, which are broadcast if they
 are counted to be at most `most_broadcast`, and otherwise shuffled. Only texts that pass are read again for their slots.
 
-Template words, by white space: digits (with inner `.,:/`) become one number sign each, a unit right after a number one unit sign, a
-capitalised word that follows no end of sentence one name sign; the rest is lower-cased and loses ASCII punctuation. Words of punctuation alone are dropped.
+Template words, by white space: digits (with inner `.,:/`) become one number sign each, a unit right after a number one unit sign;
+the rest is lower-cased and loses ASCII punctuation. Words of punctuation alone are dropped.
 
 Defined results: null and empty texts hold nothing. An item of fewer words than a window is one window of all its words
-if it has three at least, found only in a text of exactly these words; a shorter one is never found. Repeated items are one item each. Rows that repeat an id are judged together. Null ids are left
+if it has three at least, found only in a text of as many words; a shorter one is never found. Repeated items are one item each. Rows that repeat an id are judged together. Null ids are left
 out. Other columns of either table are not read. Empty tables give no rows.
 """
 
@@ -27,6 +33,7 @@ from tideline.llm.common import staged
 
 WINDOW, PERCENT = 5, 80
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+NAMES = -1  # the form of a window whose slots are the text's own capitalised words
 
 # Units of measure in their common short and long forms
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents degree degrees percent"
@@ -34,10 +41,14 @@ UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gra
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-def canonical(text: Column) -> Column:
-    """The text with placeholders; white space, and so the number of words, stays as it is."""
+def canonical(text: Column, names: bool = False) -> Column:
+    """The text with placeholders in lower case; white space, and so the number of words, stays as it is.
+
+    With `names` a word that begins with a capital and has a small letter also gets the name sign in front.
+    """
     t = F.regexp_replace(text, f"[{NUMBER}{NAME}{UNIT}]", "")
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^.!?:\x20\x09-\x0D]{_SPACE}\p{{Lu}})\p{{Ll}}++(?![^\p{{Punct}}\x20\x09-\x0D])", NAME)
+    if names:
+        t = F.regexp_replace(t, rf"(?<![^\x20\x09-\x0D])(\p{{Punct}}*+)(?=\p{{Lu}}[^\x20\x09-\x0D]*?\p{{Ll}})", f"$1{NAME}")
     t = F.regexp_replace(t, r"[0-9]++(?:[.,:/][0-9]++)*+", NUMBER)
     t = F.regexp_replace(t, rf"(?i)({NUMBER}\p{{Punct}}*+{_SPACE}?)(?:{'|'.join(UNITS.split())})(?![^\p{{Punct}}\x20\x09-\x0D])", f"$1{UNIT}")
     return F.regexp_replace(F.lower(t), r"\p{Punct}++", "")
@@ -47,38 +58,81 @@ def _words(text: Column) -> Column:
     return F.split(text, f"{_SPACE}++")
 
 
-def _window_hashes(words: Column, window: int) -> Column:
-    """Hash of every window of an array column of words; of all words if there are fewer, but at least three."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _windows(words: Column, window: int) -> Column:
+    """Array of (at, w0, w1, ...), a struct for each window; of fewer words than a window, but at least three, one with nulls at its end."""
 
     def windows(h: Column) -> Column:
-        full = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
-        return F.when(F.size(h) >= window, full).when(F.size(h) >= 3, F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(h, lambda x: x.cast("string")), " "))))
-
-    # The hashes are bound once, so that each window reads them and does not make them again
-    return F.flatten(F.transform(F.array(hashes), lambda h: F.coalesce(windows(h), F.array().cast("array<bigint>"))))
-
-
-def _hashed(df: DataFrame, text: Column, window: int) -> DataFrame:
-    return df.withColumn("h", _window_hashes(F.filter(_words(canonical(text)), lambda w: w != ""), window))
-
-
-def _slotted(df: DataFrame, text: Column, window: int) -> DataFrame:
-    """A row for each window: h and its slots, (kind, value) in order of words; df has short columns only besides the text."""
-    both = F.zip_with(_words(canonical(text)), _words(text), lambda c, raw: F.struct(c.alias("c"), F.regexp_replace(F.lower(raw), r"^\p{Punct}++|\p{Punct}++$", "").alias("raw")))
-    out = df.withColumn("__pairs", F.filter(both, lambda p: p["c"] != "")).withColumn("__h", _window_hashes(F.col("__pairs.c"), window))
-
-    def slots(i: Column) -> Column:
+        at = F.when(F.size(h) >= min(3, window), F.sequence(F.lit(0), F.greatest(F.size(h) - window, F.lit(0))))
         # get() reads one element; slice() would copy the whole array for each window
-        own = F.array(*[F.get("__pairs", i + k) for k in range(window)])
-        marked = F.filter(own, lambda p: p.isNotNull() & p["c"].rlike(f"[{NUMBER}{NAME}{UNIT}]"))
-        return F.transform(marked, lambda p: F.struct(p["c"].alias("kind"), p["raw"].alias("value")))
-
-    # Windows are made within the row, so that no row of a window carries the text's words. The outer form keeps the optimiser from
-    # adding a filter on the array's size, which would make the words again for each window.
-    windows = F.transform("__h", lambda h, i: F.struct(h.alias("h"), slots(i).alias("slots")))
-    short = [c for c in df.columns if c != "text"]
-    return out.select(*short, windows.alias("__windows")).select(*short, F.inline_outer("__windows")).where("h IS NOT NULL")
+        return F.transform(at, lambda i: F.struct(i.alias("at"), *[F.get(h, i + k).alias(f"w{k}") for k in range(window)]))
+
+    # The words are bound once, so that each window reads them and does not make them again
+    return F.get(F.transform(F.array(words), windows), F.lit(0))
+
+
+def _named(word: Column) -> Column:
+    return F.startswith(word, F.lit(NAME))
+
+
+def _form(form: int | Column, literal: list[Column], slot: list[Column]) -> Column:
+    """Hash of a window with its slots, whose words are free, left out."""
+    head = F.lit(form) if isinstance(form, int) else form
+    return F.xxhash64(head, *[F.when(s, F.lit(0).cast("long")).otherwise(w) for w, s in zip(literal, slot, strict=True)])
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item_id, w, form, h, item_slots: each window w of an item in each form in which texts may hold it."""
+    both = F.zip_with(_words(canonical(F.col("text"), names=True)), _words(F.col("text")), lambda c, raw: F.struct(c.alias("c"), _bare(raw).alias("raw")))
+    out = items.withColumn("pairs", F.filter(both, lambda p: p["c"] != "")).withColumn("n_names", F.size(F.filter("pairs", lambda p: _named(p["c"]))))
+    out = out.select("item_id", (2 * F.col("n_names") <= F.size("pairs")).alias("few"), F.inline_outer(_windows(F.col("pairs"), window))).where("at IS NOT NULL")
+    words = [F.col(f"w{k}.c") for k in range(window)]
+    literal = [F.when(w.isNull(), F.lit(1).cast("long")).otherwise(F.xxhash64(F.ltrim(w, F.lit(NAME)))) for w in words]
+    slot = [F.coalesce(_named(w), F.lit(False)) for w in words]
+    mask = sum((F.when(s, 1 << k).otherwise(0) for k, s in enumerate(slot)), F.lit(0))
+    n_words = sum((F.when(w.isNotNull(), 1).otherwise(0) for w in words), F.lit(0))
+    free = F.col("few") & (n_words - F.bit_count(mask) >= 2)
+    none = [F.lit(False)] * window
+    form = lambda f, h: F.struct(f.cast("int").alias("form"), h.alias("h"))
+    masked = F.array(form(mask, _form(mask, literal, slot)))
+    whole = _form(0, literal, none)
+    strict = F.when(n_words > F.bit_count(mask), F.array(form(F.lit(0), whole), form(F.lit(NAMES), _form(NAMES, literal, slot)))).otherwise(F.array(form(F.lit(0), whole)))
+    slots = F.array(*[F.struct(F.lit(k).alias("k"), F.when(s, NAME).otherwise(w).alias("kind"), F.col(f"w{k}.raw").alias("value")) for k, (w, s) in enumerate(zip(words, slot, strict=True))])
+    slots = F.filter(slots, lambda s: s["kind"].rlike(f"[{NUMBER}{NAME}{UNIT}]"))
+    out = out.select("item_id", F.when(free, _form(mask, literal, slot)).otherwise(whole).alias("w"), slots.alias("item_slots"), F.when(free, masked).otherwise(strict).alias("forms"))
+    return out.select("item_id", "w", "item_slots", F.inline("forms"))
+
+
+def _bare(raw: Column) -> Column:
+    return F.regexp_replace(F.lower(raw), r"^\p{Punct}++|\p{Punct}++$", "")
+
+
+def _text_windows(df: DataFrame, window: int, forms: list[int], values: bool = False) -> DataFrame:
+    """The columns of df but its text, and h: each window of a text in each of the forms; with `values` also its words as written, and `at`."""
+    names = NAMES in forms
+    kept = [c for c in df.columns if c != "text"]
+    marked = _words(canonical(F.col("text"), names))
+
+    def word(c: Column) -> list[Column]:
+        own = F.ltrim(c, F.lit(NAME)) if names else c
+        return [F.xxhash64(own).alias("h"), *([_named(c).alias("named")] if names else [])]
+
+    if values:
+        both = F.filter(F.zip_with(marked, _words(F.col("text")), lambda c, raw: F.struct(c.alias("c"), raw.alias("raw"))), lambda p: p["c"] != "")
+        words = F.transform(both, lambda p: F.struct(*word(p["c"]), _bare(p["raw"]).alias("raw")))
+    else:
+        words = F.transform(F.filter(marked, lambda c: c != ""), lambda c: F.struct(*word(c)) if names else word(c)[0])
+    # The outer forms keep the optimiser from adding a filter on the array's size, which would make the words again for each window
+    out = df.select(*kept, F.inline_outer(_windows(words, window))).where("at IS NOT NULL")
+    plain = not (names or values)
+    literal = [F.coalesce(F.col(f"w{k}" if plain else f"w{k}.h"), F.lit(1).cast("long")) for k in range(window)]
+
+    # One expression for all forms: a hash for each would make a method too long for the JVM to compile
+    form = F.col("form")
+    slot = [F.coalesce(form.bitwiseAND(1 << k) != 0, F.lit(False)) for k in range(window)]
+    if names:
+        slot = [F.when(form == NAMES, F.coalesce(F.col(f"w{k}.named"), F.lit(False))).otherwise(s) for k, s in enumerate(slot)]
+    more = ["at", F.array(*[F.col(f"w{k}.raw") for k in range(window)]).alias("values")] if values else []
+    return out.withColumn("form", F.explode(F.array(*map(F.lit, forms)))).select(*kept, *more, _form(form, literal, slot).alias("h"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT, most_broadcast: int = 2_000_000) -> DataFrame:
@@ -88,24 +142,26 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """
     body = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     asked = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    of_items = staged(_slotted(asked, F.col("text"), window).select("item_id", "h", F.col("slots").alias("item_slots")), "items")
-    keys = of_items.select("item_id", "h").distinct()
-    totals = keys.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    of_items = staged(_item_windows(asked, window), "items")
+    keys = of_items.select("item_id", "w", "h").distinct()
+    totals = keys.groupBy("item_id").agg(F.countDistinct("w").alias("n_windows"))
+    forms = sorted(r["form"] for r in of_items.select("form").distinct().collect())  # at most 2 ** window
+    if not forms:
+        forms = [0]
     small = of_items.count() <= most_broadcast  # at most some tens of megabytes
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    windows = _hashed(body, F.col("text"), window).select("doc_id", F.explode_outer("h").alias("h")).where("h IS NOT NULL")
-    hits = windows.join(sent(keys), "h").distinct()
+    hits = _text_windows(body, window, forms).join(sent(keys), "h").select("doc_id", "item_id", "w").distinct()
     enough = 100 * F.col("n_found") >= percent * F.col("n_windows")
     found = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found")).join(sent(totals), "item_id").where(enough)
     found = staged(found, "found")
 
     again = body.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    met = _slotted(again, F.col("text"), window).select("doc_id", "h", "slots").join(sent(of_items), "h").join(found, ["doc_id", "item_id"], "left_semi")
-    pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("item"), b["value"].alias("text")))
-    met = staged(met.select("doc_id", "item_id", "h", pair.alias("pairs")), "windows")
+    met = _text_windows(again, window, forms, values=True).join(sent(of_items), "h").join(found, ["doc_id", "item_id"], "left_semi")
+    pair = F.transform("item_slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("item"), F.get("values", s["k"]).alias("text")))
+    met = staged(met.select("doc_id", "item_id", "w", "at", pair.alias("pairs")).distinct(), "windows")
     votes = met.select("doc_id", "item_id", F.explode("pairs").alias("p")).groupBy("doc_id", "item_id", "p").agg(F.count(F.lit(1)).alias("n"))
     # The best partner of each value, in both directions; the smaller value wins a tie
     order = F.struct((-F.col("n")).alias("n"), F.col("p"))
@@ -114,7 +170,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     kept = forth.join(back, ["doc_id", "item_id", "p"]).groupBy("doc_id", "item_id").agg(F.collect_list("p").alias("kept"))
     judged = met.join(kept, ["doc_id", "item_id"], "left").withColumn("good", F.forall("pairs", lambda p: F.coalesce(F.array_contains("kept", p), F.lit(False))))
     counted = judged.groupBy("doc_id", "item_id").agg(
-        F.countDistinct(F.when(F.col("good"), F.col("h"))).alias("n_consistent"),
+        F.countDistinct(F.when(F.col("good"), F.col("w"))).alias("n_consistent"),
         F.max(F.size(F.coalesce("kept", F.array()))).cast("long").alias("n_slots"),
         F.coalesce(F.max(F.exists("kept", lambda p: p["item"] != p["text"])), F.lit(False)).alias("changed"),
     )
