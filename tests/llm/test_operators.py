@@ -171,6 +171,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in toxicity.score(df, "text", toxicity.fit(df, labels.limit(0), "doc_id", "text", "toxic"), ("doc_id",)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_long_texts_and_a_whole_sample(spark):
+    rows = [(i, " ".join([prose(14_000), "vile scum" * (i % 2)] + ["vile"] * (3000 * (i % 2)))) for i in range(40)]
+    assert min(len(t) for _, t in rows) > 60_000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, "doc_id", "text", "toxic")
+    assert model.log_odds_by_row().any()
+    ids = [(i, "vile scum" if i % 3 == 0 else "w1 w2") for i in range(12_000)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12_000)], "doc_id long, toxic int")
+    seen = []
+    train, toxicity.train = toxicity.train, lambda texts, y, shift: seen.append(y) or train(texts[:50], y[:50], shift)
+    try:
+        toxicity.fit(frame(spark, ids), labels, "doc_id", "text", "toxic")
+    finally:
+        toxicity.train = train
+    assert 2300 < seen[0].sum() < 2700 and 4700 < (1 - seen[0]).sum() < 5300
+
+
 # 6
 
 

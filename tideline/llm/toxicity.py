@@ -5,7 +5,7 @@ table. The mean of a text's distinct rows goes through a linear softmax of two c
 misspelling that was never seen shares most n-grams, and so most of its vectors, with what was. Since the mean and the
 layer are both linear, a row adds one number to the log odds; scoring adds those over the whole text.
 
-Training uses a bounded sample, about `positives` and `negatives` labelled texts drawn by a hash of the id, of at most `longest` bytes each; the sample's class
+Training uses a bounded sample, about `positives` and `negatives` labelled texts drawn by a hash of the id, whatever their length (a text has at most BUCKETS distinct rows); the sample's class
 shares are corrected to those of all labelled rows. Scoring has no bound and no shuffle.
 
 Defined results: null and empty texts, and texts without letters, have the score of the bias alone. Without labels of both
@@ -128,7 +128,7 @@ def learnt(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, positives: int = 1500, negatives: int = 3000, longest: int = 60_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, positives: int = 2500, negatives: int = 5000) -> Model:
     """Learn from labels of rows that `learnt` allows; see the module's docstring for the sample's bounds."""
     own = labels.where(learnt(F.col(doc_id)) & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000))
     limit = F.when(F.col("y") == 1, math.ceil(1e6 * min(1, positives / n[1]))).otherwise(math.ceil(1e6 * min(1, negatives / n[0])))
     chosen = own.where(draw < limit)  # about positives + negatives ids, whatever the input: small enough to send to every task
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
