@@ -102,9 +102,32 @@ def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     rows = [(4, "a b c d"), (4, "a b c d"), (9, "a b c d"), (None, "z z")]
     got = hyperminhash.near_duplicates(frame(spark, rows)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (4, 4), (4, 4), (9, 4)]
+    # An id with two texts carries the components of both
+    rows = [(2, "a b c d e"), (5, "a b c d e"), (5, "p q r s t"), (8, "p q r s t"), (None, "p q r s t"), (None, "k l m"), (None, "k l m")]
+    got = hyperminhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([("2", "2", True), ("5", "2", False), ("5", "5", True), ("8", "5", False), ("None", "5", False), ("None", "None", True), ("None", "None", True)])
+    left = hyperminhash.one_of_each(frame(spark, [*rows, (2, "a b c d e"), (7, None), (7, None)]), words=3, percent=85).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == [("2", "a b c d e"), ("5", "p q r s t"), ("7", "None"), ("7", "None"), ("None", "k l m")]
     assert hyperminhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_in_one_large_group(spark):
+    """Texts at many distances from one base, whose edits are partly shared: hubs leave much open, the prefix join must find the rest."""
+    base = prose(120).split()
+    shared = [[R.randrange(118), f"s{k}"] for k in range(12)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for k in R.sample(range(12), R.randrange(5)):
+            w[shared[k][0]] = shared[k][1]
+        for _ in range(R.randrange(9)):
+            w[R.randrange(118)] = f"own{i}" if i % 3 else "any"
+        rows.append((i, " ".join(w[: R.choice([120, 120, 104])])))
+    for percent, words in ((85, 3), (80, 5)):
+        got = hyperminhash.near_duplicates(frame(spark, rows), words=words, percent=percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, percent, words)
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2)

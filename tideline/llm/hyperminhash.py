@@ -8,16 +8,18 @@
    with others is the hub, and pairs are made with the hub only, so that a bucket makes as many pairs as it has rows.
 4. Pairs whose estimate, corrected for chance collisions of registers, lies well below the threshold are left; all
    others are confirmed on their full sets, and the confirmed links make components.
-5. What the hubs cannot tell is finished exactly: of the members of one bucket that are still in different components, every pair is
-   confirmed that its sizes and the number of shingles which no other such text has do not rule out. The join applies that bound, so
-   that a large group of texts that each differ by edits of their own makes few pairs. No pair that shares a band and could change a
-   component is skipped, and none within a component is needed.
+5. What the hubs cannot tell is finished exactly by a prefix join. Of the texts in buckets that still hold several components, shingles
+   are ordered from the rarest to the most frequent. Texts that link share a shingle within the first few of both, and what
+   comes before the first shared one is shared by neither, which bounds what the two can have in common. The join is by shingle and class
+   of size, applies that bound, and leaves out pairs within a component: a pair of the component that is largest under a key is never made. A large group of
+   texts that each differ by edits of their own so makes few pairs, whether the edits' shingles are unique or shared with some others.
 
 The number of rows in a band follows from the threshold: a pair three standard errors below it is missed with a probability under 1e-4.
 
 Defined results: a text without words, or null, has an empty set and is its own component; with fewer words than a shingle
-has, the whole sequence is one shingle. Rows that repeat an id are one document each and share its component. A null id is kept as a class that no component
-starts from unless it is alone. Columns other than id and text are not read.
+has, the whole sequence is one shingle. Every row is a document: rows that repeat an id are judged by their own texts and carry the smallest id that each of
+these reaches. A null id counts as larger than any other: a component of null ids alone has a null component_id. Kept are rows whose id is their component_id,
+nulls equal. Columns other than id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import mixed, pieces, staged
@@ -156,7 +158,7 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, rows: int) -> DataFrame:
-    """doc_id, n, fp1, fp2, keys (band hashes), sketch (512 bytes) of docs with columns doc_id and text."""
+    """row, doc_id, text_key, n, fp1, fp2, keys (band hashes), sketch (512 bytes) of docs with columns doc_id, text_key and text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
@@ -174,34 +176,36 @@ def sketches(docs: DataFrame, words: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(_as_long(np.array(one, np.uint64))),
                     pa.array(_as_long(np.array(two, np.uint64))),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))),
                     pa.array(regs, pa.binary()),
                 ],
-                names=["doc_id", "n", "fp1", "fp2", "keys", "sketch"],
+                names=["doc_id", "text_key", "n", "fp1", "fp2", "keys", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, fp1 long, fp2 long, keys array<long>, sketch binary")
+    found = docs.select("doc_id", "text_key", "text").mapInArrow(sketch, "doc_id long, text_key long, n long, fp1 long, fp2 long, keys array<long>, sketch binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and the distinct shingle hashes of its text."""
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """row and the distinct shingle hashes of its text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
             found = shingle_sets(data, offsets, words)
             at = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(s) for s in found], out=at[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(_as_long(np.concatenate(found))))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(_as_long(np.concatenate(found))))], names=["row", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>")
+    return texts.select("row", "text").mapInArrow(sets, "row long, shingles array<long>")
 
 
 def _likely(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose estimate is at least `least`."""
-    side = base.select("doc_id", "n", "sketch")
+    side = base.select("row", "n", "sketch")
     wide = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,64 +219,126 @@ def _likely(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
     return wide.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(judge, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, together: int = 500) -> DataFrame:
+    """Pairs whose full sets reach the threshold. The set of `a` goes out once for about `together` of its partners, not with each of them."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts"))
+    heads = parts.join(sets.toDF("a", "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    partners = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    partners = partners.join(sets.toDF("b", "shingles"), "b").select("a", "part", "b", "shingles")
+    met = heads.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for every row of docs.
-
-    Linked are texts with 100 * common >= percent * united shingles.
-    """
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.int64)
+        for batch in batches:
+            a, b, shingles = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+            at, flat, whole = shingles.offsets.to_numpy(), shingles.values.to_numpy(), b.is_null().to_pylist()
+            good = np.zeros(len(batch), bool)
+            for k in range(len(batch)):
+                own = flat[at[k] : at[k + 1]]
+                if whole[k]:
+                    head = own.copy()
+                    continue
+                common = len(head) + len(own) - len(np.unique(np.concatenate([head, own])))
+                good[k] = 100 * common >= percent * (len(head) + len(own) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), b.filter(pa.array(good))], names=["a", "b"])
+
+    return met.mapInArrow(judge, "a long, b long")
+
+
+def _open_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (row, component) of different components which the prefix join cannot rule out; see 5 above."""
+    each = sets.join(members, "row").select("row", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    # What only one of these texts has, it shares with no partner, and a text with much of that links with none
+    spread = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "spread")
+    rare = each.join(spread, "h").groupBy("row").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("rare"))
+    rare = rare.where(100 * F.size("rare") >= percent * F.col("n"))
+    own = F.col("n") - F.size("rare")
+    longest = F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1  # texts that link share one of these, the rarest
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    prefix = rare.select("row", "component", "n", own.alias("own"), F.slice("rare", 1, longest - own).alias("rare")).join(size, "component")
+    prefix = prefix.select("row", "n", F.struct("members", "component").alias("of"), F.posexplode("rare").alias("at", "shingle"), "own")
+    # With all before this shingle unshared, a partner may have so many shingles at most
+    place = F.col("own") + F.col("at")
+    most = F.floor((F.col("n") - place) * (100 + percent) / percent).cast("int") - F.col("n")
+    prefix = staged(prefix.select("row", "n", "of", F.col("shingle.h").alias("h"), most.alias("most")), "prefix")
+
+    def step(n: Column) -> Column:
+        return F.floor(F.log(n) / math.log(1.05)).cast("int")
+
+    least, upper = F.ceil(percent * F.col("n") / 100), F.least("n", "most")
+    larger = prefix.where(upper >= least).withColumn("class", F.explode(F.sequence(step(least), step(upper))))
+    smaller = prefix.where("most >= n").withColumn("class", step(F.col("n")))
+    key = ["h", "class"]
+    # Under each key the texts of one component meet the others only: those of the component with the most members
+    first = staged(smaller.groupBy(*key).agg(F.max("of").alias("first")), "first")
+    x = larger.join(first, key).withColumn("side", F.explode(F.when(F.col("of") == F.col("first"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    y = smaller.join(first, key).withColumn("side", F.when(F.col("of") == F.col("first"), 0).otherwise(1))
+    x = x.select(*key, "side", F.col("row").alias("x"), F.col("n").alias("nx"), F.col("of").alias("ox"), F.col("most").alias("mx"))
+    y = y.select(*key, "side", F.col("row").alias("y"), F.col("n").alias("ny"), F.col("of").alias("oy"), F.col("most").alias("my"))
+    may = (F.col("ox") != F.col("oy")) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my")) & (100 * F.col("ny") >= percent * F.col("nx")) & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
+    return x.join(y, [*key, "side"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85) -> DataFrame:
+    """row, doc_id, text_key (xxhash64 of the text), n, group (equal for the rows of a component), component_id: a row for every row of docs, written."""
     threshold = percent / 100
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     base = staged(sketches(texts, words, rows_per_band(threshold)), "sketches")
     same = ["n", "fp1", "fp2"]
-    classes = base.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    members = staged(base.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    alone = members.where("doc_id = rep").select("doc_id").distinct()
-    rows = base.where("n > 0").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    classes = staged(base.where("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
+    rows = base.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    shared = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     met = staged(rows.join(shared, "key"), "bands")
-    degree = staged(met.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("degree")), "degrees")
-    sets = staged(full_sets(texts.join(degree.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    degree = staged(met.groupBy("row").agg(F.sum(F.col("size") - 1).alias("degree")), "degrees")
+    wanted = base.join(degree, "row", "left_semi").select("row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    held = texts.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["row"])
+    sets = staged(full_sets(held, words), "sets")
 
     # Pairs with the hub of each bucket
-    ranked = met.join(degree, "doc_id").select("key", "doc_id", "degree")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
-    tested = staged(met.join(hubs, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "candidates")
-    links = staged(_confirmed(_likely(tested, base, threshold - SLACK), sets, percent), "links")
+    ranked = met.join(degree, "row").select("key", "row", "degree")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("row"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
+    tested = staged(met.join(hubs, "key").where("a <> row").select("a", F.col("row").alias("b")).distinct(), "candidates")
+    links = staged(_confirmed(staged(_likely(tested, base, threshold - SLACK), "likely"), sets, percent), "links")
     labels = connected_components(links)
 
-    # Buckets whose members are still in several components
-    named = labels.withColumnRenamed("id", "doc_id")
-    apart = met.select("key", "doc_id").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # Texts in buckets that hold several components still
+    apart = met.select("key", "row").join(labels.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     keys = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    apart = staged(apart.join(keys, "key"), "open")
-    if apart.limit(1).count():
-        # What only one of these texts has, it shares with no partner: a bound on what it can have in common
-        ids = apart.select("doc_id").distinct()
-        each = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-        own = each.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("doc_id")).where("texts = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-        sizes = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").cast("long").alias("n"))
-        most = sizes.join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("n"))
-        # A pair is made in the first bucket alone that both texts are in
-        own_keys = apart.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-        left = staged(apart.join(most.join(own_keys, "doc_id"), "doc_id"), "open")
-        x = left.toDF(*[f"{c}_a" if c != "key" else c for c in left.columns])
-        y = left.toDF(*[f"{c}_b" if c != "key" else c for c in left.columns])
-        shared_most = F.least("common_a", "common_b")
-        good = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most))
-        once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
-        pairs = x.join(y, "key").where(good & once).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        pairs = staged(pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti"), "candidates")
-        more = staged(_confirmed(_likely(pairs, base, threshold - SLACK), sets, percent), "links")
+    members = staged(apart.join(keys, "key", "left_semi").select("row", "component").distinct(), "open")
+    if members.limit(1).count():
+        pairs = _open_pairs(sets, members, percent).join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
+        likely = staged(_likely(staged(pairs, "candidates"), base, threshold - SLACK), "likely")
+        more = staged(_confirmed(likely, sets, percent), "links")
         if more.limit(1).count():
             labels = connected_components(links.union(more))
-    found = labels.select(F.col("id").alias("rep"), "component")
-    return members.join(found, "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept")
-    )
+    found = classes.join(labels.toDF("rep", "component"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    least = found.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    found = staged(found.join(least, "group").select(*same, "group", "component_id"), "components")
+    out = base.select("row", "doc_id", "text_key", *same).join(found, same, "left")
+    return out.select("row", "doc_id", "text_key", "n", F.coalesce("group", "row").alias("group"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for every row of docs.
+
+    Linked are texts with 100 * common >= percent * united shingles.
+    """
+    return judged(docs, doc_id, text, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that with the smallest id (null last); of rows equal in id and text one stays."""
+    rows = staged(judged(docs, doc_id, text, words, percent), "judged")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("text_key"))
+    first = rows.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    first = staged(first.select("group", "first.doc_id", "first.text_key"), "first")
+    own = rows.join(first.select("group", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "group")
+    chosen = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    gone = own.where(~chosen).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    again = own.where(chosen).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    gone, again = staged(gone, "gone"), staged(again, "again")
+    here = (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("_key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
+    left = docs.join(gone, here, "left_anti")
+    if not again.limit(1).count():
+        return left
+    return left.join(again, here, "left_anti").union(left.join(again, here, "left_semi").dropDuplicates([doc_id, text]))
