@@ -2,8 +2,8 @@
 
 Texts become lower-case letters with single spaces for all else; n-grams of one to three of these characters are hashed
 into a fixed number of buckets. Fitting counts buckets by language on a bounded sample of the labelled rows (`per_language` texts of
-each language, chosen by a hash of the id); the log-probability matrix, languages x buckets, is broadcast. Scoring adds the
-matrix columns of a text's n-grams, batch by batch in numpy, over the whole text.
+each language, chosen by a hash of the id); the log-probability matrix, languages x buckets, is broadcast. Scoring counts the
+buckets of each text, batch by batch in numpy and over the whole text, and multiplies these sparse counts with the matrix.
 
 Defined results: a null text, or one without a letter, is 'und' with score 0; so is every text if nothing was learned.
 Equal posteriors go to the language that sorts first. The score is the posterior probability of the answer.
@@ -29,6 +29,8 @@ from tideline.llm.common import codepoints, mixed, pieces, segment_sums
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
+#: Positions that are counted at a time: bounds the memory of a worker, whatever a text's length and the number of languages.
+BLOCK = 1 << 17
 UNDETERMINED = "und"
 
 
@@ -81,7 +83,7 @@ def learnt(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(True))
 
 
-def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int = 4000, most_languages: int = 1000) -> Model:
+def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int = 4000, most_languages: int = 200) -> Model:
     """Learn from at most about per_language texts of each language; more than most_languages labels are an error."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counted = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(most_languages + 1).collect()}
@@ -116,18 +118,31 @@ def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: in
     return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(total / total.sum()))
 
 
+def _counted(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse counts of the texts' n-grams as (text, bucket, times), for BLOCK positions at a time; a text may go over several blocks."""
+    for a in range(0, len(points), BLOCK):
+        b = min(a + BLOCK, len(points))
+        codes = []
+        for n in ORDERS:
+            h = ngrams(points[a : b + n - 1], n)
+            place = np.arange(a, a + len(h))
+            text = np.searchsorted(at, place, "right") - 1
+            whole = place + n <= at[text + 1]  # an n-gram doesn't cross the end of its text
+            codes.append(text[whole] * BUCKETS + h[whole])
+        code, times = np.unique(np.concatenate(codes), return_counts=True)
+        yield code // BUCKETS, code % BUCKETS, times
+
+
 def _judge(points: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text its best language, that language's posterior, and whether it has a letter."""
     scores = np.tile(model.prior, (len(at) - 1, 1))
     lettered = segment_sums((points != 32).astype(np.int64), at) > 0
-    table = np.ascontiguousarray(model.log_probability.T)
-    for n in ORDERS:
-        h = ngrams(points, n)
-        whole = np.zeros((len(h) + 1, len(model.languages)))
-        np.cumsum(table[h], axis=0, dtype=np.float64, out=whole[1:])
-        first = np.minimum(at[:-1], len(h))
-        last = np.clip(at[1:] - n + 1, first, len(h))
-        scores += whole[last] - whole[first]
+    for text, bucket, times in _counted(points, at):
+        if len(text):
+            low = text[0]
+            for k, row in enumerate(model.log_probability):
+                sums = np.bincount(text - low, times * row[bucket].astype(np.float64))
+                scores[low : low + len(sums), k] += sums
     best = scores.argmax(axis=1)
     posterior = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
     return best, posterior, lettered
