@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,16 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; a single longer text is one step by itself.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset, as in local tests, a temporary folder is made and set for the session.
+    Where it is unset a local session, whose tasks run in the driver, gets a temporary folder; on a cluster that would not do and is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -71,6 +75,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def freed() -> None:
+    """Give unused memory of this worker back, for the JVM beside it and for the worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]]; an empty segment has 0."""
     out = np.zeros(len(offsets) - 1, values.dtype)
@@ -81,8 +93,11 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of Arrow batches with the bytes and offsets of their text column, about CHUNK_BYTES each."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
-        for a, b in slices(offsets):
-            yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    """Slices of Arrow batches with the bytes and offsets of their text column, about CHUNK_BYTES each; the task's memory is given back at its end."""
+    try:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
+            for a, b in slices(offsets):
+                yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    finally:
+        freed()

@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import slices, text_buffer
+from tideline.llm.common import freed, slices, text_buffer
 
 SPACE = "▁"
-#: Segments and neighbour pairs that a Python worker remembers; what was remembered before that is kept once more.
-REMEMBERED = 500_000
+#: Bytes of segments that a Python worker remembers; as many that were remembered before are kept once more. A task frees both at its end.
+REMEMBERED_BYTES = 20 << 20
+#: Neighbour pairs that it remembers, of about 100 bytes each.
+REMEMBERED_PAIRS = 60_000
 
 
 @dataclass(frozen=True)
@@ -145,7 +147,7 @@ class Encoder:
             if fits and before >= 0:
                 fits = known.get(before << 20 | token)
                 if fits is None:
-                    if len(known) >= REMEMBERED:
+                    if len(known) >= REMEMBERED_PAIRS:
                         known.clear()
                     fits = known[before << 20 | token] = self._compatible(before, token)
             if fits:
@@ -210,33 +212,45 @@ def cuts(text: str) -> list[str]:
 class _Remembered(dict):
     """Ids of a segment as little-endian int32 bytes."""
 
+    #: What a string, its ids and their place in the dictionary take besides their own bytes.
+    EACH = 150
+
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
         ids = self.older.get(segment)
         if ids is None:
             got = self.encoder.segment(segment)
             ids = pack(f"<{len(got)}i", *got)
         if len(segment) <= 64:
+            self.held += self.EACH + 2 * len(segment) + len(ids)
+            if self.held > REMEMBERED_BYTES:
+                self.older = dict(self)
+                super().clear()
+                self.held = 0
             self[segment] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.older, self.held = {}, 0
+        self.encoder.compatible.clear()
+
 
-_WORKER: dict[int, _Remembered] = {}
+_ENCODER: dict[int, Encoder] = {}
 
 
-def _remembered(vocabulary: Vocabulary) -> _Remembered:
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of one vocabulary, which a Python worker keeps: about 20 MB, by the vocabulary alone."""
     key = hash((vocabulary.pieces, vocabulary.scores))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = _Remembered(Encoder(vocabulary))
-    return _WORKER[key]
+    if key not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[key] = Encoder(vocabulary)
+    return _ENCODER[key]
 
 
 def surfaces(vocabulary: Vocabulary) -> pa.Array:
@@ -294,8 +308,7 @@ def _lossy(ids: np.ndarray, vocabulary: Vocabulary, table: pa.Array) -> str:
     return text[1:] if len(ids) and vocabulary.pieces[int(ids[0])].startswith(SPACE) else text
 
 
-def _encoded(column: pa.Array, vocabulary: Vocabulary) -> pa.LargeListArray:
-    remembered = _remembered(vocabulary)
+def _encoded(column: pa.Array, remembered: _Remembered) -> pa.LargeListArray:
     rows = [b"".join([remembered[s] for s in cuts(t)]) if t else b"" for t in column.to_pylist()]
     offsets = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
@@ -315,13 +328,18 @@ def encode_decode(df: DataFrame, text: str, model_path: str, ids: str = "piece_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         table = surfaces(vocabulary)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            _, offsets = text_buffer(column)
-            for a, b in slices(offsets):
-                got = _encoded(column.slice(a, b - a), vocabulary)
-                texts = decode_arrays(got, vocabulary, table)
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], got.cast(pa.list_(pa.int32())), texts], names=[*keep, ids, decoded])
+        remembered = _Remembered(_encoder(vocabulary))
+        try:
+            for batch in batches:
+                column = batch.column(batch.num_columns - 1)
+                _, offsets = text_buffer(column)
+                for a, b in slices(offsets):
+                    got = _encoded(column.slice(a, b - a), remembered)
+                    texts = decode_arrays(got, vocabulary, table)
+                    yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], got.cast(pa.list_(pa.int32())), texts], names=[*keep, ids, decoded])
+        finally:
+            remembered.clear()
+            freed()
 
     return source.mapInArrow(encode, schema)
 
