@@ -12,8 +12,9 @@ without a copy. Consecutive strings of a text with the same anchor make a contex
    between them then share at least `length` bytes.
 4. All repeated strings of a context hold its anchor, so that together they cover one range; ranges are merged by text.
 
-A group of contexts with one anchor that is larger than `HOT_BYTES` is not sent to one task: its strings are hashed (128 bits) and counted
-by Spark's aggregation instead, which combines equal strings before the shuffle.
+A group of contexts with one anchor that is larger than `HOT_BYTES` is not sent to one task. Each of its strings gets a further anchor, by another order of the
+hashes, and contexts are cut anew by both; equal ones are one again, and what is still too large is split in this way up to `SPLITS` times. Groups that
+resist all of that (none in any test data) are hashed (128 bits) string by string and counted by Spark's aggregation.
 
 Defined results: a null text is empty; a text shorter than `length` loses nothing; matches never cross texts. Rows that
 repeat an id and a text are two documents with the same result. Columns other than id and text are not read.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from tideline.llm.common import mixed, pieces, staged
 GRAM = 64
 BLOCK_BYTES = 2 << 20
 HOT_BYTES = 4 << 20
-_PLACE = np.uint64((1 << 28) - 1)
+SPLITS = 3
+#: A place within the texts of one step; as many bits as the length of a Spark string needs.
+_PLACE = np.uint64((1 << 31) - 1)
 #: Between the contexts of a block; no byte of UTF-8.
 _BORDER = b"\xff"
 
@@ -63,7 +67,7 @@ class RangeHash:
             out = np.full(size, np.uint64(base & 0xFFFFFFFFFFFFFFFF))
             out[0] = 1
             have = np.cumprod(out, dtype=np.uint64)
-            if size <= 4 << 20:
+            if size <= 1 << 20:
                 cls._powers[base] = have
         return have[:n]
 
@@ -72,8 +76,8 @@ class RangeHash:
         return mixed((self.sums[end] - self.sums[start]) * back + (end - start).astype(np.uint64))
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """text, first and last start of its strings, anchor's place, anchor's hash: a row for each context of the texts."""
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int, turn: int = 0) -> tuple[np.ndarray, ...]:
+    """text, first and last start of its strings, anchor's place, anchor's hash: a row for each context of the texts. Each turn orders hashes in its own way."""
     sizes = np.diff(offsets)
     per_text = np.maximum(sizes - length + 1, 0)
     none = np.zeros(0, np.int64)
@@ -82,6 +86,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     one = RangeHash(data, 0)
     every = np.arange(len(data) - GRAM + 1)
     hashes = one.of(every, every + GRAM)
+    if turn:
+        hashes = mixed(hashes + np.uint64(turn * _STEPS[0] & (1 << 64) - 1))
     least = (hashes & ~_PLACE) | every.astype(np.uint64)
     width, need = 1, length - GRAM + 1
     while width * 2 <= need:
@@ -252,8 +258,51 @@ def expanded(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("fp").sortWithinPartitions("fp").mapInArrow(expand, _SPANS)
 
 
+def split_anew(parts: DataFrame, length: int, turn: int) -> DataFrame:
+    """parts(doc_id, text_hash, lo, fp, raw) cut by a further anchor: the same columns, and c1 and c2, which equal contexts share."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                one = batch.slice(a, 1024)
+                raw = one.column(4).cast(pa.large_binary())
+                data, offsets = b"".join(raw.to_pylist()), np.zeros(len(one) + 1, np.int64)
+                np.cumsum([len(x) for x in raw.to_pylist()], out=offsets[1:])
+                found = np.frombuffer(data, np.uint8)
+                text, lo, hi, at, fp = contexts(found, offsets, length, turn)
+                if not len(text):
+                    continue
+                c = [RangeHash(found, k).of(lo, hi + length) for k in range(2)]
+                c[0] = mixed(c[0] + (at - lo).astype(np.uint64))
+                both = mixed(one.column(3).to_numpy().view(np.uint64)[text] + mixed(fp ^ np.uint64(turn)))
+                own = pa.array(text)
+                start = one.column(2).to_numpy()[text] + (lo - offsets[text]).astype(np.int32)
+                cuts = [data[x:y] for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([one.column(0).take(own), one.column(1).take(own), pa.array(start.astype(np.int32)), pa.array(both.view(np.int64)), pa.array(cuts, pa.binary()), *[pa.array(x.view(np.int64)) for x in c]], names=["doc_id", "text_hash", "lo", "fp", "raw", "c1", "c2"])
+
+    return parts.mapInArrow(split, "doc_id long, text_hash long, lo int, fp long, raw binary, c1 long, c2 long")
+
+
+def split_spans(hot: DataFrame, length: int, hot_bytes: int) -> list[DataFrame]:
+    """Spans of the contexts of anchors that are too large for one task, split by further anchors; see the module's docstring."""
+    columns, spans = ["doc_id", "text_hash", "lo", "fp", "raw"], []
+    for turn in range(1, SPLITS + 1):
+        parts = staged(split_anew(hot.select(*columns), length, turn), "parts")
+        same = ["fp", "c1", "c2"]
+        kinds = staged(parts.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("first"), F.max(F.length("raw")).alias("size")), "kinds")
+        spans.append(parts.join(kinds.where("n > 1").select(*same), same).select("doc_id", "text_hash", F.col("lo").alias("start"), (F.col("lo") + F.length("raw")).alias("end")))
+        anchors = staged(kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.sum("size").alias("bytes")).where("kinds > 1 AND least = 1").select("fp", "bytes"), "anchors")
+        left = parts.join(kinds.select(*same, "first"), same).where(F.struct("doc_id", "text_hash", "lo").eqNullSafe(F.col("first"))).join(anchors, "fp").select(*columns, "bytes")
+        left = staged(left, "left")
+        spans.append(expanded(left.where(F.col("bytes") <= hot_bytes).select(*columns), length))
+        hot = left.where(F.col("bytes") > hot_bytes)
+        if not hot.limit(1).count():
+            return spans
+    return [*spans, counted(hot.select(*columns), length)]
+
+
 def counted(parts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: strings are hashed and counted by the engine."""
+    """Spans of contexts whose strings are hashed and counted by the engine, for anchors that further anchors don't split."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,14 +329,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     whole = staged(found_contexts(texts, length), "contexts")
     each = whole.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.*")
-    again = each.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # Written by itself, so that the join below can be split where one anchor has very many contexts
+    again = staged(each.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "anchors")
     each = staged(each.join(again, "fp"), "contexts")
     same = ["fp", "c1", "c2"]
     kinds = staged(each.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "lo", "hi")).alias("first")), "contexts")
     copies = each.join(kinds.where("n > 1").select(*same), same).select("doc_id", "text_hash", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     size = F.col("first.hi") - F.col("first.lo") + length
     open_anchors = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.sum(size).alias("bytes")).where("kinds > 1 AND least = 1")
-    wanted = kinds.join(open_anchors.select("fp", "bytes"), "fp").select("first.*", "fp", "bytes")
+    wanted = kinds.join(staged(open_anchors.select("fp", "bytes"), "anchors"), "fp").select("first.*", "fp", "bytes")
     wanted = staged(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi", "fp", "bytes")).alias("wanted")), "wanted")
     copies = staged(copies, "spans")
 
@@ -315,11 +365,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cuts = _same(one, wanted, "inner").select("doc_id", "text_hash", "text", "wanted").mapInArrow(cut, "doc_id long, text_hash long, lo int, fp long, raw binary, bytes long")
     cuts = staged(cuts, "cuts")
     columns = ["doc_id", "text_hash", "lo", "fp", "raw"]
-    spans = copies.union(expanded(cuts.where(F.col("bytes") <= hot_bytes).select(*columns), length))
+    spans = [copies, expanded(cuts.where(F.col("bytes") <= hot_bytes).select(*columns), length)]
     hot = cuts.where(F.col("bytes") > hot_bytes).select(*columns)
     if hot.limit(1).count():
-        spans = spans.union(counted(hot, length))
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans += split_spans(hot, length, hot_bytes)
+    spans = staged(reduce(DataFrame.union, spans), "spans").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
