@@ -159,7 +159,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [bwt_repeats.HOT_BYTES, 0])
+@pytest.mark.parametrize("hot", [bwt_repeats.HOT_BYTES, 3000, 0])
 def test_repeats(spark, hot):
     passage = prose(120)
     rows = [(0, "a" * 1500), (1, "ab" * 500), (2, None), (3, ""), (4, "x" * 399), (5, "é" * 500), (6, "é" * 200 + "q" + "é" * 250), (7, "abc" * 300 + "z" * 100), (7, "abc" * 300 + "z" * 100), (8, "z" * 100 + "abc" * 300)]
@@ -265,6 +265,38 @@ def test_personal_data(spark):
     assert personal_data.find(df.limit(0), "text", personal_data.fit(df.limit(0), "doc_id", "text")).count() == 0
 
 
+def test_personal_data_adds_what_the_rules_miss(spark):
+    def digits(n):
+        return "".join(R.choice("0123456789") for _ in range(n))
+
+    def card(good=True):
+        body = digits(15)
+        s = sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(int(c) for c in reversed(body)))
+        return body + str((-s + (0 if good else 3)) % 10)
+
+    rows = []
+    for i in range(1200):
+        kind = (f"{R.choice(WORDS)}.x{i}@mail{i % 9}.example.com", card(), f"+1 ({digits(3)}) 555-{digits(4)}", ".".join(str(R.randrange(256)) for _ in range(4)))[i % 4]
+        rows.append((i, f"{prose(12)} and {kind} {prose(3)} at noon. Then {R.randrange(1900, 2030)} of {R.randrange(3000)} {prose(4)}"))
+    odd = {5001: "anna.x9 (at) mail4.example (dot) com", 5002: card(False), 5003: f"1 ({digits(3)}) 555-{digits(4)}", 5004: "bob.x7 at mail3 dot example dot com"}
+    rows += [(i, f"{prose(8)} and {t} {prose(8)}") for i, t in odd.items()] + [(6000, "we met at home. Then in 1999 and 2004 about 1200 came at noon. Later 37,500 left")]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r for r in personal_data.find(df, "text", personal_data.fit(df, "doc_id", "text")).collect()}
+    text = dict(rows)
+    for i, t in odd.items():
+        assert not got[i]["pii_base"] and [text[i][s["start"] : s["end"]] for s in got[i]["pii_spans"]] == [t], i
+    assert not [text[i][s["start"] - 5 : s["end"]] for i in (*range(1200), 6000) for s in got[i]["pii_spans"] if s not in got[i]["pii_base"]]
+
+
+def test_rewritten_spans_are_where_they_are_said_to_be(spark):
+    text = "é a.b@c.de x +1 (956) 555-0122, 4207051279108084 y 1.2.3.4"
+    df = spark.range(4).select(personal_data.rewritten(F.lit(text), personal_data.base_spans(F.lit(text)), F.col("id").cast("int")).alias("r"))
+    want = [["a.b (at) c (dot) de", "1 (956) 555-0122"], ["a.b at c dot de", "1 (956) 555-0122"], ["a.b[at]c.de", "1 (956) 555-0122"], ["a.b @ c.de", "1 (956) 555-0122"]]
+    for r, w in zip(df.collect(), want, strict=True):
+        shown = [r["r"]["text"][s["start"] : s["end"]] for s in r["r"]["spans"]]
+        assert shown[:2] == w and shown[2][:-1] == "420705127910808" and shown[3] == "1.2.3.4"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("x a@b.c y 1.2.3.4 z",), ("é",)], "text string")
     none = personal_data.Model((boosting.Model(0.0, ()),) * 4, (None,) * 4)

@@ -44,7 +44,9 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm import bwt_repeats
 
-    return bwt_repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("removed")
+    done = bwt_repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    runs = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
+    return done.withColumn("removed", runs).withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = pii.find(docs, "text", pii.fit(docs, "doc_id", "text"))
     counts = [F.size(pii.of_kind("pii_base", k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return done.select("doc_id", *counts, F.sha2(pii.written(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("pii_spans")).alias("spans"))
+    return done.select("doc_id", *counts, F.sha2(pii.written(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
