@@ -1,8 +1,11 @@
 """Corpus pipeline over documents: language ID, near-duplicates, decontamination, personal data, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again as the next stage's docs. All but the
-last return the columns of documents. Rows whose id repeats are judged by id in the near-duplicate stage: of a group of
-near-copies the row or rows with the smallest id stay.
+last return the columns of documents.
+
+Defined results: rows are judged one by one, by their own texts, so that null and repeated ids do no harm. A null text, or one without a letter, goes in the first
+stage. Of a group of near-copies the row with the smallest id stays (null last); of rows that are equal in id and text one stays. A text of any length is judged as a
+whole. Columns other than those of documents are dropped; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +31,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each group of near-copies: five-word shingles, similarity 0.8."""
-    classes = hyperminhash.near_duplicates(docs, words=5, percent=80)
-    gone = classes.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return hyperminhash.one_of_each(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that hold no benchmark item."""
-    held = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*COLUMNS)
+    key = F.xxhash64("doc_id", "text")  # a row is judged by its own text, whether its id is null or repeated
+    held = decontamination.contaminated(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key").select("key").distinct()
+    return docs.join(held, key == F.col("key"), "left_anti").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

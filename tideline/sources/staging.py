@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,15 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
+    """df written as Parquet under spark.checkpoint.dir and read back.
+
+    Where that is unset a local session, whose tasks run in the driver, gets a temporary folder; on a cluster it is refused.
+    """
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", path)
     to = f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
