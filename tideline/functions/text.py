@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,9 +47,40 @@ def composite_key(*parts: Column) -> Column:
 
 
 def local_key(salt: str, mapping: str, code: Column) -> Column:
-    """An opaque key for a source code: 'k' and 15 hex digits of a salted SHA-256; NULL stays NULL."""
-    inside = F.concat(F.lit(f'["{salt}", "{mapping}", "'), code.cast("string"), F.lit('"]'))
-    return F.concat(F.lit("k"), F.substring(F.sha2(inside, 256), 1, 15))
+    """An opaque key for a source code: 'k' and 15 hex digits of the SHA-256 of salt, mapping and code as a JSON list; NULL stays NULL.
+
+    The code is written with JSON's escapes, so that quotes and backslashes in it do no harm.
+    """
+    head = json.dumps([salt or "", mapping], ensure_ascii=False)[:-1]
+    text = F.regexp_replace(code.cast("string"), r'(["\\\\])', r"\\$1")
+    for c in range(32):
+        text = F.replace(text, F.lit(chr(c)), F.lit(json.dumps(chr(c))[1:-1]))
+    return F.concat(F.lit("k"), F.substring(F.sha2(F.concat(F.lit(head + ', "'), text, F.lit('"]')), 256), 1, 15))
+
+
+UNLISTED = "unlisted"
+
+
+def listed_key(salt: str, mapping: str, code: Column, listed: Sequence[str]) -> Column:
+    """The opaque key of a code that the mapping lists, 'unlisted' for any other; NULL stays NULL."""
+    text = code.cast("string")
+    return F.when(text.isin(list(listed)), local_key(salt, mapping, text)).when(text.isNotNull(), F.lit(UNLISTED))
+
+
+def closed_kind(code: Column, kinds: Mapping[str, Sequence[str]] | None) -> Column:
+    """The kind that lists a code, else 'other'. Without kinds a code is 'other' and NULL stays NULL."""
+    if kinds is None:
+        return F.when(code.isNotNull(), F.lit("other"))
+    out = F
+    for kind, codes in kinds.items():
+        out = out.when(code.cast("string").isin(list(codes)), F.lit(kind))
+    return out.otherwise(F.lit("other")) if kinds else F.lit("other")
+
+
+def under_one_year(birth: Column, at: Column) -> Column:
+    """Whether the first birthday is not reached, by dates written as yyyymmdd; one on 29 February is reached on 1 March."""
+    written = lambda d: F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+    return written(at) - written(birth) < 10000
 
 
 def pressures(text: Column) -> Column:

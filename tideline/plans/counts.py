@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.time import minutes_between
+from tideline.functions.time import seconds_between
 from tideline.operators.intervals import KEY
 
 
@@ -59,20 +59,21 @@ def band_of(value: Column, bands: Sequence[tuple[int, str]], last: str) -> Colum
     return out.otherwise(F.lit(last))
 
 
-GAP_BANDS = ((2, "under 2"), (6, "2 to 5"), (16, "6 to 15"), (61, "16 to 60"))
+# Bands of seconds between readings, as labels of the result
+GAP_BANDS = ((1, "the same time"), (120, "under 2 minutes"), (301, "2 to 5 minutes"), (901, "over 5 and up to 15 minutes"))
 
 
-def gaps(readings: DataFrame, bands: Sequence[tuple[int, str]] = GAP_BANDS, last: str = "over 60") -> DataFrame:
-    """Gaps in minutes between consecutive accepted readings of an episode and kind, by kind, year and band."""
-    own = Window.partitionBy(KEY, "kind").orderBy("reading_time", "reading_key")
-    rows = readings.where("accepted = 1").withColumn("before", F.lag("reading_time").over(own)).where("before IS NOT NULL")
-    rows = rows.withColumn("band", band_of(minutes_between(F.col("before"), F.col("reading_time")), bands, last))
+def gaps(readings: DataFrame, mean_kinds: Sequence[str], bands: Sequence[tuple[int, str]] = GAP_BANDS, last: str = "over 15 minutes") -> DataFrame:
+    """Gaps between consecutive mean pressures of an episode and kind, accepted or not, by kind, year and band."""
+    own = Window.partitionBy(KEY, "kind").orderBy("reading_time")
+    rows = readings.where(F.col("kind").isin(list(mean_kinds)) & F.col("reading_time").isNotNull()).withColumn("before", F.lag("reading_time").over(own)).where("before IS NOT NULL")
+    rows = rows.withColumn("band", band_of(seconds_between(F.col("before"), F.col("reading_time")), bands, last))
     return rows.groupBy("kind", F.year("reading_time").cast("long").alias("year"), "band").agg(F.count(F.lit(1)).alias("gaps"))
 
 
-def outside(readings: DataFrame, episodes: DataFrame) -> DataFrame:
-    """By year of start: readings of an episode, those before its start and those after its stop."""
-    rows = readings.join(episodes.select(KEY, "start_time", "stop_time"), KEY)
+def outside(readings: DataFrame, episodes: DataFrame, mean_kinds: Sequence[str]) -> DataFrame:
+    """By year of start: mean pressures of an episode, those before its start and those after its stop."""
+    rows = readings.where(F.col("kind").isin(list(mean_kinds))).join(episodes.where("start_time IS NOT NULL").select(KEY, "start_time", "stop_time"), KEY)
     t = F.col("reading_time")
     return rows.groupBy(F.year("start_time").cast("long").alias("year")).agg(
         F.count(F.lit(1)).alias("readings"), F.count_if(t < F.col("start_time")).alias("before_start"), F.count_if(t > F.col("stop_time")).alias("after_stop")
@@ -94,6 +95,20 @@ def cliffs(counts: DataFrame, total: str, figures: Sequence[str], period: str =
     return rows.where((F.col("_high") <= fraction * F.col("best")) & (short >= shortfall)).select(period, "figure", "share", "best")
 
 
+def outside_shares(outside_counts: DataFrame, period: str = "year", most: float = 0.25) -> DataFrame:
+    """Periods whose share of readings before the start or after the stop lies `most` or more above the least share: period, share, least."""
+    rows = outside_counts.where("readings > 0").withColumn("share", (F.col("before_start") + F.col("after_stop")) / F.col("readings"))
+    rows = rows.withColumn("least", F.min("share").over(Window.partitionBy(F.lit(1))))  # a row for each period
+    return rows.where(F.col("share") - F.col("least") >= most).select(period, "share", "least")
+
+
+def absent_kinds(readings: DataFrame, coverage: DataFrame, mean_kinds: Sequence[str], least: int = 10) -> DataFrame:
+    """kind, year: years of `least` or more episodes in which a mean kind that other years hold has no reading. coverage: (year, episodes)."""
+    held = readings.where(F.col("kind").isin(list(mean_kinds)) & F.col("reading_time").isNotNull()).select("kind", F.year("reading_time").cast("long").alias("year")).distinct()
+    years = coverage.where(F.col("episodes") >= least).select("year")
+    return held.select("kind").distinct().join(F.broadcast(years), how="cross").join(held, ["kind", "year"], "left_anti")  # a few kinds by a few years
+
+
 def shares(counts: DataFrame, total: str, figures: Sequence[str]) -> DataFrame:
     """Each figure as whole per cents of the total; NULL for an empty group."""
     return counts.select(*[c for c in counts.columns if c not in figures], *[F.round(100 * F.try_divide(F.col(f), F.col(total)), 0).cast("long").alias(f"{f}_percent") for f in figures])

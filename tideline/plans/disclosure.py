@@ -20,12 +20,17 @@ def floored(df: DataFrame, group: str, figures: Sequence[str] = (), step: int =
     return df.where(F.col(group) >= step).withColumns({group: down(group)} | {c: small(c) for c in figures})
 
 
-def listable(columns: Sequence[tuple[str, str]], private: Sequence[str] = ("PERSON", "NAME", "COMMENT", "NOTE", "TEXT", "RECORD_NO"), longest: int = 200) -> list[str]:
+# Parts of names of columns whose values are never listed
+NEVER_LISTED = ("NAME", "COMMENT", "ADDR", "TEXT", "NOTE", "DESC", "EMAIL", "PHONE")
+
+
+def listable(columns: Sequence[tuple[str, str]], private: Sequence[str] = NEVER_LISTED, longest: int = 70) -> list[str]:
     """Names of columns (name, type) whose values may be listed: none about persons or free text, none of long text."""
     import re
 
     def wide(kind: str) -> bool:
         n = re.search(r"\((\d+)\)", kind)
-        return bool(n) and kind.lower().startswith("varchar") and int(n[1]) > longest
+        text = re.match(r"n?(?:var)?char", kind.lower())
+        return bool(text) and ("max" in kind.lower() or (bool(n) and int(n[1]) > longest))
 
     return [name for name, kind in columns if not any(p in name.upper() for p in private) and not wide(kind)]

@@ -1,30 +1,60 @@
-"""Scoring phrases against many descriptions with BM25 over postings, a bonus for words in order, and the best k for each phrase."""
+"""Scoring phrases against many descriptions: stems, BM25 over postings, a bonus for words in order, a factor by type, the best k for each phrase."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.5
 
-# Words that mean the same once their endings are off
-SYNONYMS = {"died": "death", "dead": "death", "born": "birth", "began": "start", "begin": "start", "commence": "start", "end": "stop", "ended": "stop", "finish": "stop", "id": "identifier", "key": "identifier"}
-STOP = "a an and are as at be by for from has in is it of on or that the this to was were which with".split()
+#: Left out by default: words that carry no meaning alone.
+STOP = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+
+_VOWEL = "(?:[aeiou]|(?<=.)y)"
+
+
+def stem(word: Column) -> Column:
+    """The first step of Porter's stemmer (1980): plurals, then -eed, -ed and -ing with the stem's repair, then a final y. A y is a vowel but at the front."""
+
+    def without(w: Column, ending: str, to: str = "") -> Column:
+        return F.regexp_replace(w, f"{ending}$", to)
+
+    plural = F.when(word.endswith("sses") | word.endswith("ies"), without(word, "es")).when(word.endswith("ss"), word).otherwise(without(word, "s"))
+
+    def repaired(s: Column) -> Column:
+        twice = s.rlike(r"([b-df-hj-kmnp-rtv-x])\1$")
+        short = s.rlike("^[^aeiou]+[aeiouy][^aeiouwxy]$")
+        return F.when(s.rlike("(?:at|bl|iz)$") | short, F.concat(s, F.lit("e"))).when(twice, without(s, ".")).otherwise(s)
+
+    verb = F.when(plural.endswith("eed"), F.when(plural.rlike(f"{_VOWEL}[^aeiou].*eed$"), without(plural, "d")).otherwise(plural))
+    for ending in ("ed", "ing"):
+        verb = verb.when(plural.rlike(f"{_VOWEL}.*{ending}$"), repaired(without(plural, ending)))
+    verb = verb.otherwise(plural)
+    return F.when(verb.rlike(f"{_VOWEL}.*y$"), without(verb, "y", "i")).otherwise(verb)
 
 
-def stemmed(word: Column) -> Column:
-    """A word without its plural, -ing, -ed or final e, as one chain of replacements."""
-    w = F.when(word.rlike("^..+ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y")).when(word.rlike("[^s]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
-    w = F.when(w.rlike("ing$") & (F.length(w) > 5), F.regexp_replace(w, "ing$", "")).when(w.rlike("ed$") & (F.length(w) > 4), F.regexp_replace(w, "ed$", "")).otherwise(w)
-    w = F.when(w.rlike(r"([^aeiouls])\1$") & (F.length(w) >= 4), F.regexp_replace(w, r"([^aeiouls])\1$", "$1")).otherwise(w)
-    return F.when(w.rlike("e$") & (F.length(w) > 3), F.regexp_replace(w, "e$", "")).otherwise(w)
+def words(text: Column, spellings: Mapping[str, str] | None = None, abbreviations: Mapping[str, str] | None = None, synonyms: Mapping[str, str] | None = None, stop: Sequence[str] = STOP) -> Column:
+    """Array of stems of a text's runs of letters, lower-cased, without stop words.
 
+    The caller's tables say which spellings are one word, what an abbreviation stands for (one or more words), and which stems mean the same. They are
+    parameters of a site and small: literals of the plan.
+    """
 
-def words(text: Column) -> Column:
-    """Array of stems of the letters' runs, lower-cased, without stop words; synonyms are one word."""
-    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(STOP))
-    same = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
-    return F.transform(found, lambda w: F.coalesce(F.try_element_at(same, stemmed(w)), stemmed(w)))
+    def looked_up(table: Mapping[str, str] | None, w: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), w), w) if table else w
+
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    full = F.flatten(F.transform(runs, lambda w: F.split(looked_up(abbreviations, looked_up(spellings, w)), " ")))
+    kept = F.filter(full, lambda w: ~w.isin(list(stop)))
+    return F.transform(kept, lambda w: looked_up(synonyms, stem(w)))
+
+
+def described(name: Column, description: Column, **tables) -> Column:
+    """The words of a name, which count twice, and of its description."""
+    own = words(name, **tables)
+    return F.concat(own, own, words(description, **tables))
 
 
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -47,17 +77,29 @@ def bm25(queries: DataFrame, query: str, query_tokens: Column, docs: DataFrame,
 
 
 def in_order(phrase: Column, tokens: Column, gap: int = 2) -> Column:
-    """Whether the words of phrase appear in tokens in order, at most `gap` words between neighbours; each word takes its nearest place."""
-    n = F.size(tokens)
+    """Whether the phrase's words stand in tokens in order, with at most `gap` words between neighbours.
+
+    One pass over the tokens keeps, for each beginning of the phrase, the last place where it ends; the latest place is the best for what follows.
+    """
+    n = F.size(phrase)
+    placed = F.transform(tokens, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("place")))
+    none = F.transform(phrase, lambda _: F.lit(0))
+
+    def step(ends: Column, token: Column) -> Column:
+        def end(old: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.get(ends, k - 1))
+            follows = (k == 0) | ((before > 0) & (token["place"] - before <= gap + 1))
+            return F.when((F.get(phrase, k) == token["word"]) & follows, token["place"]).otherwise(old)
+
+        return F.transform(ends, end)
+
+    return F.coalesce(F.get(F.aggregate(placed, none, step), n - 1) > 0, F.lit(False))
 
-    def follow(at: Column, word: Column) -> Column:
-        window = F.slice(tokens, at + 1, F.lit(gap + 1))
-        place = F.array_position(window, word)
-        return F.when((at > 0) & (at <= n) & (place > 0), (at + place).cast("int")).otherwise(F.lit(0))
 
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(tokens, i - 1) == F.get(phrase, F.lit(0)))
-    rest = F.slice(phrase, 2, F.greatest(F.size(phrase) - 1, F.lit(0)))
-    return (F.size(phrase) > 0) & F.exists(F.transform(starts, lambda s: F.aggregate(rest, s.cast("int"), follow)), lambda x: x > 0)
+def with_order(scores: DataFrame, phrase: Column, tokens: Column, bonus: float = 2.0, gap: int = 2) -> DataFrame:
+    """Scores with `in_order`, and `bonus` added where the phrase's words, two at least, stand in order."""
+    found = scores.withColumn("in_order", (F.size(phrase) > 1) & in_order(phrase, tokens, gap))
+    return found.withColumn("score", F.col("score") + F.when(F.col("in_order"), bonus).otherwise(0.0))
 
 
 def best(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:

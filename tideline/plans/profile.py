@@ -11,8 +11,12 @@ from tideline.functions.time import minutes_between
 from tideline.plans.counts import band_of
 from tideline.plans.disclosure import floored
 
-SPAN_BANDS = ((0, "before"), (1, "0"), (16, "1 to 15"), (31, "16 to 30"), (61, "31 to 60"), (121, "61 to 120"), (241, "121 to 240"), (481, "241 to 480"), (1441, "481 to 1440"), (10081, "1441 to 10080"))
-FANOUT_BANDS = ((2, "1"), (6, "2 to 5"), (21, "6 to 20"), (101, "21 to 100"))
+# Bands of minutes and of rows for a key, as labels of the results
+SPAN_BANDS = (
+    (0, "less than zero minutes"), (15, "under 15 minutes"), (30, "15 to 29 minutes"), (60, "30 to 59 minutes"), (120, "60 to 119 minutes"), (240, "120 to 239 minutes"),
+    (480, "240 to 479 minutes"), (1440, "8 to 23 hours"), (4320, "1 to 2 days"), (10080, "3 to 6 days"),
+)
+FANOUT_BANDS = ((2, "1 row"), (3, "2 rows"), (6, "3 to 5 rows"), (11, "6 to 10 rows"))
 
 
 def row_count(df: DataFrame, step: int = 10) -> DataFrame:
@@ -37,8 +41,9 @@ def years(df: DataFrame, column: str) -> DataFrame:
     return floored(g, "rows")
 
 
-def values(df: DataFrame, column: str, labels: DataFrame | None = None, most_distinct: int = 200) -> DataFrame | None:
-    """value, label, rows, floored; None if the column has more than most_distinct values. labels: (code, label)."""
+def values(df: DataFrame, column: str, labels: DataFrame | None = None, most_distinct: int = 200, defining: bool = False) -> DataFrame | None:
+    """value, label, rows, floored; None if the column has more than most_distinct values, or 5,000 for the key of a table of definitions. labels: (code, label)."""
+    most_distinct = 5000 if defining else most_distinct
     if df.select(column).distinct().limit(most_distinct + 1).count() > most_distinct:
         return None
     g = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
@@ -49,14 +54,14 @@ def values(df: DataFrame, column: str, labels: DataFrame | None = None, most_dis
 def spans(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows by minutes from start to end in eleven bands."""
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    g = rows.groupBy(band_of(minutes_between(F.col(start), F.col(end)), SPAN_BANDS, "over 10080").alias("band")).agg(F.count(F.lit(1)).alias("rows"))
+    g = rows.groupBy(band_of(minutes_between(F.col(start), F.col(end)), SPAN_BANDS, "a week or more").alias("band")).agg(F.count(F.lit(1)).alias("rows"))
     return floored(g, "rows")
 
 
 def fanout(df: DataFrame, key: str) -> DataFrame:
     """Key values by the number of rows that hold each; no key is returned."""
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    g = per_key.groupBy(band_of(F.col("n"), FANOUT_BANDS, "over 100").alias("band")).agg(F.count(F.lit(1)).alias("keys"))
+    g = per_key.groupBy(band_of(F.col("n"), FANOUT_BANDS, "11 or more rows").alias("band")).agg(F.count(F.lit(1)).alias("keys"))
     return floored(g, "keys")
 
 
@@ -89,5 +94,10 @@ def flag_probe(df: DataFrame, flag: str) -> DataFrame:
 
 
 def sampled(df: DataFrame, percent: float, seed: int = 1) -> DataFrame:
-    """About that share of the rows; counts of it are scaled by 100 / percent by the caller."""
+    """About that share of the rows; see `scaled` for counts of it."""
     return df.sample(fraction=percent / 100, seed=seed)
+
+
+def scaled(counts: DataFrame, figures: Sequence[str], percent: float) -> DataFrame:
+    """Counts of a sample as those of the whole, to whole rows."""
+    return counts.withColumns({c: F.round(F.col(c) * (100 / percent), 0).cast("long") for c in figures})

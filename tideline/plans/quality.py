@@ -104,8 +104,11 @@ def canonical(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema:
         c = F.col(f.name)
-        if isinstance(f.dataType, T.NumericType):
-            t = F.regexp_replace(F.round(c, 6).cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+        if isinstance(f.dataType, T.FractionalType):
+            written = F.regexp_replace(F.round(c, 6).try_cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+            t = F.coalesce(written, c.cast("string"))  # NaN, infinities and numbers beyond that width are written as they are
+        elif isinstance(f.dataType, T.NumericType):
+            t = c.cast("string")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             t = F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"(\.[0-9]*?)0+$", "$1")
             t = F.rtrim(t, F.lit("."))
@@ -121,6 +124,26 @@ def differences(found: DataFrame, expected: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("unexpected")).unionByName(b.exceptAll(a).withColumn("side", F.lit("missing")))
 
 
+def same_value(found: Column, expected: Column, number: bool, tolerance: float = 1e-6) -> Column:
+    """Whether two values agree: numbers to `tolerance` of the expected one or of 1, if that is more; NULL with NULL alone, NaN with NaN."""
+    if not number:
+        return found.cast("string").eqNullSafe(expected.cast("string"))
+    a, b = found.try_cast("double"), expected.cast("double")
+    close = F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(b))
+    return F.when(expected.isNull() | found.isNull(), expected.isNull() & found.isNull()).otherwise(F.coalesce(a.eqNullSafe(b) | close, F.lit(False)))
+
+
+def unlike(found: DataFrame, expected: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key, columns: rows of expected that found lacks (columns NULL), has in excess, or holds with other values, numbers within a relative tolerance."""
+    rest = [f for f in expected.schema.fields if f.name not in key]
+    a = found.select(*key, F.struct(*[F.col(f.name) for f in rest]).alias("_a"), F.lit(True).alias("_in_a"))
+    b = expected.select(*key, F.struct(*[F.col(f.name) for f in rest]).alias("_b"), F.lit(True).alias("_in_b"))
+    joined = a.join(b, list(key), "full")
+    wrong = F.array_compact(F.array(*[F.when(~same_value(F.col("_a")[f.name], F.col("_b")[f.name], isinstance(f.dataType, T.NumericType)), F.lit(f.name)) for f in rest]))
+    out = joined.withColumn("columns", F.when(F.col("_in_a") & F.col("_in_b"), wrong))
+    return out.where("columns IS NULL OR size(columns) > 0").select(*key, "columns")
+
+
 @dataclass(frozen=True)
 class Stage:
     """One step of a waterfall: a join that must find a partner, or a condition; a name to charge the loss to."""
@@ -153,21 +176,48 @@ def waterfall(source: DataFrame, key: str, stages: Sequence[Stage]) -> DataFrame
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """rows, digest: a digest of the rows as a multiset; partial sums only, nothing is sorted."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in df.columns]).cast("decimal(38,0)")
+    """rows, digest: a digest of the rows as a multiset; partial sums only, nothing is sorted. A NULL is hashed as such in its place, since the hash skips it."""
+    h = F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
 
 
-def judged_rules(results: DataFrame, permitted: DataFrame) -> DataFrame:
-    """results(check, table, field, category, failed) by category: passed, permitted, failed. Permitted names may hold `*`; an empty field stands for any."""
-    like = lambda c: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("*")), r"([.^$+?()\[\]{}|\\])", r"\\$1"), r"\*", ".*"), F.lit("$"))
-    p = F.broadcast(permitted.select(*[like(F.col(c)).alias(f"_{c}") for c in ("check", "table", "field")]))
-    match = F.expr("check RLIKE _check AND table RLIKE _table AND coalesce(field, '') RLIKE _field")
-    bad = results.where("failed = 1")
-    excused = bad.join(p, match, "left_semi").withColumn("outcome", F.lit("permitted"))
-    other = bad.join(p, match, "left_anti").withColumn("outcome", F.lit("failed"))
-    rows = results.where("failed = 0").withColumn("outcome", F.lit("passed")).unionByName(excused).unionByName(other)
-    return rows.groupBy("category").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("passed", "permitted", "failed")])
+#: What a rule's result can be, in the order in which its marks count.
+OUTCOMES = ("passed", "failed", "could_not_run", "did_not_finish", "not_applicable")
+
+
+def judged_rules(results: DataFrame, permitted: DataFrame, most_permitted: int = 10_000) -> DataFrame:
+    """results(check, table, field, category, failed, is_error, error, not_applicable) by category: checks, one count for each of OUTCOMES, expected and unexpected.
+
+    A rule that failed, could not run or did not finish is expected if a permitted row matches it, and unexpected otherwise. Permitted names
+    are patterns of any case with `*` and `?`; an empty field stands for any. is_error, error and not_applicable may be absent.
+    """
+    if permitted.limit(most_permitted + 1).count() > most_permitted:
+        raise ValueError(f"more than {most_permitted} permitted failures")
+
+    def pattern(c: Column) -> Column:
+        plain = F.regexp_replace(F.coalesce(c, F.lit("*")), r"([.^$+()\[\]{}|\\])", r"\\$1")
+        return F.concat(F.lit("(?is)^"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+
+    own = {c: F.col(c) if c in results.columns else F.lit(None).cast("string") for c in ("is_error", "error", "not_applicable")}
+    yes = lambda c: F.coalesce(F.lower(F.trim(c.cast("string"))).isin("1", "true", "yes"), F.lit(False))
+    late = F.contains(F.lower(F.coalesce(own["error"].cast("string"), F.lit(""))), F.lit("statement timeout"))
+    outcome = F.when(yes(own["is_error"]), F.when(late, "did_not_finish").otherwise("could_not_run")).when(yes(own["not_applicable"]), "not_applicable").when(yes(F.col("failed")), "failed").otherwise("passed")
+    rows = results.withColumn("outcome", outcome).withColumn("_bad", F.col("outcome").isin("failed", "could_not_run", "did_not_finish"))
+    # The rules' names are few; each is matched once, not each result
+    p = F.broadcast(permitted.select(*[pattern(F.col(c)).alias(f"_{c}") for c in ("check", "table", "field")]))
+    names = rows.where("_bad").select("check", "table", "field").distinct()
+    match = F.expr("coalesce(check, '') RLIKE _check AND coalesce(table, '') RLIKE _table AND coalesce(field, '') RLIKE _field")
+    known = names.join(p, match, "left_semi").select(*[F.col(c).alias(f"_{c}") for c in ("check", "table", "field")], F.lit(True).alias("_known"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("check", "table", "field")]
+    judged = rows.join(known, same[0] & same[1] & same[2], "left")
+    bad, expected = F.col("_bad"), F.col("_known").isNotNull()
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+    return judged.groupBy(F.coalesce("category", F.lit("no category")).alias("category")).agg(F.count(F.lit(1)).alias("checks"), *counts, F.count_if(bad & expected).alias("expected"), F.count_if(bad & ~expected).alias("unexpected"))
+
+
+def below_offset(df: DataFrame, key: str, offset: int) -> DataFrame:
+    """largest, below_offset: whether the identifiers leave room for a layer that begins at the offset; an empty table does."""
+    return df.agg(F.max(key).alias("largest")).withColumn("below_offset", F.coalesce(F.col("largest") < offset, F.lit(True)))
 
 
 def changed_counts(before: DataFrame, after: DataFrame, keys: Sequence[str], count: str, tenth: float = 0.1) -> DataFrame:

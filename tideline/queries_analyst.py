@@ -55,12 +55,12 @@ def m15_by_age_and_grade(x: Frames) -> DataFrame:
 
 
 @query(
-    f"""WITH {COMMON}, c AS (SELECT anaesthetic_key, patient_key FROM episode WHERE CAST(patient_key AS BIGINT) % 2 = 0), f AS (SELECT anaesthetic_key, min(reading_time) AS first_event FROM reading WHERE kind = 'click' GROUP BY 1),
+    f"""WITH {COMMON}, c AS (SELECT anaesthetic_key, patient_key FROM episode), f AS (SELECT anaesthetic_key, min(reading_time) AS first_event FROM reading WHERE kind = 'click' GROUP BY 1),
 a AS (SELECT patient_key, ts AS at FROM wk WHERE event_type = 'signup'), r AS (SELECT c.*, first_event FROM c LEFT JOIN f USING (anaesthetic_key))
 SELECT anaesthetic_key, patient_key, first_event, (SELECT max(a.at) FROM a WHERE a.patient_key = r.patient_key AND a.at <= r.first_event) AS admitted FROM r""".replace("ts AS at", "ts AS tt").replace("a.at", "a.tt")
 )
 def m16_first_event_then_admission(x: Frames) -> DataFrame:
-    c = x.episodes().where(F.col("patient_key").cast("long") % 2 == 0).select("anaesthetic_key", "patient_key")
+    c = x.episodes().select("anaesthetic_key", "patient_key")
     ev = x.readings().where("kind = 'click'").select("anaesthetic_key", F.col("reading_time").alias("time"))
     return analyst.first_event_then_admission(c, ev, x.events().where("event_type = 'signup'").select("patient_key", F.col("ts").alias("admitted")), "anaesthetic_key", "patient_key")
 
@@ -155,12 +155,14 @@ def b2_bm25(x: Frames) -> DataFrame:
 
 @query()
 def b1_b4_matched_phrases(x: Frames) -> DataFrame:
-    """Stems of part types against documents, best three for each, with the bonus for words in order."""
-    docs = x.table("documents").select("doc_id", matching.words(F.col("text")).alias("t"))
-    asked = x.table("documents").where("doc_id % 100 = 0").select(F.concat(F.lit("q"), F.col("doc_id")).alias("query"), F.slice(matching.words(F.col("text")), 1, 3).alias("qt"))
-    scores = matching.bm25(asked, "query", F.col("qt"), docs, "doc_id", F.col("t"))
-    top = matching.best(scores, "query", "doc_id", 3).join(asked, "query").join(docs, "doc_id")
-    return top.select("query", "doc_id", "rank", F.round("score", 6).alias("score"), matching.in_order(F.col("qt"), F.col("t")).alias("in_order"))
+    """Names of parts as phrases against all parts: names count twice, words in order add to the score, a factor by size, the best three."""
+    part = x.table("part")
+    same = {"spellings": {"colour": "color"}, "abbreviations": {"std": "standard", "promo": "promotional"}, "synonyms": {"tini": "small"}}
+    docs = part.select(F.col("p_partkey").alias("doc"), matching.described(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"), **same).alias("t"), F.when(F.col("p_size") < 25, 1.0).otherwise(0.8).alias("suits"))
+    asked = part.select(F.col("p_name").alias("query")).distinct().withColumn("qt", matching.words(F.col("query"), **same))
+    scores = matching.bm25(asked, "query", F.col("qt"), docs, "doc", F.col("t")).join(asked, "query").join(docs, "doc")
+    ranked = matching.weighted(matching.with_order(scores, F.col("qt"), F.col("t")), F.col("suits"), 6.0, 3.0)
+    return matching.best(ranked, "query", "doc", 3).select("query", "doc", "rank", F.round("score", 6).alias("score"), "in_order", "confidence")
 
 
 @query(f"WITH {COMMON}, o AS (SELECT event_type AS part, CAST(user_id % 3 AS VARCHAR) AS category, CAST(event_id % 2 AS VARCHAR) AS confidence, CASE event_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'replaced' ELSE 'refused' END AS outcome FROM events), g AS (SELECT 'part' AS by_, part AS g, outcome FROM o UNION ALL SELECT 'category', category, outcome FROM o UNION ALL SELECT 'confidence', confidence, outcome FROM o) SELECT by_ AS \"by\", g AS \"group\", count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'replaced') AS replaced, count(*) FILTER (outcome = 'refused') AS refused FROM g GROUP BY ALL")
