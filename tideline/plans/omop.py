@@ -23,6 +23,7 @@ Tables = dict[str, DataFrame]
 FROM_RECORD, FROM_ADMINISTRATION = 32817, 32818
 EVENT_FIELD = 1147082  # the field concept of procedure_occurrence_id
 ASA_CLASS, WEIGHT, KILOGRAM = 4199571, 3025315, 9529
+MEAN_PRESSURE, MILLIMETRES, CALCULATED = 3027598, 8876, 32882
 
 
 def mapped(rows: DataFrame, concepts: DataFrame, vocabulary: str, code: str, name: str, how: str = "left") -> DataFrame:
@@ -101,12 +102,40 @@ def drug_exposure(t: Tables) -> DataFrame:
     return rows.select(
         "drug_exposure_id", "person_id", F.coalesce("what", F.lit(0)).cast("long").alias("drug_concept_id"), F.col("given_time").cast("date").alias("drug_exposure_start_date"), F.col("given_time").cast("date").alias("drug_exposure_end_date"),
         F.col("amount").alias("quantity"), F.coalesce("way", F.lit(0)).cast("long").alias("route_concept_id"), "visit_occurrence_id", cut(F.col("label"), 50).alias("drug_source_value"),
+        F.col("given_time").alias("drug_exposure_start_datetime"), *[F.lit(None).cast(kind).alias(name) for name, kind in (("drug_exposure_end_datetime", "timestamp_ntz"), ("drug_type_concept_id", "long"), ("stop_reason", "string"), ("sig", "string"), ("visit_detail_id", "long"))],
     )
 
 
-def visit_detail(t: Tables) -> DataFrame:
-    """One for each episode with a visit and no stop before its start; the first member of staff is its provider."""
-    e = t["episodes"].where("start_time IS NOT NULL AND (stop_time IS NULL OR stop_time >= start_time)").join(_visits(t), F.col("visit_key").cast("string") == F.col("_visit"))
+def drug_infusion(t: Tables) -> DataFrame:
+    """Periods at one rate: an action under SITE_DRUG_RUNNING runs until the next mapped action of the same drug and episode; without one it has no end but a reason.
+
+    In the layer's own range of numbers.
+    """
+    phases = t["concepts"].where(F.col("vocabulary").isin("SITE_DRUG_RUNNING", "SITE_DRUG_STOPPED")).select("vocabulary", F.col("code").alias("_action"))
+    rows = t["infusions"].where("given_time IS NOT NULL").join(phases, F.col("action").cast("string") == F.col("_action"))
+    same = Window.partitionBy("anaesthetic_key", "drug").orderBy("given_time", "given_key")
+    rows = rows.withColumn("_next", F.lead("given_time").over(same)).where("vocabulary = 'SITE_DRUG_RUNNING'")
+    rows = rows.join(_visits(t), F.col("visit_key").cast("string") == F.col("_visit"))
+    rows = rows.join(t["visit_detail"].select("visit_detail_id", F.col("visit_detail_source_value").alias("anaesthetic_key")), "anaesthetic_key", "left")
+    rows = mapped(mapped(rows, t["concepts"], "SITE_DRUG", "drug", "what"), t["concepts"], "SITE_ROUTE", "route", "way")
+    rows = numbered(rows, ["anaesthetic_key", "drug", "given_time", "given_key", "visit_occurrence_id", "visit_detail_id", "what", "way"], "drug_exposure_id")
+    start, end = F.col("given_time"), F.col("_next")
+    return rows.select(
+        "drug_exposure_id", "person_id", F.coalesce("what", F.lit(0)).cast("long").alias("drug_concept_id"), start.cast("date").alias("drug_exposure_start_date"), start.alias("drug_exposure_start_datetime"),
+        F.coalesce(end, start).cast("date").alias("drug_exposure_end_date"), end.alias("drug_exposure_end_datetime"), F.lit(FROM_ADMINISTRATION).cast("long").alias("drug_type_concept_id"), F.when(end.isNull(), F.lit("stop not recorded")).alias("stop_reason"),
+        F.col("amount").cast("string").alias("sig"), F.coalesce("way", F.lit(0)).cast("long").alias("route_concept_id"), "visit_occurrence_id", "visit_detail_id", cut(F.col("label"), 50).alias("drug_source_value"),
+    )
+
+
+def visit_detail(t: Tables, through_case: bool = False) -> DataFrame:
+    """One for each episode with a visit and no stop before its start; the first member of staff is its provider.
+
+    The visit is the one that the episode's record carries or, through_case, that of its theatre case: an episode without a case is then left out.
+    """
+    e = t["episodes"].where("start_time IS NOT NULL AND (stop_time IS NULL OR stop_time >= start_time)")
+    if through_case:
+        e = e.drop("visit_key").join(t["cases"].select("case_key", "visit_key"), "case_key")
+    e = e.join(_visits(t), F.col("visit_key").cast("string") == F.col("_visit"))
     first = t["episode_staff"].groupBy("anaesthetic_key").agg(F.min(F.struct("seq", "staff_key")).alias("s")).select("anaesthetic_key", F.col("s.staff_key").cast("string").alias("_staff"))
     staff = t["provider"].select("provider_id", F.col("provider_source_value").alias("_staff"))
     rows = numbered(e.join(first, "anaesthetic_key", "left").join(staff, "_staff", "left"), ["anaesthetic_key"], "visit_detail_id")
@@ -130,14 +159,27 @@ def procedure_anaesthetic(t: Tables) -> DataFrame:
     )
 
 
+def _largest(t: Tables, table: str, key: str) -> int:
+    return t[table].agg(F.coalesce(F.max(key), F.lit(0))).first()[0] if table in t else 0
+
+
+def procedure_events(t: Tables) -> DataFrame:
+    """Timed events that the vocabulary calls procedures, numbered on from the table's largest number."""
+    rows = t["events"].where("event_time IS NOT NULL").join(_details(t), "anaesthetic_key")
+    rows = mapped(rows, t["concepts"], "SITE_EVENT_PROC", "event_kind", "what", "inner")
+    rows = numbered(rows, ["anaesthetic_key", "seq", "visit_detail_id", "what"], "procedure_occurrence_id", start=_largest(t, "procedure_occurrence", "procedure_occurrence_id") + 1)
+    at = F.col("event_time")
+    return rows.select("procedure_occurrence_id", "person_id", F.col("what").cast("long").alias("procedure_concept_id"), at.cast("date").alias("procedure_date"), at.alias("procedure_datetime"), "visit_occurrence_id", "visit_detail_id", F.col("event_kind").cast("string").alias("procedure_source_value"))
+
+
 def procedure_surgery(t: Tables) -> DataFrame:
     """Operations of finished cases, numbered on from the table's largest number."""
-    most = t["procedure_occurrence"].agg(F.coalesce(F.max("procedure_occurrence_id"), F.lit(0))).first()[0]
+    most = _largest(t, "procedure_occurrence", "procedure_occurrence_id")
     rows = t["operations"].where("day IS NOT NULL").join(t["person"].select("person_id", F.col("person_source_value").alias("patient_key")), "patient_key")
     visits = _visits(t).select("visit_occurrence_id", "_visit")
     rows = rows.join(visits, F.col("visit_key").cast("string") == F.col("_visit"), "left")
     rows = mapped(mapped(rows, t["concepts"], "SITE_CASE_DONE", "status", "_done", "inner"), t["concepts"], "SITE_PROC", "operation", "what")
-    rows = numbered(rows, ["case_key", "seq"], "procedure_occurrence_id", start=most + 1)
+    rows = numbered(rows, ["case_key", "seq", "what"], "procedure_occurrence_id", start=most + 1)
     return rows.select("procedure_occurrence_id", "person_id", F.coalesce("what", F.lit(0)).cast("long").alias("procedure_concept_id"), F.col("day").alias("procedure_date"), "visit_occurrence_id", cut(F.col("label"), 50).alias("procedure_source_value"))
 
 
@@ -168,26 +210,52 @@ def measurement(t: Tables) -> DataFrame:
     return rows.select(
         "measurement_id", "person_id", F.coalesce("what", F.lit(0)).cast("long").alias("measurement_concept_id"), F.col("reading_time").cast("date").alias("measurement_date"), F.col("reading_time").alias("measurement_datetime"),
         F.round(value, 3).alias("value_as_number"), standard.cast("long").alias("unit_concept_id"), F.lit(None).cast("long").alias("value_as_concept_id"), "visit_occurrence_id", "visit_detail_id",
-        F.col("procedure_occurrence_id").alias("measurement_event_id"), _event_field().alias("meas_event_field_concept_id"), F.col("kind").cast("string").alias("measurement_source_value"), cut(F.col("text"), 50).alias("value_source_value"),
+        F.col("procedure_occurrence_id").alias("measurement_event_id"), _event_field().alias("meas_event_field_concept_id"), F.col("kind").cast("string").alias("measurement_source_value"), cut(F.col("text"), 50).alias("value_source_value"), F.lit(FROM_RECORD).cast("long").alias("measurement_type_concept_id"),
+    )
+
+
+def _charted_pressures(t: Tables) -> DataFrame:
+    """Accepted readings of the form '110/70' with a time, and their two parts."""
+    return t["readings"].where("reading_time IS NOT NULL AND coalesce(accepted, 'Y') <> 'N'").withColumn("p", pressures(F.col("text"))).select("*", "p.*").drop("p")
+
+
+def _measured(rows: DataFrame, concept: Column, value: Column, kind: int) -> DataFrame:
+    at = F.col("reading_time")
+    return rows.select(
+        "measurement_id", "person_id", concept.cast("long").alias("measurement_concept_id"), at.cast("date").alias("measurement_date"), at.alias("measurement_datetime"), value.alias("value_as_number"),
+        F.lit(MILLIMETRES).cast("long").alias("unit_concept_id"), "visit_occurrence_id", "visit_detail_id", F.col("procedure_occurrence_id").alias("measurement_event_id"), _event_field().alias("meas_event_field_concept_id"),
+        F.col("kind").cast("string").alias("measurement_source_value"), cut(F.col("text"), 50).alias("value_source_value"), F.lit(kind).cast("long").alias("measurement_type_concept_id"),
     )
 
 
 def measurement_pressures(t: Tables) -> DataFrame:
-    """'110/70' as two rows from one scan; concepts by the kind's code with S and D behind it."""
-    rows = t["readings"].where("reading_time IS NOT NULL AND coalesce(accepted, 'Y') <> 'N'").withColumn("p", pressures(F.col("text")))
+    """'110/70' as two rows from one scan, each of a kind that is mapped for its part; numbered on from the table's largest number."""
+    parts = [F.struct(F.lit(v).alias("_v"), F.col(c).alias("x")) for v, c in (("SITE_OBS_SYSTOLIC", "systolic"), ("SITE_OBS_DIASTOLIC", "diastolic"))]
+    rows = _charted_pressures(t).withColumn("q", F.explode(F.array(*parts))).select("*", "q.*").where("x IS NOT NULL")
+    known = t["concepts"].select(F.col("vocabulary").alias("_v"), F.col("code").alias("_c"), F.col("concept").alias("what"))
+    rows = rows.join(known, (rows["_v"] == known["_v"]) & (F.col("kind").cast("string") == F.col("_c"))).drop(known["_v"], "_c")
     rows = rows.join(_visits(t), F.col("visit_key").cast("string") == F.col("_visit"))
-    parts = F.array(F.struct(F.lit("S").alias("part"), F.col("p.systolic").alias("x")), F.struct(F.lit("D").alias("part"), F.col("p.diastolic").alias("x")))
-    rows = rows.withColumn("q", F.explode(parts)).select("*", "q.*").where("x IS NOT NULL").withColumn("_code", F.concat(F.col("kind").cast("string"), F.col("part")))
-    rows = numbered(mapped(rows, t["concepts"], "SITE_PRESSURE", "_code", "what"), ["sheet_key", "seq", F.desc("part")], "measurement_id")
-    return rows.select("measurement_id", "person_id", F.coalesce("what", F.lit(0)).cast("long").alias("measurement_concept_id"), F.col("reading_time").alias("measurement_datetime"), F.col("x").alias("value_as_number"), "visit_occurrence_id", F.col("_code").alias("measurement_source_value"))
+    rows = _linked(rows.join(t["visit_detail"].select("visit_detail_id", F.col("visit_detail_source_value").alias("anaesthetic_key")), "anaesthetic_key", "left"), t, "reading_time")
+    order = ["sheet_key", "seq", "_v", "visit_occurrence_id", "visit_detail_id", "procedure_occurrence_id", "what", "reading_time", "x"]
+    return _measured(numbered(rows, order, "measurement_id", start=_largest(t, "measurement", "measurement_id") + 1), F.col("what"), F.col("x"), FROM_RECORD)
+
+
+def mean_pressure(systolic: Column, diastolic: Column) -> Column:
+    """The diastolic and a third of the difference, to three places."""
+    return F.round(diastolic + (systolic - diastolic) / 3.0, 3)
 
 
-def measurement_mean(t: Tables, pairs: DataFrame) -> DataFrame:
-    """Mean pressures calculated from (sheet_key, seq, systolic, diastolic), if the site's setting is 1; no rows otherwise."""
-    on = setting(t["concepts"], "SITE_SETTING", "CALCULATE_MEAN_PRESSURE") == 1
-    s, d = F.col("systolic"), F.col("diastolic")
-    rows = pairs.where(s.isNotNull() & d.isNotNull() & F.lit(on))
-    return rows.select("sheet_key", "seq", F.round(d + (s - d) / 3, 3).alias("value_as_number"))
+def measurement_mean(t: Tables) -> DataFrame:
+    """Mean pressures calculated from charted pairs of an episode, if the site's setting is 1; no rows otherwise."""
+    on = setting(t["concepts"], "SITE_SETTING", "CALCULATED_MEAN_PRESSURE") == 1
+    rows = _charted_pressures(t).where(F.lit(on) & F.col("systolic").isNotNull() & F.col("diastolic").isNotNull())
+    for part in ("SITE_OBS_SYSTOLIC", "SITE_OBS_DIASTOLIC"):  # a charted pressure is of a kind that is mapped for both parts
+        rows = mapped(rows, t["concepts"], part, "kind", part, "inner")
+    own = t["visit_detail"].select("person_id", "visit_occurrence_id", "visit_detail_id", F.col("visit_detail_source_value").alias("anaesthetic_key"))
+    rows = _linked(rows.join(own, "anaesthetic_key"), t, "reading_time")
+    order = ["sheet_key", "seq", "reading_time", "systolic", "diastolic", "visit_occurrence_id", "visit_detail_id", "procedure_occurrence_id"]
+    numbers = numbered(rows, order, "measurement_id", start=_largest(t, "measurement", "measurement_id") + 1)
+    return _measured(numbers, F.lit(MEAN_PRESSURE), mean_pressure(F.col("systolic"), F.col("diastolic")), CALCULATED)
 
 
 def measurement_asa(t: Tables) -> DataFrame:
@@ -228,7 +296,8 @@ def observation_period(t: Tables) -> DataFrame:
     return numbered(spans, ["person_id"], "observation_period_id").select("observation_period_id", "person_id", "observation_period_start_date", "observation_period_end_date", F.lit(FROM_RECORD).cast("long").alias("period_type_concept_id"))
 
 
-def cdm_source(t: Tables, name: str, run_date: str) -> DataFrame:
+def cdm_source(t: Tables, name: str = "Tideline", run_date: str = "2024-01-01") -> DataFrame:
+    """One row that names the source; the run's date is the caller's, so that a run can be repeated."""
     return t["person"].sparkSession.createDataFrame([(name, run_date, "v5.4")], "cdm_source_name string, cdm_release_date string, cdm_version string")
 
 
@@ -274,17 +343,21 @@ CORE: Sequence[Step] = (
     Step("drug_exposure", drug_exposure, "drug_exposure_id"),
     Step("visit_detail", visit_detail, "visit_detail_id"),
     Step("procedure_occurrence", procedure_anaesthetic, "procedure_occurrence_id"),
+    Step("procedure_occurrence", procedure_events, "procedure_occurrence_id"),
     Step("procedure_occurrence", procedure_surgery, "procedure_occurrence_id"),
     Step("measurement", measurement, "measurement_id"),
+    Step("measurement", measurement_pressures, "measurement_id"),
+    Step("measurement", measurement_mean, "measurement_id"),
     Step("observation", observation, "observation_id"),
     Step("device_exposure", device_exposure, "device_exposure_id"),
 )
 LAYER_BASE = 5_000_000_000
-LAYER: Sequence[Step] = (Step("measurement", measurement_asa, "measurement_id", LAYER_BASE),)
+LAYER: Sequence[Step] = (Step("measurement", measurement_asa, "measurement_id", LAYER_BASE), Step("drug_exposure", drug_infusion, "drug_exposure_id", LAYER_BASE))
 DERIVED: Sequence[Step] = (
     Step("observation_period", observation_period, "observation_period_id"),
     Step("anaesthetic", anaesthetic, "anaesthetic_id"),
     Step("anaesthetic_phase", anaesthetic_phase, "anaesthetic_phase_id"),
+    Step("cdm_source", cdm_source),
 )
 
 

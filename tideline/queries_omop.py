@@ -14,7 +14,8 @@ MAP = [
     ("SITE_SEX", "1", 8507), ("SITE_SEX", "2", 8532), ("SITE_OBS", "0", 3025315), ("SITE_OBS", "1", 3001), ("SITE_OBS", "2", 3002), ("SITE_OBS", "3", 3003),
     ("SITE_OBS_UNIT", "0", 9529), ("SITE_OBS_UNIT", "1", 9373), ("SITE_OBS_UNIT", "2", 9327), ("SITE_OBS_UNIT", "3", 9289), ("SITE_RISK_GRADE", "1", 451), ("SITE_RISK_GRADE", "2", 452), ("SITE_RISK_GRADE", "3", 453),
     ("SITE_ANAES_KIND", "1", 41), ("SITE_ANAES_KIND", "2", 42), ("SITE_PROCEDURE", "ANAESTHETIC", 40), ("SITE_VISIT_DETAIL", "ANAESTHESIA", 4149), ("SITE_SETTING", "EVENT_LINK_MARGIN_MINUTES", 30), ("SITE_DIAGNOSIS", "7", 701), ("SITE_DIAGNOSIS", "8", 801),
-    ("SITE_DRUG_GIVEN", "R", 1), ("SITE_DRUG_GIVEN", "N", 1), ("SITE_DRUG", "3", 103), ("SITE_ROUTE", "O", 4132161), ("SITE_DEVICE", "2", 202), ("SITE_DEVICE", "3", 203), ("SITE_EVENT_OBS", "view", 61), ("SITE_EVENT_OBS", "error", 62), ("SITE_PRESSURE", "1S", 11), ("SITE_PRESSURE", "1D", 12),
+    ("SITE_DRUG_GIVEN", "R", 1), ("SITE_DRUG_GIVEN", "N", 1), ("SITE_DRUG", "3", 103), ("SITE_ROUTE", "O", 4132161), ("SITE_DEVICE", "2", 202), ("SITE_DEVICE", "3", 203), ("SITE_EVENT_OBS", "view", 61), ("SITE_EVENT_OBS", "error", 62), ("SITE_OBS_SYSTOLIC", "4", 3004249), ("SITE_OBS_DIASTOLIC", "4", 3012888), ("SITE_SETTING", "CALCULATED_MEAN_PRESSURE", 1),
+    ("SITE_EVENT_PROC", "click", 71), ("SITE_DRUG_RUNNING", "R", 1), ("SITE_DRUG_RUNNING", "N", 1), ("SITE_DRUG_STOPPED", "A", 1), ("SITE_CASE_DONE", "F", 1), ("SITE_PROC", "2", 91),
 ]
 
 
@@ -23,42 +24,52 @@ def _key(c: str) -> F.Column:
 
 
 def source(x: Frames) -> dict[str, DataFrame]:
-    """Subjects are customers, visits orders, episodes a third of these, readings lines."""
+    """Subjects are customers, visits and episodes orders, readings, doses and events lines."""
     customers, orders, lines = x.table("customer"), x.table("orders"), x.table("lineitem")
     c, o = F.col("c_custkey"), F.col("o_orderkey")
     day = lambda base, n: F.date_add(F.lit(base).cast("date"), n.cast("int"))
     start = plus(F.col("o_orderdate"), hours=8)
-    third = orders.where("o_orderkey % 3 = 0")
     with_order = lines.join(orders.select(o.alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     at = plus(F.col("o_orderdate"), hours=8, minutes=(F.col("l_linenumber") * 20).cast("int"))
-    text = F.when(F.col("l_linenumber") == 6, "n/a").otherwise(F.col("l_quantity").cast("int").cast("string"))
+    amount = F.col("l_quantity").cast("int").cast("string")
+    pair = F.concat(amount, F.lit("/"), F.when(F.col("l_linenumber") != 5, F.col("l_linenumber").cast("string")).otherwise(F.lit("")))
+    text = F.when(F.col("l_linenumber") == 6, "n/a").when(F.col("l_partkey") % 5 == 4, pair).otherwise(amount)
     return {
         "concepts": x.spark.createDataFrame(MAP, "vocabulary string, code string, concept long"),
         "subjects": customers.select(F.lpad(c.cast("string"), 12, "0").alias("patient_key"), day("1990-01-01", c * 37 % 3000).alias("birth_date"), F.when(c % 23 == 0, day("1998-01-01", c % 300)).alias("death_date"), (c % 3).alias("sex"), F.when(c % 50 == 0, 1).otherwise(0).alias("is_test")),
         "staff": x.table("supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("staff_key"), F.col("s_name").alias("label")),
         "wards": x.table("nation").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("ward_key"), F.col("n_name").alias("label")),
         "visits": orders.select(o.alias("visit_key"), F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("patient_key"), F.col("o_orderdate").alias("admitted"), (F.col("o_orderdate") + F.make_dt_interval((o % 20 - 3).cast("int"))).alias("discharged"), F.lpad((o % 30).cast("string"), 3, "0").alias("ward_key")),
-        "episodes": third.select(
-            _key("o_orderkey").alias("anaesthetic_key"), o.alias("visit_key"), (o % 4).alias("kind"), (o % 6).alias("risk_grade"), start.alias("start_time"),
+        "episodes": orders.select(
+            _key("o_orderkey").alias("anaesthetic_key"), o.alias("visit_key"), (o % 4).alias("kind"), (o % 6).alias("risk_grade"), o.alias("case_key"), start.alias("start_time"),
             F.when(o % 7 == 0, None).when(o % 29 == 0, plus(start, hours=-1)).otherwise(plus(start, minutes=(o % 300).cast("int"))).alias("stop_time"),
         ),
-        "episode_staff": lines.where("l_orderkey % 3 = 0").select(_key("l_orderkey").alias("anaesthetic_key"), F.col("l_linenumber").alias("seq"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0").alias("staff_key")),
+        "episode_staff": lines.select(_key("l_orderkey").alias("anaesthetic_key"), F.col("l_linenumber").alias("seq"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0").alias("staff_key")),
         "diagnoses": lines.select(F.col("l_orderkey").alias("visit_key"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 10).alias("diagnosis"), F.col("l_returnflag").alias("icd")),
         "readings": with_order.select(
-            F.col("l_orderkey").alias("sheet_key"), F.col("l_linenumber").alias("seq"), F.col("l_orderkey").alias("visit_key"), F.when(F.col("l_orderkey") % 3 == 0, _key("l_orderkey")).alias("anaesthetic_key"),
+            F.col("l_orderkey").alias("sheet_key"), F.col("l_linenumber").alias("seq"), F.col("l_orderkey").alias("visit_key"), _key("l_orderkey").alias("anaesthetic_key"),
             (F.col("l_partkey") % 5).alias("kind"), text.alias("text"), at.alias("reading_time"), F.when(F.col("l_suppkey") % 20 == 0, "N").alias("accepted"),
         ),
         "drugs": lines.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("given_key"), F.col("l_orderkey").alias("visit_key"), (F.col("l_partkey") % 7).alias("drug"), F.lit("a drug").alias("label"),
             F.col("l_returnflag").alias("action"), F.col("l_linestatus").alias("route"), F.col("l_quantity").alias("amount"), F.col("l_shipdate").alias("given_time"),
         ),
-        "devices": lines.where("l_orderkey % 3 = 0").select(
+        "devices": lines.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("device_key"), _key("l_orderkey").alias("anaesthetic_key"), (F.col("l_partkey") % 4).alias("device"), F.col("l_shipdate").alias("placed"),
             F.when(F.col("l_linenumber") == 5, F.lit("2999-01-01").cast("timestamp_ntz")).otherwise(F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber") - 2)).alias("removed"),
         ),
-        "events": with_order.where("l_orderkey % 3 = 0").select(
+        "events": with_order.select(
             _key("l_orderkey").alias("anaesthetic_key"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_partkey") % 3 == 0, "view").when(F.col("l_partkey") % 3 == 1, "error").otherwise("click").alias("event_kind"), at.alias("event_time"),
         ),
+        "cases": orders.where("o_orderstatus <> 'F'").select(o.alias("case_key"), o.alias("visit_key")),
+        "infusions": lines.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("given_key"), F.col("l_orderkey").alias("visit_key"), _key("l_orderkey").alias("anaesthetic_key"), (F.col("l_suppkey") % 4).alias("drug"), F.lit("an infusion").alias("label"),
+            F.col("l_returnflag").alias("action"), F.col("l_linestatus").alias("route"), F.col("l_quantity").cast("int").alias("amount"), F.col("l_shipdate").alias("given_time"),
+        ),
+        "operations": with_order.join(orders.select(o.alias("l_orderkey"), "o_custkey"), "l_orderkey").select(
+            F.col("l_orderkey").alias("case_key"), F.col("l_linenumber").alias("seq"), F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("patient_key"), F.col("l_orderkey").alias("visit_key"),
+            F.col("o_orderdate").cast("date").alias("day"), F.col("l_linestatus").alias("status"), (F.col("l_partkey") % 6).alias("operation"), F.lit("an operation").alias("label"),
+        ),
     }
 
 
@@ -71,11 +82,11 @@ provider AS (SELECT row_number() OVER (ORDER BY lpad(CAST(s_suppkey AS VARCHAR),
 visit AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS visit_occurrence_id, person_id, o_orderkey, o_orderdate AS s, greatest(o_orderdate, o_orderdate + to_days(CAST(o_orderkey % 20 - 3 AS INTEGER))) AS e, care_site_id
   FROM orders JOIN person ON patient_key = lpad(CAST(o_custkey AS VARCHAR), 12, '0') LEFT JOIN site ON ward_key = lpad(CAST(o_orderkey % 30 AS VARCHAR), 3, '0')),
 ep AS (SELECT 'A' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, o_orderkey, o_orderkey % 4 AS kind, o_orderkey % 6 AS risk, o_orderdate + INTERVAL 8 HOUR AS s,
-  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN o_orderdate + INTERVAL 7 HOUR ELSE o_orderdate + INTERVAL 8 HOUR + to_minutes(CAST(o_orderkey % 300 AS INTEGER)) END AS e FROM orders WHERE o_orderkey % 3 = 0),
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN o_orderdate + INTERVAL 7 HOUR ELSE o_orderdate + INTERVAL 8 HOUR + to_minutes(CAST(o_orderkey % 300 AS INTEGER)) END AS e FROM orders),
 first_staff AS (SELECT l_orderkey, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS s_suppkey FROM lineitem GROUP BY 1),
 detail AS (SELECT row_number() OVER (ORDER BY anaesthetic_key) AS visit_detail_id, person_id, visit_occurrence_id, provider_id, ep.* FROM ep JOIN visit v ON v.o_orderkey = ep.o_orderkey LEFT JOIN first_staff f ON f.l_orderkey = ep.o_orderkey LEFT JOIN provider p USING (s_suppkey) WHERE ep.e IS NULL OR ep.e >= ep.s),
 proc AS (SELECT row_number() OVER (ORDER BY anaesthetic_key) AS procedure_occurrence_id, d.*, coalesce(m.concept, 40) AS concept FROM detail d LEFT JOIN map m ON m.vocabulary = 'SITE_ANAES_KIND' AND m.code = CAST(d.kind AS VARCHAR)),
-reading AS (SELECT l_orderkey, l_linenumber, l_partkey % 5 AS kind, CASE WHEN l_linenumber = 6 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS text, o_orderdate + INTERVAL 8 HOUR + to_minutes(l_linenumber * 20) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 20 <> 0),
+reading AS (SELECT l_orderkey, l_linenumber, l_partkey % 5 AS kind, CASE WHEN l_linenumber = 6 THEN 'n/a' WHEN l_partkey % 5 = 4 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '/' || CASE WHEN l_linenumber <> 5 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS text, o_orderdate + INTERVAL 8 HOUR + to_minutes(l_linenumber * 20) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 20 <> 0),
 meas AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, p.procedure_occurrence_id NULLS FIRST, what.concept NULLS FIRST, u.concept NULLS FIRST, r.t, x) AS measurement_id, v.person_id, coalesce(what.concept, 0) AS measurement_concept_id, r.t AS measurement_datetime,
   round(CASE u.concept WHEN 9373 THEN x * 0.028349523125 WHEN 9327 THEN x * 2.54 WHEN 9289 THEN (x - 32) * 5.0 / 9.0 ELSE x END, 3) AS value_as_number,
   CASE u.concept WHEN 9373 THEN 9529 WHEN 9327 THEN 8582 WHEN 9289 THEN 586323 ELSE coalesce(u.concept, 0) END AS unit_concept_id, v.visit_occurrence_id, d.visit_detail_id, p.procedure_occurrence_id AS measurement_event_id
@@ -85,7 +96,7 @@ meas AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, p.procedur
   WHERE x IS NOT NULL AND (what.code IS NOT NULL OR d.visit_detail_id IS NOT NULL))
 """
 
-_STEPS = {s.target: s for s in omop.CORE if s.rows is not omop.procedure_surgery}
+_STEPS = {s.target: s for s in reversed(omop.CORE)}  # the first step of each target
 
 
 def _run(x: Frames, *targets: str) -> omop.Tables:
@@ -144,11 +155,14 @@ def o13_measurement_asa(x: Frames) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BASE}, e AS (SELECT person_id, CAST(s AS DATE) AS a, CAST(e AS DATE) AS b FROM visit UNION ALL SELECT person_id, CAST(s AS DATE), CAST(coalesce(e, s) AS DATE) FROM proc UNION ALL SELECT person_id, CAST(measurement_datetime AS DATE), CAST(measurement_datetime AS DATE) FROM meas)
+    f"""WITH {_BASE}, e AS (SELECT person_id, CAST(s AS DATE) AS a, CAST(e AS DATE) AS b FROM visit UNION ALL SELECT person_id, CAST(s AS DATE), CAST(coalesce(e, s) AS DATE) FROM proc UNION ALL SELECT person_id, CAST(measurement_datetime AS DATE), CAST(measurement_datetime AS DATE) FROM meas
+  UNION ALL SELECT person_id, CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'N')
+  UNION ALL SELECT person_id, CAST(d.s AS DATE), CAST(d.s + to_minutes(l_linenumber * 20) AS DATE) FROM lineitem JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_partkey % 3 < 2
+  UNION ALL SELECT person_id, CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) + CASE WHEN l_linenumber >= 2 AND l_linenumber <> 5 THEN CAST(l_linenumber - 2 AS INTEGER) ELSE 0 END FROM lineitem JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_partkey % 4 >= 2)
 SELECT row_number() OVER (ORDER BY person_id) AS observation_period_id, person_id, CAST(min(a) AS VARCHAR) AS first_day, CAST(max(b) AS VARCHAR) AS last_day FROM e GROUP BY person_id"""
 )
 def o16_observation_period(x: Frames) -> DataFrame:
-    t = _run(x, *_TO_DETAIL, "procedure_occurrence", "measurement")
+    t = _run(x, *_TO_DETAIL, "condition_occurrence", "drug_exposure", "procedure_occurrence", "measurement", "observation", "device_exposure")
     return omop.observation_period(t).select("observation_period_id", "person_id", F.col("observation_period_start_date").cast("string").alias("first_day"), F.col("observation_period_end_date").cast("string").alias("last_day"))
 
 
@@ -165,14 +179,80 @@ def o18_anaesthetic(x: Frames) -> DataFrame:
     return omop.anaesthetic(t).select("anaesthetic_id", "duration_minutes", "age_days", "age_years", "age_months", "asa_class_concept_id", "weight_kg")
 
 
-@query("WITH r AS (SELECT l_orderkey AS sheet_key, l_linenumber AS seq, CAST(l_quantity AS INTEGER) AS s, l_linenumber AS d FROM lineitem) SELECT sheet_key, seq, CAST(s AS DOUBLE) AS systolic, CAST(d AS DOUBLE) AS diastolic, round(d + (s - d) / 3.0, 3) AS mean FROM r")
+_CHARTED = """, charted AS (SELECT r.*, TRY_CAST(split_part(text, '/', 1) AS DOUBLE) AS sys, TRY_CAST(nullif(split_part(text, '/', 2), '') AS DOUBLE) AS dia FROM reading r WHERE kind = 4 AND contains(text, '/')),
+linked AS (SELECT c.*, v.person_id, v.visit_occurrence_id, d.visit_detail_id, p.procedure_occurrence_id FROM charted c JOIN visit v ON v.o_orderkey = c.l_orderkey LEFT JOIN detail d ON d.o_orderkey = c.l_orderkey
+  LEFT JOIN proc p ON p.visit_detail_id = d.visit_detail_id AND c.t >= p.s - INTERVAL 30 MINUTE AND (p.e IS NULL OR c.t <= p.e + INTERVAL 30 MINUTE))"""
+_MEASURED = ("measurement_id", "person_id", "measurement_concept_id", "measurement_datetime", "value_as_number", "visit_occurrence_id", "visit_detail_id", "measurement_event_id")
+_TO_PROCEDURE = (*_TO_DETAIL, "procedure_occurrence")
+
+
+@query(
+    f"""WITH {_BASE}{_CHARTED}, part AS (SELECT *, 'D' AS part, 3012888 AS concept, dia AS x FROM linked UNION ALL SELECT *, 'S', 3004249, sys FROM linked)
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, part, t, x) AS measurement_id, person_id, CAST(concept AS BIGINT) AS measurement_concept_id, t AS measurement_datetime, x AS value_as_number, visit_occurrence_id, visit_detail_id, procedure_occurrence_id AS measurement_event_id FROM part WHERE x IS NOT NULL"""
+)
 def o11_pressures(x: Frames) -> DataFrame:
-    from tideline.functions.text import pressures
+    return omop.measurement_pressures(_run(x, *_TO_PROCEDURE)).select(*_MEASURED)
+
+
+@query(
+    f"""WITH {_BASE}{_CHARTED} SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, t, sys, dia) AS measurement_id, person_id, CAST(3027598 AS BIGINT) AS measurement_concept_id, t AS measurement_datetime, round(dia + (sys - dia) / 3.0, 3) AS value_as_number,
+visit_occurrence_id, visit_detail_id, procedure_occurrence_id AS measurement_event_id FROM linked WHERE sys IS NOT NULL AND dia IS NOT NULL AND visit_detail_id IS NOT NULL"""
+)
+def o12_calculated_mean(x: Frames) -> DataFrame:
+    return omop.measurement_mean(_run(x, *_TO_PROCEDURE)).select(*_MEASURED)
+
+
+_THROUGH = """ FROM (SELECT row_number() OVER (ORDER BY anaesthetic_key) AS visit_detail_id, v.person_id, ep.anaesthetic_key, v.visit_occurrence_id, ep.s, ep.e FROM ep JOIN orders o ON o.o_orderkey = ep.o_orderkey AND o_orderstatus <> 'F' JOIN visit v ON v.o_orderkey = ep.o_orderkey WHERE ep.e IS NULL OR ep.e >= ep.s)"""
+
+
+@query(f"WITH {_BASE} SELECT visit_detail_id, person_id, anaesthetic_key AS visit_detail_source_value, visit_occurrence_id, s AS visit_detail_start_datetime{_THROUGH}")
+def o8_visit_detail_through_case(x: Frames) -> DataFrame:
+    t = _run(x, "person", "provider", "care_site", "visit_occurrence")
+    return omop.visit_detail(t, through_case=True).select("visit_detail_id", "person_id", "visit_detail_source_value", "visit_occurrence_id", "visit_detail_start_datetime")
+
 
-    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
-    rows = x.table("lineitem").select(F.col("l_orderkey").alias("sheet_key"), F.col("l_linenumber").alias("seq"), pressures(text).alias("p")).select("sheet_key", "seq", "p.*")
-    on = {"concepts": x.spark.createDataFrame([("SITE_SETTING", "CALCULATE_MEAN_PRESSURE", 1)], "vocabulary string, code string, concept long")}
-    return rows.withColumn("mean", F.round(F.col("diastolic") + (F.col("systolic") - F.col("diastolic")) / 3, 3)).join(omop.measurement_mean(on, rows).drop("value_as_number"), ["sheet_key", "seq"], "left_semi")
+@query(
+    f"""WITH {_BASE} SELECT row_number() OVER (ORDER BY d.anaesthetic_key, l_linenumber) + (SELECT count(*) FROM proc) AS procedure_occurrence_id, person_id, CAST(71 AS BIGINT) AS procedure_concept_id, d.s + to_minutes(l_linenumber * 20) AS procedure_datetime, visit_detail_id
+FROM lineitem JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_partkey % 3 = 2"""
+)
+def o9_procedure_events(x: Frames) -> DataFrame:
+    return omop.procedure_events(_run(x, *_TO_PROCEDURE)).select("procedure_occurrence_id", "person_id", "procedure_concept_id", "procedure_datetime", "visit_detail_id")
+
+
+@query(
+    f"""WITH {_BASE} SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, CASE l_partkey % 6 WHEN 2 THEN 91 END NULLS FIRST) + (SELECT count(*) FROM proc) AS procedure_occurrence_id, person_id, CAST(CASE l_partkey % 6 WHEN 2 THEN 91 ELSE 0 END AS BIGINT) AS procedure_concept_id, CAST(CAST(v.s AS DATE) AS VARCHAR) AS day, visit_occurrence_id
+FROM lineitem JOIN visit v ON v.o_orderkey = l_orderkey WHERE l_linestatus = 'F'"""
+)
+def o9_procedure_surgery(x: Frames) -> DataFrame:
+    return omop.procedure_surgery(_run(x, *_TO_PROCEDURE)).select("procedure_occurrence_id", "person_id", "procedure_concept_id", F.col("procedure_date").cast("string").alias("day"), "visit_occurrence_id")
+
+
+_INFUSED = """, given AS (SELECT *, lead(l_shipdate) OVER (PARTITION BY l_orderkey, l_suppkey % 4 ORDER BY l_shipdate, l_linenumber) AS after FROM lineitem),
+infused AS (SELECT v.person_id, CAST(CASE l_suppkey % 4 WHEN 3 THEN 103 ELSE 0 END AS BIGINT) AS drug_concept_id, l_shipdate AS a, after AS b, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS sig, d.visit_detail_id, l_orderkey, l_linenumber
+  FROM given JOIN visit v ON v.o_orderkey = l_orderkey LEFT JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'N'))"""
+
+
+@query(f"WITH {_BASE}{_INFUSED} SELECT person_id, drug_concept_id, a AS drug_exposure_start_datetime, b AS drug_exposure_end_datetime, CASE WHEN b IS NULL THEN 'stop not recorded' END AS stop_reason, sig, visit_detail_id FROM infused")
+def o7_drug_infusion(x: Frames) -> DataFrame:
+    return omop.drug_infusion(_run(x, *_TO_DETAIL)).select("person_id", "drug_concept_id", "drug_exposure_start_datetime", "drug_exposure_end_datetime", "stop_reason", "sig", "visit_detail_id")
+
+
+@query(
+    f"""WITH {_BASE}{_CHARTED}{_INFUSED}, n AS (SELECT 'person' AS target, count(*) AS rows FROM person UNION ALL SELECT 'visit_occurrence', count(*) FROM visit UNION ALL SELECT 'visit_detail', count(*) FROM detail
+UNION ALL SELECT 'drug_exposure', (SELECT count(*) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'N')) + (SELECT count(*) FROM infused)
+UNION ALL SELECT 'procedure_occurrence', (SELECT count(*) FROM proc) + (SELECT count(*) FROM lineitem JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_partkey % 3 = 2) + (SELECT count(*) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_linestatus = 'F')
+UNION ALL SELECT 'measurement', (SELECT count(*) FROM meas) + (SELECT count(sys) + count(dia) + count(*) FILTER (sys IS NOT NULL AND dia IS NOT NULL AND visit_detail_id IS NOT NULL) FROM linked) + (SELECT count(*) FROM proc WHERE risk IN (1, 2, 3))
+UNION ALL SELECT 'anaesthetic', count(*) FROM proc UNION ALL SELECT 'anaesthetic_phase', count(*) FROM proc UNION ALL SELECT 'cdm_source', 1) SELECT * FROM n"""
+)
+def o20_whole_run(x: Frames) -> DataFrame:
+    """All steps in their order; the rows of the tables that several steps fill, or that come last."""
+    t = omop.run(source(x))
+    names = ("person", "visit_occurrence", "visit_detail", "drug_exposure", "procedure_occurrence", "measurement", "anaesthetic", "anaesthetic_phase", "cdm_source")
+    parts = [t[n].agg(F.lit(n).alias("target"), F.count(F.lit(1)).alias("rows")) for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(
@@ -185,7 +265,7 @@ def o6_drug_exposure(x: Frames) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BASE}, e AS (SELECT 'A' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, CASE l_partkey % 3 WHEN 0 THEN 61 WHEN 1 THEN 62 END AS concept, o_orderdate + INTERVAL 8 HOUR + to_minutes(l_linenumber * 20) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 = 0)
+    f"""WITH {_BASE}, e AS (SELECT 'A' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, CASE l_partkey % 3 WHEN 0 THEN 61 WHEN 1 THEN 62 END AS concept, o_orderdate + INTERVAL 8 HOUR + to_minutes(l_linenumber * 20) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT d.person_id, CAST(e.concept AS BIGINT) AS observation_concept_id, e.t AS observation_datetime, d.visit_detail_id, p.procedure_occurrence_id AS observation_event_id FROM e JOIN detail d USING (anaesthetic_key)
 LEFT JOIN proc p ON p.visit_detail_id = d.visit_detail_id AND e.t >= p.s - INTERVAL 30 MINUTE AND (p.e IS NULL OR e.t <= p.e + INTERVAL 30 MINUTE) WHERE e.concept IS NOT NULL"""
 )
@@ -194,7 +274,7 @@ def o14_observation(x: Frames) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BASE}, v AS (SELECT 'A' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, CASE l_partkey % 4 WHEN 2 THEN 202 WHEN 3 THEN 203 END AS concept, l_shipdate AS a, CASE WHEN l_linenumber >= 2 AND l_linenumber <> 5 THEN l_shipdate + to_days(l_linenumber - 2) END AS b FROM lineitem WHERE l_orderkey % 3 = 0)
+    f"""WITH {_BASE}, v AS (SELECT 'A' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS anaesthetic_key, CASE l_partkey % 4 WHEN 2 THEN 202 WHEN 3 THEN 203 END AS concept, l_shipdate AS a, CASE WHEN l_linenumber >= 2 AND l_linenumber <> 5 THEN l_shipdate + to_days(l_linenumber - 2) END AS b FROM lineitem)
 SELECT person_id, CAST(concept AS BIGINT) AS device_concept_id, CAST(CAST(a AS DATE) AS VARCHAR) AS first_day, CAST(CAST(b AS DATE) AS VARCHAR) AS last_day, visit_detail_id FROM v JOIN detail USING (anaesthetic_key) WHERE concept IS NOT NULL"""
 )
 def o15_device_exposure(x: Frames) -> DataFrame:
