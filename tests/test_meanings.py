@@ -6,12 +6,13 @@ import hashlib
 import json
 import math
 import re
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from tideline.functions import text
-from tideline.plans import disclosure, matching, quality
+from tideline.operators.paths import looked_up
+from tideline.plans import analyst, disclosure, matching, quality
 
 
 def brute_stem(w):
@@ -114,3 +115,35 @@ def test_digests_tell_where_a_null_is(spark):
 def test_columns_that_are_never_listed():
     cols = [("CITY", "varchar(30)"), ("E_MAIL_EMAIL", "varchar(30)"), ("PHONE_NO", "int"), ("HOME_ADDRESS", "int"), ("ITEM_DESC", "char(5)"), ("CODE", "nvarchar(71)"), ("GRADE", "varchar(70)"), ("N", "int")]
     assert disclosure.listable(cols) == ["CITY", "GRADE", "N"]
+
+
+def test_audit_over_converted_tables(spark):
+    t = lambda h, m, s=0: datetime(2024, 1, 1, h, m, s)
+    a = [(1, 10, 5, t(8, 0), t(8, 30)), (2, 11, 27, t(9, 0), None), (3, 12, 28, t(8, 0), t(9, 0)), (4, 10, 3, t(12, 0), t(12, 10)), (5, 13, 0, t(8, 0), t(8, 20))]
+    cuff, line = analyst.CUFF_MEAN, analyst.ARTERIAL_MEAN
+    m = [
+        (1, 1, cuff, t(8, 0), 35.0), (2, 1, cuff, t(8, 4), 50.0), (3, 1, line, t(8, 4), 39.0), (4, 1, cuff, t(8, 20), 41.0), (5, 1, cuff, t(8, 31), 10.0), (6, 1, 7, t(8, 10), 10.0),
+        (7, 2, cuff, t(9, 0), 39.0), (8, 4, cuff, t(12, 0), 60.0), (9, 3, cuff, t(8, 0), 1.0),
+    ]
+    deaths = [(10, date(2024, 3, 31)), (11, date(2024, 3, 31)), (12, date(2024, 1, 2))]
+    got = analyst.audit_of_tables(
+        spark.createDataFrame(a, "anaesthetic_id long, person_id long, age_days int, start_datetime timestamp_ntz, end_datetime timestamp_ntz"),
+        spark.createDataFrame(m, "measurement_id long, measurement_event_id long, measurement_concept_id long, measurement_datetime timestamp_ntz, value_as_number double"),
+        spark.createDataFrame([*deaths[:2], (13, date(2024, 4, 1))], "person_id long, death_date date"),
+    ).collect()
+    # 1: 4 minutes at 35 and 5 at 39 (the arterial one); 2: without an end; 4: never below; 5: no reading, and its death is on day 91
+    assert [tuple(r) for r in got] == [("no mean pressure recorded", 1, 0, 1, 0), ("none", 2, 2, 2, 2), ("under 5 minutes", 0, 0, 0, 0), ("5 to 14 minutes", 1, 1, 1, 1), ("15 minutes or more", 0, 0, 0, 0)]
+
+
+def test_lookups_share_their_first_joins(spark):
+    frames = {
+        "sheet": spark.createDataFrame([(1, 7, "s1"), (2, 8, "s2")], "sheet long, case_key long, label string"),
+        "case": spark.createDataFrame([(7, 70), (8, 80)], "case_key long, visit long"),
+        "visit": spark.createDataFrame([(70, "north")], "visit long, ward string"),
+    }
+    rows = spark.createDataFrame([("r1", 1), ("r2", 2), ("r3", 9), ("r4", None)], "row string, sheet long")
+    sheet, case, visit = ("sheet", (("sheet", "sheet"),)), ("case", (("case_key", "case_key"),)), ("visit", (("visit", "visit"),))
+    found = looked_up(rows, frames, {"label": ([sheet], "label"), "visit": ([sheet, case], "visit"), "ward": ([sheet, case, visit], "ward")})
+    assert sorted(map(tuple, found.collect())) == [("r1", 1, "s1", 70, "north"), ("r2", 2, "s2", 80, None), ("r3", 9, None, None, None), ("r4", None, None, None, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
+    assert looked_up(rows, frames, {"ward": ([sheet, case, visit], "ward")}, "inner").count() == 1

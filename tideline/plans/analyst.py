@@ -8,14 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.text import number
-from tideline.functions.time import minutes_between, plus
+from tideline.functions.time import minutes_between, plus, seconds_between
 
 
-def audit_of_tables(detail: DataFrame) -> DataFrame:
-    """The banded audit over converted tables has the same last step as over roles; its detail breaks ties by lower id."""
+# Concepts of a mean pressure by cuff and by arterial line
+CUFF_MEAN, ARTERIAL_MEAN = 21492241, 21490852
+
+
+def audit_of_tables(anaesthetics: DataFrame, measurements: DataFrame, deaths: DataFrame, under_days: int = 28, below: float = 40, longest_seconds: int = 300, within_days: int = 90) -> DataFrame:
+    """The banded audit over converted tables: minutes below a mean pressure in children under so many days, and deaths within 90 days.
+
+    Readings are those linked to the anaesthetic from its start to its end. Of several at one time an arterial one counts, then the lower id; each stands until the
+    next or the end, for five minutes at most, and the last one of an anaesthetic without an end for no time.
+    """
     from tideline.plans.measures import audit
 
-    return audit(detail)
+    young = anaesthetics.where(F.col("age_days") < under_days).select("anaesthetic_id", "person_id", "start_datetime", "end_datetime")
+    at, end = F.col("measurement_datetime"), F.col("end_datetime")
+    rows = measurements.where(F.col("measurement_concept_id").isin(CUFF_MEAN, ARTERIAL_MEAN)).drop("person_id").join(young, F.col("measurement_event_id") == F.col("anaesthetic_id"))
+    rows = rows.where((at >= F.col("start_datetime")) & (end.isNull() | (at <= end)))
+    first = Window.partitionBy("anaesthetic_id", "measurement_datetime").orderBy(F.when(F.col("measurement_concept_id") == ARTERIAL_MEAN, 0).otherwise(1), "measurement_id")
+    kept = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    until = F.coalesce(F.lead("measurement_datetime").over(Window.partitionBy("anaesthetic_id").orderBy("measurement_datetime")), end)
+    stood = F.least(seconds_between(at, F.col("_until")), F.lit(longest_seconds))
+    low = kept.withColumn("_until", until).groupBy("anaesthetic_id").agg((F.sum(F.when((F.col("value_as_number") < below) & F.col("_until").isNotNull(), stood).otherwise(0)) / 60.0).alias("minutes"))
+    day = F.to_date("start_datetime")
+    died = deaths.select(F.col("person_id").alias("_p"), "death_date")
+    near = (F.col("person_id") == F.col("_p")) & (F.col("death_date") >= day) & (F.col("death_date") <= F.date_add(day, within_days))
+    detail = young.join(low, "anaesthetic_id", "left").join(died, near, "left")
+    return audit(detail.select("anaesthetic_id", F.col("person_id").alias("patient_key"), "minutes", F.when(F.col("_p").isNotNull(), 1).otherwise(0).alias("died")))
 
 
 def share_below(episodes: DataFrame, readings: DataFrame, key: str, threshold: float) -> DataFrame:
