@@ -237,6 +237,53 @@ def test_neighbours_and_recall(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def exact_neighbours(rows, k=10):
+    """Brute force over (id, vector) rows of one length: query id -> [(distance, id)]."""
+    out = {}
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        near = {}
+        for j, v in rows:
+            if j != q:
+                d = min(float(np.sqrt(np.square(np.array(v) - np.array(u)).sum())) for i, u in rows if i == q)
+                near[j] = min(d, near.get(j, d))
+        out[q] = sorted((d, j) for j, d in near.items())[:k]
+    return out
+
+
+def test_neighbours_of_repeated_ids_common_vectors_and_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(90)]
+    rows += [(i, [1.0, 2.0, 3.0]) for i in range(100, 200)] + [(5, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (100, rows[7][1]), (0, [1.0, 2.0, 3.5]), (8, rows[9][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (40, 4096):  # every bucket probed: the search is exact
+        got = collections.defaultdict(list)
+        for r in sorted(cross_polytope.neighbours(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, share=1.0, block=block).collect(), key=lambda r: r["rank"]):
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        assert dict(got) == exact_neighbours(rows)
+    few = df.where("vec_id in (0, 1, 2)")
+    assert {r["vec_id"] for r in cross_polytope.neighbours(few, "vec_id", "embedding", F.col("vec_id") % 100 == 0, share=1.0).collect()} == {1, 2}
+    assert cross_polytope.neighbours(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_fineness_and_recall_of_finer_buckets(spark):
+    assert cross_polytope.fineness(2_000, 64) == ([64], 12)
+    assert cross_polytope.fineness(2 * 128 * 256, 64)[0] == [64, 1]
+    assert cross_polytope.fineness(10**9, 64)[0] == [64, 64, 64]
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(cross_polytope.fineness(3000, 32, 4)[0]) == 2
+    hits = collections.defaultdict(set)
+    for r in cross_polytope.neighbours(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, per_bucket=4).collect():
+        hits[r["query_id"]].add(r["vec_id"])
+    found = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(np.square(x - x[q]).sum(axis=1))
+        d[q] = np.inf
+        found += len(hits[q] & set(np.argsort(d)[:10].tolist()))
+    assert found >= 0.9 * 300
+
+
 # 7
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
