@@ -266,7 +266,7 @@ def test_neighbours_of_repeated_ids_common_vectors_and_nothing(spark):
 
 
 def test_fineness_and_recall_of_finer_buckets(spark):
-    assert cross_polytope.fineness(2_000, 64) == ([64], 12)
+    assert cross_polytope.fineness(2_000, 64) == ([64], 16)
     assert cross_polytope.fineness(2 * 128 * 256, 64)[0] == [64, 1]
     assert cross_polytope.fineness(10**9, 64)[0] == [64, 64, 64]
     rng = np.random.default_rng(6)

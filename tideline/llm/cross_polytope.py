@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import staged
 
 #: Tables, share of the buckets of one whole turn that a query probes, rows of a block, vectors to a bucket.
-TABLES, SHARE, BLOCK, PER_BUCKET = 8, 3 / 32, 4096, 256
+TABLES, SHARE, BLOCK, PER_BUCKET = 8, 1 / 8, 4096, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
