@@ -34,5 +34,40 @@ SELECT conv_id, speaker, string_agg(head || body || chr(10), '' ORDER BY turn NU
        string_agg(CASE WHEN own THEN CAST(past - 1 - length(body) AS VARCHAR) || ':' || CAST(past - 1 AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role, text) AS mask_spans,
        CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS mask_chars
 FROM w GROUP BY conv_id, speaker
+""",
+    "op11_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), occ AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS p, k
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM w) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, p, k, count(*) AS n FROM occ GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, p, k, n AS a, string_split(p, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, p, k, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), scored AS (
+  SELECT cuts.lang, cuts.p, a, j, fx.n AS l, fy.n AS r, (2000000::HUGEINT * a) // (fx.n::HUGEINT + fy.n) AS score
+  FROM cuts JOIN f AS fx ON fx.lang = cuts.lang AND fx.p = cuts.x JOIN f AS fy ON fy.lang = cuts.lang AND fy.p = cuts.y
+), s AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS p, max(a) AS longer
+  FROM (SELECT lang, w, k, a, unnest([1, 2, 3, 1, 2]) AS i, unnest([2, 2, 2, 3, 3]) AS m FROM c) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), kept AS (
+  SELECT s.lang, s.p AS phrase, s.a, s.l, s.r, s.score
+  FROM s LEFT JOIN inner_ AS i ON s.lang = i.lang AND s.p = i.p WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, r.rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, t.n, CAST(r.score AS BIGINT) AS score
+FROM ranked AS r JOIN totals AS t ON r.lang = t.lang WHERE r.rank <= 2000
 """,
 }
