@@ -69,5 +69,38 @@ WITH d AS (
 )
 SELECT r.lang, r.rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, t.n, CAST(r.score AS BIGINT) AS score
 FROM ranked AS r JOIN totals AS t ON r.lang = t.lang WHERE r.rank <= 2000
+""",
+    "op13_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id AS c, list(t ORDER BY place) AS ts FROM turns GROUP BY conv_id
+), hashed AS (  -- CRC-32 of the decimal digits, bit by bit
+  SELECT c, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda h, d: list_reduce(list_prepend(xor(h, d), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295::BIGINT) % 9 AS h
+  FROM own
+), built AS (
+  SELECT a.c, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts FROM hashed AS a LEFT JOIN own AS b ON b.c = a.c - a.c % 5
+), rows AS (
+  SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM built
+), members AS (
+  SELECT c, d, ts[1:d] AS k, CASE WHEN d > 0 THEN ts[1:d - 1] END AS up, len(ts) = d AS ends, CASE WHEN d > 0 THEN strlen(ts[d].text) ELSE 0 END AS size FROM rows
+), nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(size) AS size,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ends FROM members GROUP BY k, d
+), children AS (
+  SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+), sums AS (
+  SELECT n.*, coalesce(ch.n, 0) AS n_children FROM nodes AS n LEFT JOIN children AS ch ON ch.up = n.k
+), spread AS (
+  SELECT *, unnest(range(0, d + 1)) AS e FROM sums
+), subtrees AS (
+  SELECT k[1:e] AS k, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM spread GROUP BY k[1:e]
+)
+SELECT s.conv_id, s.d AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves,
+       CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM sums AS s JOIN subtrees AS t ON t.k = s.k LEFT JOIN nodes AS p ON p.k = s.up
 """,
 }
