@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Vocabulary file of the tokenizer package; read on the driver only.
+#: Vocabulary files of the tokenizer package; read on the driver only.
 TOKENIZER = "piece_bpe_32k.model"
+PACKED = "byte_bpe_50k.json"
 
 
 def tokenizer_path() -> str:
@@ -106,6 +107,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tideline.llm import packing
+
+    with open(public_tokenizers.path(PACKED), encoding="utf-8") as f:  # read on the driver only
+        tokenizer = f.read()
+    done = packing.packed(table(spark, sf_dir, "documents"), tokenizer)
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm import prefix_trie
 
