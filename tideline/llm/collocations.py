@@ -2,8 +2,9 @@
 
 Counting: a task gives words ids of its own and counts phrases in a HAT-trie. Below a shallow trie of word ids lie hash containers, each for a range of
 prefixes; a container that grows too large bursts in two between prefixes (between phrases, where one prefix fills it). When a task holds too many phrases its
-largest subtrees leave as sorted runs, and all that is left leaves at its end. Runs carry the words themselves; they meet by the hash of language and first
-three words (a shorter phrase's all), so that a prefix's runs are added up in one partition and no frequent word or pair fills one.
+largest subtrees leave as sorted runs, and all that is left leaves at its end. Runs of pairs and longer phrases are cut by the hash of language and first three words
+(a pair's both) and compressed, with the words themselves; the runs of one prefix partition meet and are added up there. There is a partition for about every
+million words of the corpus, and no frequent word or pair fills one.
 
 Phrases are counted in three passes, words, pairs, and three or four words together. A phrase that reaches `least` holds only words and pairs that do, so the
 later passes skip places whose words or pairs cannot. What may is known from a sketch of bounded size: it lets some through in vain, and never stops one.
@@ -29,7 +30,9 @@ from tideline.llm.common import freed, mixed, staged, text_buffer
 BURST, HELD, KNOWN, STEP = 1 << 16, 3_000_000, 1_000_000, 1 << 20
 #: Bytes that end a piece, all turned into the last one of them.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b".........." )
-SCHEMA = "lang string, phrase string, n long"
+SCHEMA, RUNS = "lang string, phrase string, n long", "part int, lang string, phrases binary, counts binary"
+#: Words of the corpus for each prefix partition; rows that one window ranks.
+SHARE, RANKED = 1_000_000, 40_000
 
 
 class Container:
@@ -134,8 +137,8 @@ def pair_digest(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class Counted:
     """What a task has counted of one language."""
 
-    def __init__(self, lang: str, level: int, sieves: list[np.ndarray]):
-        self.lang, self.level, self.sieves, self.total = lang, level, sieves, 0
+    def __init__(self, lang: str, level: int, sieves: list[np.ndarray], parts: int):
+        self.lang, self.level, self.sieves, self.parts, self.total = lang, level, sieves, parts, 0
         self.new()
 
     def new(self) -> None:
@@ -191,14 +194,26 @@ class Counted:
         low = np.uint64(0xFFFFFFFF)
 
         def rows(parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-            texts = [words.take(pa.array(p.astype(np.int64))) for p in parts]
-            phrase = pa.compute.binary_join_element_wise(*texts, b" ") if len(texts) > 1 else texts[0]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), self.lang, object), pa.string()), phrase.cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
+            """The run cut by prefix partition; each part's phrases end to end, a line end after each."""
+            h = [self.hashes[p.astype(np.int64)] for p in parts[:3]]
+            of = pair_digest(h[0], h[1]) if len(h) < 3 else pair_digest(pair_digest(h[0], h[1]), h[2])
+            of = (mixed(of) & np.uint64(self.parts - 1)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            own, first = np.unique(of[order], return_index=True)
+            cut = [*first.tolist(), len(order)]
+            texts = [words.take(pa.array(p[order].astype(np.int64))) for p in parts]
+            phrase = pa.compute.binary_join_element_wise(pa.compute.binary_join_element_wise(*texts, b" "), pa.scalar(b""), b"\n").cast(pa.large_binary())
+            at, raw, n = np.frombuffer(phrase.buffers()[1], np.int64), phrase.buffers()[2], counts[order].astype("<u8")
+            packed = [[pa.compress(x, "zstd", asbytes=True) for x in (raw.slice(at[a], at[b] - at[a]), n[a:b].tobytes())] for a, b in zip(cut, cut[1:], strict=False)]
+            size = [int(b - a).to_bytes(8, "little") + int(at[b] - at[a]).to_bytes(8, "little") for a, b in zip(cut, cut[1:], strict=False)]
+            columns = [pa.array(own, pa.int32()), pa.array([self.lang] * len(own), pa.string()), pa.array([s + x[0] for s, x in zip(size, packed, strict=True)], pa.binary()), pa.array([x[1] for x in packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "counts"])
 
         if self.level == 1:
             at = np.flatnonzero(self.single[1:]) + 1
             for a in range(0, len(at), 1 << 16):
-                yield rows([at[a : a + (1 << 16)]], self.single[at[a : a + (1 << 16)]])
+                own = at[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(own), pa.string()), words.take(pa.array(own)).cast(pa.string()), pa.array(self.single[own])], ["lang", "phrase", "n"])
             if self.total:
                 yield pa.RecordBatch.from_arrays([pa.array([self.lang]), pa.array([None], pa.string()), pa.array([self.total], pa.int64())], ["lang", "phrase", "n"])
             self.total, self.single[:] = 0, 0
@@ -228,7 +243,7 @@ def slices(text: bytes, most: int = STEP) -> Iterator[bytes]:
     yield text[a:]
 
 
-def counts(level: int, sieves: list, batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+def counts(level: int, sieves: list, parts: int, batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
     """Runs of the phrases of a level in a task's texts, with at most `held` phrases kept."""
     own, none, sieves = {}, np.zeros(0, np.int64), [s.value for s in sieves]
 
@@ -247,7 +262,7 @@ def counts(level: int, sieves: list, batches: Iterator[pa.RecordBatch], held: in
             codes = batch.column(1).dictionary_encode()
             of, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
             for code, lang in enumerate(of):
-                c = own.setdefault(lang, Counted(lang, level, sieves))
+                c = own.get(lang) or own.setdefault(lang, Counted(lang, level, sieves, parts))
                 block, size = [], 0
                 for i in np.flatnonzero(at == code):
                     n = offsets[i + 1] - offsets[i]
@@ -273,11 +288,26 @@ def counts(level: int, sieves: list, batches: Iterator[pa.RecordBatch], held: in
         freed()
 
 
-def merged(docs: DataFrame, level: int, sieves: list) -> DataFrame:
-    """lang, phrase, n of all phrases of a level; runs are added up by prefix."""
-    runs = docs.mapInArrow(lambda batches: counts(level, sieves, batches), SCHEMA)
-    by_prefix = runs.withColumn("part", F.xxhash64("lang", F.substring_index("phrase", " ", 3))).repartition("part")
-    return by_prefix.groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("part")
+def merged(docs: DataFrame, level: int, sieves: list, least: int, words: int) -> DataFrame:
+    """lang, phrase, n of the phrases of a level that occur `least` times; runs are added up by prefix partition. words: of the corpus."""
+    parts = 1 << (words // SHARE).bit_length()
+    runs = docs.mapInArrow(lambda batches: counts(level, sieves, parts, batches), RUNS)
+
+    def added(group: pa.Table) -> pa.Table:
+        phrases, n = [], []
+        for x, c in zip(group["phrases"], group["counts"], strict=True):
+            x = x.as_buffer()
+            many, size = (int.from_bytes(x[a : a + 8].to_pybytes(), "little") for a in (0, 8))
+            raw = pa.decompress(x.slice(16), size, "zstd")
+            at = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1])
+            phrases.append(pa.Array.from_buffers(pa.large_binary(), many, [None, pa.py_buffer(at.astype(np.int64)), raw]))
+            n.append(pa.Array.from_buffers(pa.int64(), many, [None, pa.decompress(c.as_buffer(), 8 * many, "zstd")]))
+        sums = pa.table({"phrase": pa.chunked_array(phrases), "n": pa.chunked_array(n)}).group_by("phrase").aggregate([("n", "sum")])
+        sums = sums.filter(pa.compute.greater_equal(sums["n_sum"], least))
+        phrase = pa.compute.binary_slice(sums["phrase"].cast(pa.binary()), 0, -1).cast(pa.string())
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(sums), pa.string()), "phrase": phrase, "n": sums["n_sum"]})
+
+    return runs.groupBy("part", "lang").applyInArrow(added, SCHEMA)
 
 
 def sieve(frequent: DataFrame) -> np.ndarray:
@@ -296,14 +326,15 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     """(lang, phrase, n, words) of one to four words that occur `least` times or more, and (lang, n) with all word occurrences of each language."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    enough = F.col("phrase").isNull() | (F.col("n") >= least)
-    words = staged(merged(rows, 1, []).where(enough), "words")
+    each = rows.mapInArrow(lambda batches: counts(1, [], 1, batches), SCHEMA).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = staged(each.where(F.col("phrase").isNull() | (F.col("n") >= least)), "words")
     totals = words.where("phrase IS NULL").select("lang", "n")
+    total = int(totals.agg(F.sum("n")).first()[0] or 0)
     words = words.where("phrase IS NOT NULL")
     sieves = [spark.sparkContext.broadcast(sieve(words))]
-    pairs = staged(merged(rows, 2, sieves).where(enough), "pairs")
+    pairs = staged(merged(rows, 2, sieves, least, total), "pairs")
     sieves.append(spark.sparkContext.broadcast(sieve(pairs)))
-    longer = staged(merged(rows, 3, sieves).where(enough), "longer")
+    longer = staged(merged(rows, 3, sieves, least, total), "longer")
     return words.union(pairs).union(longer).withColumn("words", F.size(F.split("phrase", " "))), totals
 
 
@@ -332,8 +363,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     kept = scored.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * exact("longer") < inside * exact("a"))).drop("longer")
     kept = staged(kept, "collocations")
     # The first of each language among the first of each share of it, so that no language is sorted by one task
-    best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(1 + kept.count() // 50_000)))
-    few = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).where(F.col("place") <= top)
+    best, few, n = (F.desc("score"), F.desc("a"), F.asc("phrase")), kept, kept.count()
+    while n > RANKED:
+        salted = few.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(1 + n // RANKED)))
+        few = staged(salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).where(F.col("place") <= top).drop("salt", "place"), "few")
+        before, n = n, few.count()
+        if n == before:
+            break
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals.withColumnRenamed("n", "_n")) if totals.limit(10_001).count() <= 10_000 else totals.withColumnRenamed("n", "_n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("_n").alias("n"), "score")
