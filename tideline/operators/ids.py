@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "id", sta
     on the partitions, if it has no ties.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    df = staged(df, "to-number")  # ranging reads its input twice, once for the bounds
     ranged = staged(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
@@ -27,6 +30,8 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "id", sta
 
 
 def dense_numbered(df: DataFrame, keys: Sequence[str], name: str = "id", start: int = 1) -> DataFrame:
-    """df with the place of its keys among the distinct keys."""
+    """df with the place of its keys among the distinct keys; a NULL is a value of its own and comes first."""
     numbers = numbered(df.select(*keys).distinct(), keys, name, start)
-    return df.join(numbers, list(keys))
+    numbers = numbers.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(and_, [df[k].eqNullSafe(numbers[f"_key_{k}"]) for k in keys])
+    return df.join(numbers, same).drop(*[f"_key_{k}" for k in keys])

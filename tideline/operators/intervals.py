@@ -79,6 +79,33 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
     return out.select(*left.columns, *[F.col(f"_held.{c}").alias(c) for c in names if c not in left.columns])
 
 
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], before_minutes: int | None = None, after_minutes: int | None = None, side: str = "either") -> DataFrame:
+    """For every row of left the nearest row of right before its time, after it, or on either side: right's time and values, NULL without one near enough.
+
+    A row at the same time is on both sides; of two at equal distance the earlier counts. Both sides are united once, and a running last value is taken in either direction, so that
+    no pair of rows is made. Right rows must be unique by keys and time.
+    """
+    names = [*values, right_time]
+    packed = F.struct(*[F.col(c) for c in names])
+    kind = right.select(packed.alias("p")).schema[0].dataType
+    events = left.withColumns({"_side": F.lit(1), "_at": F.col(left_time), "_row": F.lit(None).cast(kind)})
+    rows = events.unionByName(right.select(*by, F.lit(0).alias("_side"), F.col(right_time).alias("_at"), packed.alias("_row")), allowMissingColumns=True)
+    past = Window.unboundedPreceding
+    back = Window.partitionBy(*by).orderBy(F.asc("_at"), "_side").rowsBetween(past, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_at"), "_side").rowsBetween(past, 0)
+    found = rows.withColumns({"_b": F.last("_row", ignorenulls=True).over(back), "_a": F.last("_row", ignorenulls=True).over(ahead)}).where("_side = 1")
+    t = F.col(left_time)
+    gap_b, gap_a = seconds_between(F.col(f"_b.{right_time}"), t), seconds_between(t, F.col(f"_a.{right_time}"))
+    near_b = gap_b <= 60 * before_minutes if before_minutes is not None else gap_b.isNotNull()
+    near_a = gap_a <= 60 * after_minutes if after_minutes is not None else gap_a.isNotNull()
+    b, a = (F.when(near, F.col(c)) for near, c in ((near_b, "_b"), (near_a, "_a")))
+    if side == "either":
+        hit = F.when(near_b & (~F.coalesce(near_a, F.lit(False)) | (gap_b <= gap_a)), F.col("_b")).otherwise(a)
+    else:
+        hit = b if side == "before" else a
+    return found.withColumn("_hit", hit).select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in names if c not in left.columns])
+
+
 def superseded(rows: DataFrame, key: str, amends: str) -> DataFrame:
     """Rows that no other row amends."""
     gone = rows.where(F.col(amends).isNotNull()).select(F.col(amends).alias(key)).distinct()

@@ -166,3 +166,18 @@ def extremes(windows: DataFrame, readings: DataFrame, kinds: DataFrame, threshol
     first = F.min(F.when(beyond, F.col("reading_time")))
     g = r.groupBy(KEY).agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), F.count(F.lit(1)).alias("count"), minutes_between(F.min("start_time"), first).alias("minutes_to_first"))
     return windows.select(KEY).join(g, KEY, "left").withColumn("count", F.coalesce("count", F.lit(0)))
+
+
+def result_around(episodes: DataFrame, labs: DataFrame, kind: str, side: str, hours: float, subject: str = "patient_key") -> DataFrame:
+    """The subject's laboratory result of a kind nearest to each episode, within so many hours: before its start, after its stop, or on either side of its start.
+
+    episodes(anaesthetic_key, subject, start_time, stop_time), labs(subject, kind, taken_time, value, lab_key). An episode without such a result, or without the time that counts, has NULL. Of several results
+    at one time that with the smallest key counts.
+    """
+    from tideline.operators.intervals import KEY, best_at_time, nearest
+
+    time = "stop_time" if side == "after" else "start_time"
+    held = best_at_time(labs.where((F.col("kind") == kind) & F.col("value").isNotNull() & F.col("taken_time").isNotNull()), [F.col("lab_key")], (subject, "taken_time"))
+    minutes = int(60 * hours)
+    out = nearest(episodes.select(KEY, subject, F.col(time).alias("_t")), held.select(subject, "taken_time", "value"), (subject,), "_t", "taken_time", ["value"], minutes, minutes, side)
+    return out.select(KEY, subject, F.when(F.col("_t").isNotNull(), F.col("taken_time")).alias("taken_time"), F.when(F.col("_t").isNotNull(), F.col("value")).alias("value"))

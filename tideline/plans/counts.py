@@ -91,10 +91,26 @@ def cliffs(counts: DataFrame, total: str, figures: Sequence[str], period: str =
     high = F.least((F.col("n") + step - 1) / F.col("total"), F.lit(1.0))
     low = F.col("n") / (F.col("total") + step - 1)
     rows = rows.withColumns({"share": F.col("n") / F.col("total"), "_high": high, "_low": low}).withColumn("best", F.max("_low").over(Window.partitionBy("figure")))
-    short = F.col("best") * F.col("total") - F.col("n")
+    short = (F.col("best") - F.col("_high")) * F.col("total")
     return rows.where((F.col("_high") <= fraction * F.col("best")) & (short >= shortfall)).select(period, "figure", "share", "best")
 
 
+def changed_bands(gaps: DataFrame, bands: Sequence[str], kind: str = "kind", period: str = "year") -> DataFrame:
+    """kind, year, band, usual: years whose commonest band of gaps is not the band that is commonest in most of the kind's years. gaps: (kind, year, band, gaps).
+
+    Of equally common bands the earlier one of `bands` counts, in a year and over the years; bands that are not listed come last, by name. Both are
+    maxima within groups, so that nothing is sorted.
+    """
+    order = F.coalesce(F.try_element_at(F.create_map(*[x for i, b in enumerate(bands) for x in (F.lit(b), F.lit(-i))]), F.col("band")), F.lit(-len(bands)))
+    year = gaps.where(F.col(period).isNotNull() & F.col("band").isNotNull()).groupBy(kind, period, "band").agg(F.sum("gaps").alias("n")).withColumn("_o", order)
+    name = F.col("band")  # names fall after the order of bands, smallest first
+    mode = year.groupBy(kind, period, "_o").agg(F.max("n").alias("n"), F.min_by(name, F.struct(-F.col("n"), name)).alias("band")).groupBy(kind, period).agg(F.max_by("band", F.struct("n", "_o")).alias("band"))
+    votes = mode.groupBy(kind, "band").agg(F.count(F.lit(1)).alias("years")).withColumn("_o", order)
+    votes = votes.groupBy(kind, "_o").agg(F.max("years").alias("years"), F.min_by(name, F.struct(-F.col("years"), name)).alias("band"))
+    usual = votes.groupBy(F.col(kind).alias("_k")).agg(F.max_by("band", F.struct("years", "_o")).alias("usual"))
+    return mode.join(usual, F.col(kind).eqNullSafe(F.col("_k"))).where("band <> usual").select(kind, period, "band", "usual")
+
+
 def outside_shares(outside_counts: DataFrame, period: str = "year", most: float = 0.25) -> DataFrame:
     """Periods whose share of readings before the start or after the stop lies `most` or more above the least share: period, share, least."""
     rows = outside_counts.where("readings > 0").withColumn("share", (F.col("before_start") + F.col("after_stop")) / F.col("readings"))
@@ -114,8 +130,8 @@ def shares(counts: DataFrame, total: str, figures: Sequence[str]) -> DataFrame:
     return counts.select(*[c for c in counts.columns if c not in figures], *[F.round(100 * F.try_divide(F.col(f), F.col(total)), 0).cast("long").alias(f"{f}_percent") for f in figures])
 
 
-def with_coverage(result: DataFrame, coverage: DataFrame, flagged: DataFrame, empty_by_year: DataFrame, period: str = "year", most_blank: int = 4) -> DataFrame:
-    """Coverage of each period with whether it is flagged and how many results without a reading fall in it, blanked if few; `result` only gives the columns' session."""
+def with_coverage(coverage: DataFrame, flagged: DataFrame, empty_by_year: DataFrame, period: str = "year", most_blank: int = 4) -> DataFrame:
+    """Coverage of each period with whether it is flagged and how many results without a reading fall in it, blanked if few."""
     years = flagged.select(period).distinct().withColumn("flagged", F.lit(True))
     out = coverage.join(years, period, "left").join(empty_by_year.withColumnRenamed("anaesthetics", "without_reading"), period, "left")
     n = F.coalesce("without_reading", F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -24,13 +25,25 @@ def floored(df: DataFrame, group: str, figures: Sequence[str] = (), step: int =
 NEVER_LISTED = ("NAME", "COMMENT", "ADDR", "TEXT", "NOTE", "DESC", "EMAIL", "PHONE")
 
 
+# Types of short text and of whole numbers
+SHORT_TEXT = ("CHAR", "VARCHAR", "NCHAR", "NVARCHAR")
+WHOLE = ("TINYINT", "SMALLINT", "INT", "INTEGER", "BIGINT", "BIT")
+SCALED = ("DECIMAL", "NUMERIC")
+
+
 def listable(columns: Sequence[tuple[str, str]], private: Sequence[str] = NEVER_LISTED, longest: int = 70) -> list[str]:
-    """Names of columns (name, type) whose values may be listed: none about persons or free text, none of long text."""
-    import re
+    """Names of columns (name, type) whose values may be listed: whole numbers and text of a stated length up to `longest`, and none named like free text or persons.
+
+    A type is written as in a catalogue, such as VARCHAR(20) or DECIMAL(9,0). Text of no stated length or MAX, and every other type, is not listed.
+    """
 
-    def wide(kind: str) -> bool:
-        n = re.search(r"\((\d+)\)", kind)
-        text = re.match(r"n?(?:var)?char", kind.lower())
-        return bool(text) and ("max" in kind.lower() or (bool(n) and int(n[1]) > longest))
+    def short(kind: str) -> bool:
+        m = re.fullmatch(r"\s*(\w+)\s*(?:\(\s*(\w+)\s*(?:,\s*(\d+)\s*)?\))?\s*", kind.upper())
+        if not m:
+            return False
+        base, size, scale = m[1], m[2], m[3]
+        if base in SHORT_TEXT:
+            return bool(size) and size.isdigit() and 0 < int(size) <= longest
+        return base in WHOLE or (base in SCALED and int(scale or 0) == 0)
 
-    return [name for name, kind in columns if not any(p in name.upper() for p in private) and not wide(kind)]
+    return [name for name, kind in columns if not any(p in name.upper() for p in private) and short(kind)]

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.staging import staged
+
 K1, B = 1.2, 0.5
 
 #: Left out by default: words that carry no meaning alone.
@@ -76,6 +78,34 @@ def bm25(queries: DataFrame, query: str, query_tokens: Column, docs: DataFrame,
     return hits.groupBy(query, doc).agg(F.sum(gain).alias("score"))
 
 
+def top_k(queries: DataFrame, query: str, query_tokens: Column, docs: DataFrame, doc: str, tokens: Column, k: int) -> DataFrame:
+    """query, doc, score, rank: each query's k best documents by BM25, ties by document, without scoring every pair that shares a word.
+
+    Postings are kept with their gains, and words with their number of documents and their highest gain. A query's rarest words, as many as reach k documents, give a score that its k-th best
+    document has at least. Words whose highest gains together stay below that cannot lift a document among the best, so their postings are not expanded; the documents of the other words
+    are scored in full. A word that most documents share is therefore only looked up for few of them.
+    """
+    p = postings(docs, doc, tokens)
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("average"))
+    df = p.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    gains = staged(p.join(df, "word").crossJoin(F.broadcast(total)).select("word", F.col(doc).alias("doc"), gain.alias("gain")), "gains")  # one row of totals
+    stats = gains.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.max("gain").alias("most"))
+    asked = queries.select(F.col(query).alias("q"), F.explode_outer(query_tokens).alias("word")).where("word IS NOT NULL").groupBy("q", "word").agg(F.count(F.lit(1)).alias("times"))
+    asked = staged(asked.join(stats, "word"), "asked")  # words that no document has give nothing
+    own = Window.partitionBy("q")
+    rare = asked.withColumn("_before", F.coalesce(F.sum("df").over(own.orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < k)
+    partial = rare.join(gains, "word").groupBy("q", "doc").agg(F.sum(F.col("times") * F.col("gain")).alias("s"))
+    reached = partial.withColumn("_n", F.row_number().over(own.orderBy(F.desc("s")))).where(F.col("_n") == k).select("q", F.col("s").alias("floor"))
+    sums = F.sum(F.col("times") * F.col("most")).over(own.orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0))
+    weighed = asked.withColumn("_sum", sums).join(reached, "q", "left")
+    needed = weighed.where(F.col("floor").isNull() | (F.col("_sum") >= F.col("floor") * (1 - 1e-9)))
+    candidates = needed.select("q", "word").join(gains.select("word", "doc"), "word").select("q", "doc").distinct()
+    scored = candidates.join(asked.select("q", "word", "times"), "q").join(gains, ["word", "doc"]).groupBy("q", "doc").agg(F.round(F.sum(F.col("times") * F.col("gain")), 9).alias("score"))
+    return best(scored, "q", "doc", k).select(F.col("q").alias(query), F.col("doc").alias(doc), "score", "rank")
+
+
 def in_order(phrase: Column, tokens: Column, gap: int = 2) -> Column:
     """Whether the phrase's words stand in tokens in order, with at most `gap` words between neighbours.
 

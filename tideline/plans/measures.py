@@ -142,8 +142,8 @@ OPENING = ("infusion_start", "rate_change", "infusion_restart")
 INFUSION = (*OPENING, "infusion_pause", "infusion_stop")
 
 
-def exposure_intervals(drugs: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Infusions as intervals: a start, rate change or restart runs until the next event of its order, or of its episode and drug without an order.
+def exposure_intervals(drugs: DataFrame, concepts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Infusions as intervals, with the columns of `keep`: a start, rate change or restart runs until the next event of its order, or of its episode and drug without an order.
 
     Amended rows are left out; a pause or stop opens nothing; no later event gives no end and a reason.
     """
@@ -154,7 +154,7 @@ def exposure_intervals(drugs: DataFrame, concepts: DataFrame) -> DataFrame:
     out = rows.join(one_concept(concepts).withColumnRenamed("local_key", "drug"), "drug", "left")
     return out.select(
         "drug_event_key", KEY, "order_key", "drug", F.coalesce("concept_id", F.lit(0)).alias("drug_concept_id"), F.col("given_time").alias("started"), "ended",
-        F.when(F.col("ended").isNull(), F.lit("stop not recorded")).alias("stop_reason"), F.concat(F.coalesce("status", F.lit("unlisted")), F.lit(":"), F.col("drug")).alias("drug_source_value"), "amount",
+        F.when(F.col("ended").isNull(), F.lit("stop not recorded")).alias("stop_reason"), F.concat(F.coalesce("status", F.lit("unlisted")), F.lit(":"), F.col("drug")).alias("drug_source_value"), "amount", *keep,
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tideline.functions.text import cut, number, open_end, pressures, repaired_end
 from tideline.functions.time import completed_months, completed_years, days_between, minutes_between, plus
 from tideline.operators.ids import numbered
+from tideline.plans.measures import exposure_intervals
 from tideline.sources.staging import staged
 
 Tables = dict[str, DataFrame]
@@ -102,12 +103,12 @@ def drug_exposure(t: Tables) -> DataFrame:
     return rows.select(
         "drug_exposure_id", "person_id", F.coalesce("what", F.lit(0)).cast("long").alias("drug_concept_id"), F.col("given_time").cast("date").alias("drug_exposure_start_date"), F.col("given_time").cast("date").alias("drug_exposure_end_date"),
         F.col("amount").alias("quantity"), F.coalesce("way", F.lit(0)).cast("long").alias("route_concept_id"), "visit_occurrence_id", cut(F.col("label"), 50).alias("drug_source_value"),
-        F.col("given_time").alias("drug_exposure_start_datetime"), *[F.lit(None).cast(kind).alias(name) for name, kind in (("drug_exposure_end_datetime", "timestamp_ntz"), ("drug_type_concept_id", "long"), ("stop_reason", "string"), ("sig", "string"), ("visit_detail_id", "long"))],
+        F.col("given_time").alias("drug_exposure_start_datetime"), *[F.lit(None).cast(kind).alias(name) for name, kind in (("drug_exposure_end_datetime", "timestamp_ntz"), ("drug_type_concept_id", "long"), ("stop_reason", "string"), ("sig", "string"), ("visit_detail_id", "long"), ("route_source_value", "string"), ("dose_unit_source_value", "string"))],
     )
 
 
 def drug_infusion(t: Tables) -> DataFrame:
-    """Periods at one rate: an action under SITE_DRUG_RUNNING runs until the next mapped action of the same drug and episode; without one it has no end but a reason.
+    """The direct form, for sources without the role view of drugs. Periods at one rate: an action under SITE_DRUG_RUNNING runs until the next mapped action of the same drug and episode; without one it has no end but a reason.
 
     In the layer's own range of numbers.
     """
@@ -127,6 +128,27 @@ def drug_infusion(t: Tables) -> DataFrame:
     )
 
 
+# Concepts of routes of the role view
+ROUTES = {"intravenous": 4171047, "oral": 4132161, "inhaled": 40486069}
+
+
+def drug_infusion_roles(t: Tables) -> DataFrame:
+    """Infusions from the role view: corrections are resolved to their last row, and a period ends with the next event of its order, or of its episode and drug without one.
+
+    role_drugs(drug_event_key, anaesthetic_key, order_key, drug, action, amount, unit, route, given_time, amends_key) and drug_concepts(local_key, concept_id, status). Episodes without
+    a visit detail are left out. Numbers begin at 1 within the layer's range.
+    """
+    rows = exposure_intervals(t["role_drugs"], t["drug_concepts"], keep=("unit", "route"))
+    detail = t["visit_detail"].select(F.col("visit_detail_source_value").alias("anaesthetic_key"), "visit_detail_id", "visit_occurrence_id", "person_id")
+    rows = numbered(rows.join(detail, "anaesthetic_key"), ["anaesthetic_key", "order_key", "started", "drug_event_key", "visit_detail_id"], "drug_exposure_id")
+    route = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv]), F.col("route")), F.lit(0))
+    return rows.select(
+        "drug_exposure_id", "person_id", F.col("drug_concept_id").cast("long").alias("drug_concept_id"), F.col("started").cast("date").alias("drug_exposure_start_date"), F.col("started").alias("drug_exposure_start_datetime"),
+        F.coalesce("ended", "started").cast("date").alias("drug_exposure_end_date"), F.col("ended").alias("drug_exposure_end_datetime"), F.lit(FROM_ADMINISTRATION).cast("long").alias("drug_type_concept_id"), "stop_reason",
+        F.col("amount").cast("string").alias("sig"), route.cast("long").alias("route_concept_id"), "visit_occurrence_id", "visit_detail_id", "drug_source_value", cut(F.col("route"), 50).alias("route_source_value"), cut(F.col("unit"), 50).alias("dose_unit_source_value"),
+    )
+
+
 def visit_detail(t: Tables, through_case: bool = False) -> DataFrame:
     """One for each episode with a visit and no stop before its start; the first member of staff is its provider.
 
@@ -352,7 +374,7 @@ CORE: Sequence[Step] = (
     Step("device_exposure", device_exposure, "device_exposure_id"),
 )
 LAYER_BASE = 5_000_000_000
-LAYER: Sequence[Step] = (Step("measurement", measurement_asa, "measurement_id", LAYER_BASE), Step("drug_exposure", drug_infusion, "drug_exposure_id", LAYER_BASE))
+LAYER: Sequence[Step] = (Step("measurement", measurement_asa, "measurement_id", LAYER_BASE), Step("drug_exposure", lambda t: drug_infusion_roles(t) if "role_drugs" in t else drug_infusion(t), "drug_exposure_id", LAYER_BASE))
 DERIVED: Sequence[Step] = (
     Step("observation_period", observation_period, "observation_period_id"),
     Step("anaesthetic", anaesthetic, "anaesthetic_id"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +26,19 @@ def row_count(df: DataFrame, step: int = 10) -> DataFrame:
 
 
 def columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """column, rows, distinct_count, null_count, is_unique: of all columns in one pass."""
-    cells = [c for n in names for c in (F.countDistinct(n).alias(f"d_{n}"), F.count(n).alias(f"c_{n}"))]
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *cells)
+    """column, rows, distinct_count, null_count, is_unique: of all columns in one pass.
 
-    def row(n: str) -> Column:
-        d, c = F.col(f"d_{n}"), F.col(f"c_{n}")
-        return F.struct(F.lit(n).alias("column"), F.col("_n").alias("rows"), d.alias("distinct_count"), (F.col("_n") - c).alias("null_count"), F.when((c == d) & (d > 0), 1).otherwise(0).alias("is_unique"))
-
-    return one.select(F.explode(F.array(*map(row, names))).alias("r")).select("r.*")
+    Rows become (column, 128-bit digest of the value), counted by both and then by column: memory is bounded by spilling, whatever the number of columns or values.
+    """
+    value = lambda n: F.col(n) + F.lit(0.0) if dict(df.dtypes)[n] in ("double", "float") else F.col(n)  # noqa: E731  one zero
+    digest = lambda n: F.when(F.col(n).isNotNull(), F.struct(F.xxhash64(value(n)).alias("h"), F.xxhash64(F.lit(1), value(n)).alias("g")))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), digest(n).alias("v")) for i, n in enumerate(names)]))
+    each = df.select(cells.alias("c")).select("c.i", "c.v.h", "c.v.g").groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    sums = each.groupBy("i").agg(F.sum("n").alias("rows"), F.count("h").alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)).alias("null_count"))
+    listed = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, column string")
+    out = listed.join(sums, "i", "left").fillna(0, ["rows", "distinct_count", "null_count"])  # an empty table has no sums
+    held, d = F.col("rows") - F.col("null_count"), F.col("distinct_count")
+    return out.select("column", "rows", "distinct_count", "null_count", F.when((held == d) & (d > 0), 1).otherwise(0).alias("is_unique"))
 
 
 def years(df: DataFrame, column: str) -> DataFrame:
@@ -101,3 +106,42 @@ def sampled(df: DataFrame, percent: float, seed: int = 1) -> DataFrame:
 def scaled(counts: DataFrame, figures: Sequence[str], percent: float) -> DataFrame:
     """Counts of a sample as those of the whole, to whole rows."""
     return counts.withColumns({c: F.round(F.col(c) * (100 / percent), 0).cast("long") for c in figures})
+
+
+@dataclass(frozen=True)
+class BlockSample:
+    """A sample of a table's files: their rows, the files that there are and that are read, and bytes likewise."""
+
+    rows: DataFrame
+    blocks: int
+    read: int
+
+
+def block_sampled(df: DataFrame, percent: float, seed: int = 1, name: Callable[[str], str] = lambda f: f.rsplit("/", 1)[-1]) -> BlockSample:
+    """Whole files of a table that was read from Parquet files, each chosen by a digest of its name and the seed; one at least. The others are not opened.
+
+    Only names of files, which the driver lists for any read, are looked at.
+    """
+    from hashlib import md5
+
+    files = sorted(df.inputFiles())
+    share = lambda f: int(md5(f"{seed}:{name(f)}".encode()).hexdigest()[:8], 16) / (1 << 32)
+    chosen = [f for f in files if share(f) < percent / 100] or sorted(files, key=share)[:1]
+    if not chosen:
+        return BlockSample(df, 0, 0)
+    return BlockSample(df.sparkSession.read.schema(df.schema).format("parquet").load(chosen), len(files), len(chosen))
+
+
+def estimated(sample: BlockSample, conditions: Mapping[str, Column]) -> DataFrame:
+    """figure, estimate, standard_error: of the rows that meet each condition in the whole table, from their counts in the sample's files.
+
+    A file is a cluster: the error is that of the mean over files without replacement; none for a sample of all files, NULL for one file of several.
+    """
+    n, blocks = sample.read, sample.blocks
+    by_file = sample.rows.groupBy(F.input_file_name().alias("_f")).agg(*[F.count_if(c).alias(k) for k, c in conditions.items()])
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.col(k).alias("x")) for k in conditions]))
+    sums = by_file.select(cells.alias("c")).groupBy("c.figure").agg(F.sum("c.x").cast("double").alias("s"), F.sum(F.col("c.x").cast("double") * F.col("c.x")).alias("q"))
+    listed = sample.rows.sparkSession.createDataFrame([(k,) for k in conditions], "figure string").join(sums, "figure", "left").fillna(0.0, ["s", "q"])  # files without rows give none
+    variance = F.greatest((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1), F.lit(0.0)) if n > 1 else F.lit(None).cast("double")
+    error = F.lit(0.0) if n == blocks else blocks * F.sqrt((1 - n / blocks) * variance / n)
+    return listed.select("figure", (F.col("s") * (blocks / n if n else 0)).alias("estimate"), error.alias("standard_error"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.sources.staging import staged
+
 
 def repeated(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys held by more than one row."""
@@ -144,6 +146,64 @@ def unlike(found: DataFrame, expected: DataFrame, key: Sequence[str]) -> DataFra
     return out.where("columns IS NULL OR size(columns) > 0").select(*key, "columns")
 
 
+def _scaled(x: Column) -> Column:
+    """Values in which the relative tolerance beyond 1 is about an absolute one: x up to 1, and 1 + ln x beyond."""
+    return F.when(F.abs(x) <= 1, x).otherwise(F.signum(x) * (1 + F.log(F.abs(x))))
+
+
+def unmatched(found: DataFrame, expected: DataFrame, tolerance: float = 1e-6, by: int = 3) -> DataFrame:
+    """The rows of either side that have no partner on the other, with `side` and `n`; no key is needed, and repeated rows count.
+
+    Rows are partners if their numbers agree as in `same_value` and all other values are equal, NULL with NULL. Equal rows are paired first. What is left, distinct rows
+    with their counts, meets by the cells of a grid over its first `by` numbers and the neighbouring cells; the nearest partners are paired, then the nearest of the rest, ties by the
+    rows' texts, until none is near. Each round pairs at least the nearest, and every row with its own nearest at once, so that rounds are few.
+    """
+    names = found.columns
+    kinds = dict(expected.dtypes)
+    numbers = [c for c in names if isinstance(expected.schema[c].dataType, T.NumericType)]
+    both = []
+    for df in (found, expected):
+        rows = df.select(*[F.col(c).cast("double" if c in numbers else kinds[c]).alias(c) for c in names])
+        both.append(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in names]), {"ignoreNullFields": "false"})))
+    a, b = both
+    j = a.select("row", F.col("n").alias("_a")).join(b.select("row", F.col("n").alias("_b")), "row", "full")
+    left = staged(j.select("row", (F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0))).alias("d")).where("d <> 0"), "left")
+    sides = [a.drop("n").join(left.where("d > 0"), "row").withColumnRenamed("d", "n"), b.drop("n").join(left.where("d < 0"), "row").withColumn("n", -F.col("d")).drop("d")]
+
+    width, gridded = 2 * tolerance, numbers[:by]
+
+    def placed(df: DataFrame, near: bool) -> DataFrame:
+        for i, c in enumerate(gridded):
+            cell = F.floor(_scaled(F.col(c)) / width)
+            cell = F.when(F.isnan(c) | (F.abs(c) == float("inf")) | F.col(c).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(cell - 1, cell + 1) if near else F.array(cell))
+            df = df.withColumn(f"_g{i}", F.explode(cell))
+        return df
+
+    x, y = placed(sides[0], True), placed(sides[1], False)
+    x = x.select(F.col("row").alias("a"), F.struct(*names).alias("_x"), *[F.col(f"_g{i}").alias(f"_x{i}") for i in range(len(gridded))], *[F.col(c).cast("string").alias(f"_t{i}") for i, c in enumerate(names) if c not in numbers])
+    y = y.select(F.col("row").alias("b"), F.struct(*names).alias("_y"), *[F.col(f"_g{i}").alias(f"_y{i}") for i in range(len(gridded))], *[F.col(c).cast("string").alias(f"_u{i}") for i, c in enumerate(names) if c not in numbers])
+    on, close, apart = F.lit(True), F.lit(True), F.lit(0.0)
+    for i in range(len(gridded)):
+        on = on & F.col(f"_x{i}").eqNullSafe(F.col(f"_y{i}"))
+    for i, c in enumerate(names):
+        if c in numbers:
+            close = close & same_value(F.col("_x")[c], F.col("_y")[c], True, tolerance)
+            apart = apart + F.coalesce(F.nanvl(F.abs(F.col("_x")[c] - F.col("_y")[c]), F.lit(0.0)), F.lit(0.0))
+        else:
+            on = on & F.col(f"_t{i}").eqNullSafe(F.col(f"_u{i}"))
+    pairs = staged(x.join(y, on).where(close).select("a", "b", apart.alias("apart")).distinct(), "pairs")
+    counts = [staged(s.select("row", "n"), "counts") for s in sides]
+    while True:
+        live = pairs.join(counts[0].withColumnsRenamed({"row": "a", "n": "na"}), "a").join(counts[1].withColumnsRenamed({"row": "b", "n": "nb"}), "b")
+        ranked = live.withColumns({p: F.row_number().over(Window.partitionBy(p[1]).orderBy("apart", "a", "b")) for p in ("_a", "_b")})
+        taken = staged(ranked.where("_a = 1 AND _b = 1").select("a", "b", F.least("na", "nb").alias("n")), "taken")
+        if not taken.limit(1).count():
+            break
+        counts = [staged(c.join(taken.select(F.col(k).alias("row"), F.col("n").alias("_n")), "row", "left").select("row", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")).where("n > 0"), "counts") for c, k in zip(counts, ("a", "b"), strict=True)]
+    out = [s.drop("n").join(c, "row").select(*names, F.lit(side).alias("side"), "n") for s, c, side in zip(sides, counts, ("unexpected", "missing"), strict=True)]
+    return out[0].unionByName(out[1])
+
+
 @dataclass(frozen=True)
 class Stage:
     """One step of a waterfall: a join that must find a partner, or a condition; a name to charge the loss to."""
@@ -154,27 +214,79 @@ class Stage:
     on: tuple[str, str] | None = None
 
 
-def waterfall(source: DataFrame, key: str, stages: Sequence[Stage]) -> DataFrame:
-    """stage, kept, lost: distinct source rows left after each stage, all counted in one pass over one join chain.
+def survived(source: DataFrame, key: str, stages: Sequence[Stage]) -> DataFrame:
+    """key, reached, targets: how many stages in a row each source row meets at best, and how many of its joined rows meet all of them.
 
-    Joins are left joins with a mark, so that no row goes early; a row counts at a stage if every mark and condition so far holds.
+    One join chain of left joins, so that no row goes early; a joined row carries the number of stages it meets in a row, and a key its largest. Rows without a key are not followed.
     """
-    rows, alive, marks = source, F.lit(True), [F.lit(True)]
+    rows, met = source, []
     for i, s in enumerate(stages):
+        holds = F.lit(True)
         if s.partner is not None:
             left, right = s.on
             partner = s.partner.withColumn(f"_m{i}", F.lit(True)).withColumnRenamed(right, f"_k{i}") if right in rows.columns else s.partner.withColumn(f"_m{i}", F.lit(True))
             rows = rows.join(partner, F.col(left) == F.col(f"_k{i}" if right in rows.columns else right), "left")
-            alive = alive & F.col(f"_m{i}").isNotNull()
+            holds = holds & F.col(f"_m{i}").isNotNull()
         if s.condition is not None:
-            alive = alive & F.coalesce(s.condition, F.lit(False))
-        marks.append(alive)
-    one = rows.agg(*[F.countDistinct(F.when(m, F.col(key))).alias(f"c{i}") for i, m in enumerate(marks)])
+            holds = holds & F.coalesce(s.condition, F.lit(False))
+        met.append(holds)
+    depth = F.lit(len(stages))
+    for i in reversed(range(len(stages))):
+        depth = F.when(met[i], depth).otherwise(F.lit(i))
+    each = rows.where(F.col(key).isNotNull()).select(F.col(key), depth.alias("_depth"))
+    return each.groupBy(key).agg(F.max("_depth").alias("reached"), F.count_if(F.col("_depth") == len(stages)).alias("targets"))
+
+
+def waterfall(source: DataFrame, key: str, stages: Sequence[Stage]) -> DataFrame:
+    """stage, kept, lost: distinct source rows left after each stage, all counted in one pass over one join chain."""
+    one = survived(source, key, stages).agg(*[F.count_if(F.col("reached") >= i).alias(f"c{i}") for i in range(len(stages) + 1)])
     names = ["source", *[s.name for s in stages]]
     cells = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("stage"), F.col(f"c{i}").alias("kept"), (F.col(f"c{max(0, i - 1)}") - F.col(f"c{i}")).alias("lost")) for i, n in enumerate(names)]
     return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
 
 
+def traced(source: DataFrame, key: str, stages: Sequence[Stage], written: DataFrame | int) -> DataFrame:
+    """One row: source_rows, followed, reached, left_out, target_rows, several, extra, start_agrees, sums_agree, matches_the_run.
+
+    several is the number of source rows with more than one target row, and extra what they have beyond one. The start agrees if the key tells all source rows apart,
+    the sums if those that reached the target and those that each stage left out make up the source, and the run if it wrote as many rows (`written`, a table or its count).
+    """
+    n = len(stages)
+    per = survived(source, key, stages)
+    lost = [F.count_if(F.col("reached") == i) for i in range(n)]
+    whole = F.col("reached") == n
+    one = per.agg(
+        F.count(F.lit(1)).alias("followed"), F.count_if(whole).alias("reached"), sum(lost, F.lit(0)).alias("_lost"), F.coalesce(F.sum("targets"), F.lit(0)).alias("target_rows"),
+        F.count_if(F.col("targets") > 1).alias("several"), F.coalesce(F.sum(F.greatest(F.col("targets") - 1, F.lit(0))), F.lit(0)).alias("extra"),
+    )
+    held = written.agg(F.count(F.lit(1)).alias("_written")) if isinstance(written, DataFrame) else source.sparkSession.range(1).select(F.lit(written).alias("_written"))
+    one = one.crossJoin(source.agg(F.count(F.lit(1)).alias("source_rows"))).crossJoin(held)  # a row each
+    return one.select(
+        "source_rows", "followed", "reached", (F.col("source_rows") - F.col("reached")).alias("left_out"), "target_rows", "several", "extra", (F.col("followed") == F.col("source_rows")).alias("start_agrees"),
+        (F.col("source_rows") == F.col("reached") + F.col("_lost") + (F.col("source_rows") - F.col("followed"))).alias("sums_agree"), (F.col("target_rows") == F.col("_written")).alias("matches_the_run"),
+    )
+
+
+def accounted(traces: DataFrame, written: DataFrame, held: DataFrame) -> DataFrame:
+    """step, outcome, reason for every traced step and written table: 'accounted', 'fan-out confirmed' or 'unexplained'.
+
+    traces: rows of `traced` with step, target and may_repeat, which says whether several target rows may come from one source row (NULL: nobody said).
+    written(step, target, rows) of all steps, and held(target, rows) of the tables afterwards, must agree by table.
+    """
+    say = lambda bad, text: F.when(bad, F.lit(text))
+    some = F.col("several") > 0
+    reason = F.concat_ws(
+        "; ", say(~F.col("start_agrees"), "not every source row was followed"), say(~F.col("sums_agree"), "the rows left out and reached do not add up"), say(~F.col("matches_the_run"), "the run wrote another number of rows"),
+        say(some & F.col("may_repeat").isNull(), "several target rows, and nothing says whether they may"), say(some & ~F.coalesce("may_repeat", F.lit(True)), "several target rows, which may not be"),
+    )
+    outcome = F.when(F.col("reason") != "", "unexplained").when(some, "fan-out confirmed").otherwise("accounted")
+    steps = traces.withColumn("reason", reason).select("step", outcome.alias("outcome"), "reason")
+    by_table = written.groupBy("target").agg(F.sum("rows").alias("_w")).join(held.select("target", F.col("rows").alias("_h")), "target", "full")
+    agree = F.coalesce("_w", F.lit(0)) == F.coalesce("_h", F.lit(0))
+    tables = by_table.select(F.col("target").alias("step"), F.when(agree, "accounted").otherwise("unexplained").alias("outcome"), F.when(agree, "").otherwise("the steps wrote another number of rows than the table holds").alias("reason"))
+    return steps.unionByName(tables)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """rows, digest: a digest of the rows as a multiset; partial sums only, nothing is sorted. A NULL is hashed as such in its place, since the hash skips it."""
     h = F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]).cast("decimal(38,0)")

@@ -146,7 +146,7 @@ SELECT d.day, total, f.day IS NOT NULL AS flagged, CASE WHEN errors % 7 BETWEEN
 def t9_with_coverage(x: Frames) -> DataFrame:
     d = _days(x)
     empty = d.where(F.col("errors") % 7 > 0).select("day", (F.col("errors") % 7).alias("anaesthetics"))
-    return counts.with_coverage(d, d.select("day", "total"), counts.cliffs(d, "total", ["views"], "day"), empty, "day")
+    return counts.with_coverage(d.select("day", "total"), counts.cliffs(d, "total", ["views"], "day"), empty, "day")
 
 
 # Profiles

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import time
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +67,67 @@ def write_sections(sections: Mapping[str, DataFrame], public: str, private: str,
         df.write.parquet(f"{private if name in keep else public}/{name}")
 
 
-def publish(tables: Mapping[str, DataFrame], gates: Mapping[str, DataFrame], root: str, show: int = 50) -> str:
-    """Write tables into a new version, run the gates, and only then point at it; a gate with rows stops, and what was published before stays.
+def _file(spark: SparkSession, path: str):
+    """The store of a path and the path in it, as Hadoop's objects."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    The pointer is a small Parquet table that names the version; readers take its newest row.
+
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless one is there; whether it was written. Of several writers one succeeds, and no reader sees a part of a local file.
+
+    On a local or mounted folder a finished file is linked to its name, which fails if the name exists; elsewhere the store's create without overwriting decides.
+    """
+    fs, p = _file(spark, path)
+    if fs.getUri().getScheme() == "file":
+        to = p.toUri().getPath()
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        draft = f"{to}.{uuid.uuid4().hex}"
+        with open(draft, "x", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(draft, to)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+    try:
+        out = fs.create(p, False)
+    except Exception as error:
+        if "AlreadyExists" in str(error):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def commits(spark: SparkSession, root: str) -> list[tuple[int, dict]]:
+    """Numbers and records of what was published, oldest first. A record that its writer did not finish counts as absent."""
+    fs, folder = _file(spark, f"{root}/commits")
+    if not fs.exists(folder):
+        return []
+    out = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if re.fullmatch(r"\d{12}", name):
+            stream = fs.open(status.getPath())
+            try:
+                record = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+            out.append((int(name), record))
+    return sorted(out, key=lambda c: c[0])
+
+
+def publish(tables: Mapping[str, DataFrame], gates: Mapping[str, DataFrame], root: str, show: int = 50, base: int | None = None) -> str:
+    """Write tables into a new version, run the gates, and only then commit it; a gate with rows stops, and what was published before stays.
+
+    Commits are numbered files that are created only if absent: of two writers that want a number one gets it, and the other takes the next, so that the highest number
+    is what was published last, whatever the clocks say. With `base`, the number that the tables were made from, a writer whom another one has overtaken is refused.
     """
     version = uuid.uuid4().hex
     spark = next(iter(tables.values())).sparkSession
@@ -75,11 +136,89 @@ def publish(tables: Mapping[str, DataFrame], gates: Mapping[str, DataFrame], roo
     failed = {name: rows for name, df in gates.items() if (rows := df.limit(show).collect())}
     if failed:
         raise ValueError("gates with rows: " + ", ".join(f"{n} ({len(r)}{'+' if len(r) == show else ''})" for n, r in failed.items()))
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/current")
+    fs, folder = _file(spark, f"{root}/commits")
+    fs.mkdirs(folder)
+    record = json.dumps({"version": version, "tables": sorted(tables)})
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(folder) if re.fullmatch(r"\d{12}", s.getPath().getName())]
+    number = base + 1 if base is not None else max(taken, default=0) + 1
+    while not created(spark, f"{root}/commits/{number:012d}", record):
+        if base is not None:
+            raise ValueError(f"another version was published after number {base}")
+        number += 1
     return version
 
 
-def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the newest published version."""
-    version = spark.read.parquet(f"{root}/current").orderBy(F.desc("at")).first()["version"]
-    return spark.read.parquet(f"{root}/versions/{version}/{name}")
+def newest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """Number and record of what was published last."""
+    found = commits(spark, root)
+    if not found:
+        raise ValueError(f"nothing is published under {root}")
+    return found[-1]
+
+
+def published(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    """A table of the version that was published last, or of an earlier number."""
+    record = newest(spark, root)[1] if number is None else dict(commits(spark, root))[number]
+    return spark.read.parquet(f"{root}/versions/{record['version']}/{name}")
+
+
+def recovered(spark: SparkSession, root: str, older_hours: float = 24) -> list[str]:
+    """Remove versions that no commit names and that were begun so many hours ago, such as those of writers that died; their names."""
+    fs, folder = _file(spark, f"{root}/versions")
+    if not fs.exists(folder):
+        return []
+    kept = {record["version"] for _, record in commits(spark, root)}
+    before = (time.time() - 3600 * older_hours) * 1000
+    gone = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in kept and s.getModificationTime() <= before]
+    for p in gone:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in gone)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value: the lines of a text file, or of each of several, with their numbers from 1.
+
+    A file is read in splits; each knows its place by its first byte, and counts of lines by split, a row each, give its first number. Lines themselves are not shuffled.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a split's ids follow each other
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(splits.select("file", "_start", "_first", before.alias("_before")), ["file", "_start"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+# Headers of the two forms of a list, the longest key, and the most episodes of a list
+HEADERS = {"anaesthetic_keys": "anaesthetic_key", "pairs": "patient_key,date"}
+LONGEST_KEY, MOST_EPISODES = 64, 5000
+
+
+def read_chosen(spark: SparkSession, path: str, form: str = "anaesthetic_keys", most: int | None = MOST_EPISODES) -> DataFrame:
+    """The rows of a private list of episodes, as often as they stand there: anaesthetic_key, or patient_key and date.
+
+    A list with another header or form, without a row, with more than `most` rows, or with a line that is no key of printable characters, or no key and date, is refused; the error names
+    the file and the line, and no value. Blank lines are passed over but counted. The file is read twice, to judge and to use it, and never gathered.
+    """
+    name, wanted = path.rsplit("/", 1)[-1], HEADERS[form]
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value").rlike("[^,\\s]"))
+    first = lines.orderBy("line").limit(1).collect()
+    held = re.sub(r"\s*,\s*", ",", first[0]["value"].strip().lower()) if first else None
+    if held is None:
+        raise ValueError(f"{name} is empty")
+    if held != wanted:
+        other = next((f for f, h in HEADERS.items() if h == held), None)
+        raise ValueError(f"{name} holds {other}, not {form}" if other else f"{name}, line {first[0]['line']}: the header must be {wanted}")
+    cells = F.from_csv(F.col("value"), "a string, b string, c string")
+    rows = lines.where(F.col("line") > first[0]["line"]).select("line", cells.alias("c")).select("line", *[F.trim(f"c.{c}").alias(c) for c in "abc"])
+    key = F.coalesce((F.length("a") <= LONGEST_KEY) & F.col("a").rlike("^[\\x20-\\x7e]+$"), F.lit(False)) & F.col("c").isNull()
+    if form == "anaesthetic_keys":
+        good, what, out = key & F.col("b").isNull(), "one key", [F.col("a").alias("anaesthetic_key")]
+    else:
+        day = F.when(F.col("b").rlike("^\\d{4}-\\d\\d-\\d\\d$"), F.col("b").try_cast("date"))
+        good, what, out = key & day.isNotNull(), "a patient's key and a date written as YYYY-MM-DD", [F.col("a").alias("patient_key"), day.alias("date")]
+    seen = rows.agg(F.min(F.when(~good, F.col("line"))).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    if seen["bad"] is not None:
+        raise ValueError(f"{name}, line {seen['bad']}: not {what}")
+    if not seen["n"]:
+        raise ValueError(f"{name} is empty")
+    if most is not None and seen["n"] > most:
+        raise ValueError(f"{name} has {seen['n']} rows; at most {most} may be asked for")
+    return rows.select(*out)
