@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tideline import queries, queries_analyst, queries_checks, queries_counts, queries_omop  # noqa: F401
+from tideline import queries, queries_analyst, queries_checks, queries_counts, queries_omop, queries_values  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

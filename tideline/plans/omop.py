@@ -250,14 +250,21 @@ def _measured(rows: DataFrame, concept: Column, value: Column, kind: int) -> Dat
     )
 
 
-def measurement_pressures(t: Tables) -> DataFrame:
-    """'110/70' as two rows from one scan, each of a kind that is mapped for its part; numbered on from the table's largest number."""
+def measurement_pressures(t: Tables, through_episode: bool = False) -> DataFrame:
+    """'110/70' as two rows from one scan, each of a kind that is mapped for its part; numbered on from the table's largest number.
+
+    The visit is the one that the sheet carries or, through_episode, that of its episode's visit detail: a reading of an episode without one is then left out.
+    """
     parts = [F.struct(F.lit(v).alias("_v"), F.col(c).alias("x")) for v, c in (("SITE_OBS_SYSTOLIC", "systolic"), ("SITE_OBS_DIASTOLIC", "diastolic"))]
     rows = _charted_pressures(t).withColumn("q", F.explode(F.array(*parts))).select("*", "q.*").where("x IS NOT NULL")
     known = t["concepts"].select(F.col("vocabulary").alias("_v"), F.col("code").alias("_c"), F.col("concept").alias("what"))
     rows = rows.join(known, (rows["_v"] == known["_v"]) & (F.col("kind").cast("string") == F.col("_c"))).drop(known["_v"], "_c")
-    rows = rows.join(_visits(t), F.col("visit_key").cast("string") == F.col("_visit"))
-    rows = _linked(rows.join(t["visit_detail"].select("visit_detail_id", F.col("visit_detail_source_value").alias("anaesthetic_key")), "anaesthetic_key", "left"), t, "reading_time")
+    own = t["visit_detail"].select("visit_detail_id", F.col("visit_detail_source_value").alias("anaesthetic_key"), "visit_occurrence_id")
+    if through_episode:
+        rows = rows.join(own, "anaesthetic_key").join(t["visit_occurrence"].select("visit_occurrence_id", "person_id"), "visit_occurrence_id")
+    else:
+        rows = rows.join(_visits(t), F.col("visit_key").cast("string") == F.col("_visit")).join(own.drop("visit_occurrence_id"), "anaesthetic_key", "left")
+    rows = _linked(rows, t, "reading_time")
     order = ["sheet_key", "seq", "_v", "visit_occurrence_id", "visit_detail_id", "procedure_occurrence_id", "what", "reading_time", "x"]
     return _measured(numbered(rows, order, "measurement_id", start=_largest(t, "measurement", "measurement_id") + 1), F.col("what"), F.col("x"), FROM_RECORD)
 
@@ -409,17 +416,23 @@ def worklist(rows: DataFrame, concept: str, code: str, episode: str) -> DataFram
     return rows.where(F.col(concept) == 0).groupBy(F.col(code).alias("code")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(episode).alias("episodes")).orderBy(F.desc("rows"), "code")
 
 
-def proposed(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, maps_to: DataFrame, domain: str, classes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def proposed(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, maps_to: DataFrame, domain: str, classes: Sequence[str] = (), coded_in: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Mapping rows for labels(code, label) with exactly one standard target, and the others with a reason.
 
-    A label is a concept's name or synonym in the domain, whatever its case; valid 'Maps to' rows (concept_id, target_id) lead to standard targets.
+    A label is a concept's name or synonym in the domain, whatever its case; or, with coded_in, a concept's code in that vocabulary, and its targets are of the domain, whatever their class. A concept
+    that is standard is a target of its own; valid 'Maps to' rows (concept_id, target_id) lead to further ones.
     """
-    names = concepts.where(F.col("domain_id") == domain).select("concept_id", F.lower("concept_name").alias("name"))
-    names = names.union(synonyms.join(concepts.where(F.col("domain_id") == domain).select("concept_id"), "concept_id").select("concept_id", F.lower("synonym"))).distinct()
-    found = labels.withColumn("name", F.lower(F.trim("label"))).join(names, "name", "left").join(maps_to, "concept_id", "left")
-    good = concepts.where((F.col("standard_concept") == "S") & (F.col("concept_class_id").isin(list(classes)) if classes else F.lit(True))).select(F.col("concept_id").alias("target_id"), F.lit(True).alias("_good"))
+    if coded_in is not None:
+        names = concepts.where(F.col("vocabulary_id") == coded_in).select("concept_id", F.lower("concept_code").alias("name")).distinct()
+    else:
+        names = concepts.where(F.col("domain_id") == domain).select("concept_id", F.lower("concept_name").alias("name"))
+        names = names.union(synonyms.join(concepts.where(F.col("domain_id") == domain).select("concept_id"), "concept_id").select("concept_id", F.lower("synonym"))).distinct()
+    leads = maps_to.select("concept_id", "target_id").union(concepts.select("concept_id", "concept_id")).distinct()
+    found = labels.withColumn("name", F.lower(F.trim("label"))).join(names, "name", "left").join(leads, "concept_id", "left")
+    fits = F.col("domain_id") == domain if coded_in is not None else F.col("concept_class_id").isin(list(classes)) if classes else F.lit(True)
+    good = concepts.where((F.col("standard_concept") == "S") & fits).select(F.col("concept_id").alias("target_id"), F.lit(True).alias("_good"))
     n = found.join(good, "target_id", "left").groupBy("code", "label").agg(F.count("concept_id").alias("hits"), F.countDistinct(F.when(F.col("_good"), F.col("target_id"))).alias("targets"), F.min(F.when(F.col("_good"), F.col("target_id"))).alias("concept"))
-    reason = F.when(F.col("hits") == 0, "no concept has this name").when(F.col("targets") == 0, "no standard target").otherwise("several targets")
+    reason = F.when(F.col("hits") == 0, f"no concept has this {'code' if coded_in is not None else 'name'}").when(F.col("targets") == 0, "no standard target").otherwise("several targets")
     return n.where("targets = 1").select("code", "concept"), n.where("targets <> 1").select("code", "label", reason.alias("reason"))
 
 
