@@ -335,6 +335,17 @@ def test_personal_data_adds_what_the_rules_miss(spark):
     assert not [text[i][s["start"] - 5 : s["end"]] for i in (*range(1200), 6000) for s in got[i]["pii_spans"] if s not in got[i]["pii_base"]]
 
 
+def test_competing_runs_are_not_personal_data(spark):
+    """As many card-long runs fail the check digit as pass it, in the same places: they are other numbers. A new form of an address is found in a text like no other."""
+    cards = ["4207051279108084", "4058826588634783"]
+    rows = [(i, f"{prose(6)} and {cards[i % 2] if i % 2 else str(10**15 + 977 * i)} {prose(6)}") for i in range(400)]
+    rows += [(1000 + i, f"{prose(5)} to u{i}.w@host{i % 7}.example.net {prose(5)} at noon. Then {prose(2)}") for i in range(600)] + [(5000, "Schreiben Sie bitte: jörg u7.w (at) host9.example (dot) net heute")]
+    got = personal_data.find(frame(spark, rows), "text", personal_data.fit(frame(spark, rows), "doc_id", "text"))
+    more = {r["doc_id"]: r["more"] for r in got.select("doc_id", F.array_except("pii_spans", "pii_base").alias("more")).where("size(more) > 0").collect()}
+    failing = {i for i, t in rows[:400] if i % 2 == 0 and not brute_spans(t)}
+    assert len(failing) > 150 and not failing & set(more) and [s["kind"] for s in more.pop(5000)] == [0] and not more
+
+
 def test_rewritten_spans_are_where_they_are_said_to_be(spark):
     text = "é a.b@c.de x +1 (956) 555-0122, 4207051279108084 y 1.2.3.4"
     df = spark.range(4).select(personal_data.rewritten(F.lit(text), personal_data.base_spans(F.lit(text)), F.col("id").cast("int")).alias("r"))
