@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -54,9 +55,65 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, warc.deduplicated_archive(df.limit(0))).count() == 0
 
 
+def test_warc_of_null_ids_and_long_payloads(spark):
+    big = "".join(chr(97 + R.randrange(26)) for _ in range(3_000_000))
+    rows = [(None, None, big), (None, "u", big), (4, "u", big), (9, "u", "z" * 5000), (8, "u", None), (None, "u", "")]
+    got = warc.read_archives(spark, warc.deduplicated_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    kinds = collections.Counter((r["id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got)
+    assert kinds == {(None, "revisit", 4, 3_000_000): 2, (4, "response", None, 3_000_000): 1, (9, "response", None, 5000): 1, (8, "response", None, 0): 1, (None, "response", None, 0): 1}
+    assert {r["payload"] for r in got if r["id"] == 4} == {big}
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(n, "u", "x" * size) for n, size in enumerate([10] * 40 + [150] * 12 + [3000] * 3)]
+    resolved = warc.resolve_revisits(warc.records_of(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "page_id", "url", "html"))
+    warc.write_archives(resolved, f"file://{tmp_path}/a", file_bytes=400, sizes=(20, 200))
+    held = collections.Counter(r["f"] for r in warc.read_archives(spark, f"file://{tmp_path}/a").select(F.lit(1).alias("f")).collect())
+    assert held[1] == len(rows)
+    files = [f.read_bytes() for f in (tmp_path / "a").glob("*.gz")]
+    sizes = [[r[2] for r in warc._parsed(warc._inflated(f), True)] for f in files]
+    assert sorted(map(tuple, sizes)) == sorted([(10,) * 20] * 2 + [(150, 150)] * 6 + [(3000,)] * 3)
+
+
+@pytest.mark.parametrize("step", [7, 100, 1 << 20])
+def test_unpacking_is_bounded(step):
+    raw = b"a" * 300_000 + bytes(R.randrange(256) for _ in range(3000))
+    members = gzip.compress(raw) + gzip.compress(b"") + gzip.compress(raw[::-1])
+    blocks = list(warc._inflated(members, step))
+    assert b"".join(blocks) == raw + raw[::-1] and max(map(len, blocks)) <= step
+    with pytest.raises(ValueError, match="within a gzip member"):
+        list(warc._inflated(members[:-9], step))
+
+
 # 2
 
 
+def rotated_by_hand(turns):
+    """dialogue, speaker, text, spans, one turn after the other."""
+    out = {}
+    for dialogue in {t[0] for t in turns}:
+        own = sorted(((t[1] is not None, t[1] or 0, t[2] if t[2] is not None else "unknown", t[3] or "") for t in turns if t[0] == dialogue))
+        for speaker in {t[2] for t in own} - {"system"}:
+            text, spans = "", []
+            for _, _, role, said in own:
+                head = "<|system|>" if role == "system" else "<|assistant|>" if role == speaker else f"<|user name={re.sub(r'[|\r\n]', '_', role)}|>"
+                text += head + "\n"
+                if role == speaker:
+                    spans.append(f"{len(text)}:{len(text) + len(said) + 7}")
+                text += said + "<|end|>\n"
+            out[dialogue, speaker] = (text, ",".join(spans), len(own), len(spans))
+    return out
+
+
+def test_rotation_of_any_rows(spark):
+    turns = [(c, R.choice([None, *range(9)]), R.choice([None, "", "system", "ann", "bob", "a|b\nc", "user", "Zoë 🙂"]), R.choice([None, "", "yes", "naïve 🙂 text", "a,b"])) for c in [1, 2, 3, None] for _ in range(25)]
+    turns += [(7, n, R.choice(["x", "y"]), "word " * (n % 3)) for n in range(20_000)] + [(8, 1, "system", "alone")] + [(9, 1, "x", "twice")] * 2
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumns({"head": F.lit(1), "at": F.lit("z"), "speaker": F.lit(2), "first": F.lit(None).cast("date")})
+    got = {(r["conv_id"], r["speaker"]): (r["rendered"], r["mask_spans"], r["n_turns"], r["n_own"]) for r in perspectives.rotate(df).collect()}
+    assert got == rotated_by_hand(turns) and (8, "system") not in got
+    assert perspectives.rotate(df.limit(0)).count() == 0
+
+
 def test_rotation(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "b|o", "yo"), (1, 3, "ann", None), (2, 0, "system", "only"), (None, 0, None, "é")]
     got = {(r["conv_id"], r["speaker"]): r for r in perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -442,3 +499,32 @@ def test_text_buffer_of_a_slice():
 
     data, offsets = text_buffer(pa.array(["ab", None, "é", "x"]).slice(1, 3))
     assert data.tobytes() == "éx".encode() and offsets.tolist() == [0, 0, 2, 3]
+
+
+# Tables without a row
+
+
+def test_tables_without_a_row(spark):
+    labelled = frame(spark, [(n, prose(20)) for n in range(60)])
+    nothing = labelled.limit(0)
+    model = language_id.fit(labelled, "text", "lang", "doc_id")
+    assert language_id.predict(nothing, "text", model, keep=("doc_id",)).count() == 0
+    assert sentencepiece_codec.encode_decode(nothing, "text", tokenizer_path(), keep=("doc_id",)).count() == 0
+    items = spark.createDataFrame([(1, "how many apples does ann have left after giving seven of them away")], "item_id long, text string")
+    assert decontamination.contaminated(nothing, items).count() == 0 and decontamination.contaminated(labelled, items.limit(0)).count() == 0
+
+
+def test_language_of_a_very_long_text(spark):
+    rows = [(n, "der die das und nicht ein haus", "de") if n % 2 else (n, "the and of not one house", "en") for n in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, "text", "lang", "doc_id")
+    asked = spark.createDataFrame([(1, "the house and not one of " * 100_000), (2, "das haus und nicht ein " * 100_000), (3, "12 " * 100_000), (None, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(asked, "text", model, keep=("doc_id",)).collect()}
+    assert got == {1: "en", 2: "de", 3: "und", None: "und"}
+
+
+def test_a_null_id_is_no_neighbour(spark):
+    rows = [(n if n else None, [R.gauss(0, 1) for _ in range(8)]) for n in range(120)]
+    got = cross_polytope.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    rows = got.collect()
+    assert {r["query_id"] for r in rows} == {100} and len(rows) == 10 and all(r["vec_id"] is not None for r in rows)

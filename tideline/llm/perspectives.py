@@ -3,7 +3,9 @@
 For every participant of a dialogue there is one row: the whole dialogue with that speaker as the assistant, every other speaker as a
 user with a name, and the spans of the assistant's words, which are the ones to learn from.
 
-Turns are grouped once by dialogue and rendered for all of its speakers from that one row, so that there is one shuffle and no join.
+Where a span lies for each speaker follows from two running figures of a turn, made in windows of the dialogue: the length of all turns before it, and how many of
+them were by the same speaker, whose header is another one in that speaker's view. Windows and grouping share one shuffle by dialogue, there is no join, and the work
+grows with the number of turns. A dialogue is one row for each participant, and so must fit a task.
 
 Format: `<|system|>\\ntext<|end|>\\n`, `<|user name=NAME|>\\ntext<|end|>\\n`, `<|assistant|>\\ntext<|end|>\\n`. A span covers an assistant's text and its
 `<|end|>`, counted in code points from 0, end exclusive, as `start:end` joined by commas.
@@ -15,9 +17,11 @@ repeated turns. `|` and line ends in a name become `_`, so that no name can end
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ASSISTANT = "<|assistant|>\n"
+
 
 def _cleaned(name: Column) -> Column:
     return F.regexp_replace(name, r"[|\r\n]", "_")
@@ -31,37 +35,24 @@ def rotate(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn", role
         F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    grouped = own.groupBy("dialogue").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    name = F.when(F.col("role") == system, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), _cleaned(F.col("role")), F.lit("|>\n")))
+    shown = own.withColumns({"head": name, "body": F.concat("text", F.lit("<|end|>"))})
+    whole = (F.length("head") + F.length("body") + 1).cast("long")
+    before = Window.partitionBy("dialogue").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("dialogue", "role").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shown.withColumn("at", F.coalesce(F.sum(whole).over(before), F.lit(0))).withColumn("nth", F.count(F.lit(1)).over(same))
+    first = F.col("at") + F.col("nth") * (len(ASSISTANT) - F.length("head")) + len(ASSISTANT)
+    placed = placed.withColumn("first", first).withColumn("last", F.col("first") + F.length("body"))
+    turn_of = F.struct("turn", "role", "text", "at", "head", "body", "first", "last")  # equal turns are told apart by their places
+    grouped = placed.groupBy("dialogue").agg(F.array_sort(F.collect_list(turn_of)).alias("turns"))
     each = grouped.select("dialogue", "turns", F.explode(F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != system))).alias("speaker"))
-
-    def head(t: Column) -> Column:
-        return (
-            F.when(t["role"] == system, F.lit("<|system|>\n"))
-            .when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n"))
-            .otherwise(F.concat(F.lit("<|user name="), _cleaned(t["role"]), F.lit("|>\n")))
-        )
-
-    shown = F.transform("turns", lambda t: F.struct((t["role"] == F.col("speaker")).alias("own"), head(t).alias("head"), F.concat(t["text"], F.lit("<|end|>")).alias("body")))
-    rows = each.withColumn("shown", shown)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("chars"))
-
-    def step(acc: Column, t: Column) -> Column:
-        first = acc["at"] + F.length(t["head"])
-        last = first + F.length(t["body"])
-        span = F.concat_ws(":", first, last)
-        return F.struct(
-            (last + 1).alias("at"),
-            F.when(t["own"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-            (acc["chars"] + F.when(t["own"], last - first).otherwise(0)).alias("chars"),
-        )
-
-    rows = rows.withColumn("mask", F.aggregate("shown", start, step))
-    return rows.select(
+    each = each.withColumn("own", F.filter("turns", lambda t: t["role"] == F.col("speaker")))
+    return each.select(
         F.col("dialogue").alias(dialogue),
         "speaker",
-        F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], F.lit("\n"))), "").alias("rendered"),
+        F.array_join(F.transform("turns", lambda t: F.concat(F.when(t["role"] == F.col("speaker"), F.lit(ASSISTANT)).otherwise(t["head"]), t["body"], F.lit("\n"))), "").alias("rendered"),
         F.size("turns").cast("long").alias("n_turns"),
-        F.size(F.filter("shown", lambda t: t["own"])).cast("long").alias("n_own"),
-        F.array_join("mask.spans", ",").alias("mask_spans"),
-        F.col("mask.chars").alias("mask_chars"),
+        F.size("own").cast("long").alias("n_own"),
+        F.array_join(F.transform("own", lambda t: F.concat_ws(":", t["first"], t["last"])), ",").alias("mask_spans"),
+        F.aggregate("own", F.lit(0).cast("long"), lambda n, t: n + t["last"] - t["first"]).alias("mask_chars"),
     )

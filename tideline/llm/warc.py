@@ -14,13 +14,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import shared_dir
+from tideline.llm.common import shared_dir, staged
 
 END = "\r\n\r\n"
 
@@ -42,7 +42,7 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 1000) -> DataFrame:
     heads = records.select("id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes)
     originals = heads.groupBy("payload_digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     again = heads.join(originals, "payload_digest").where(F.coalesce(F.col("id") != F.col("refers_to"), F.col("refers_to").isNotNull()))
-    again = again.select(F.col("id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "refers_to").distinct()
+    again = staged(again.select(F.col("id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "refers_to").distinct(), "revisits")  # used once for each group of sizes
     out = records.join(again, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left").drop("r_id", "r_digest")
     return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")).withColumn(
         "payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")
@@ -79,41 +79,56 @@ def formatted(resolved: DataFrame, date: str) -> DataFrame:
     return resolved.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block).alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 20_000) -> None:
-    """Write gzip archives; a file holds per_file records at most, so that a reader's task is bounded."""
-    formatted(resolved, date).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+#: Payload bytes of an archive, unpacked, unless a single record has more: a reader's task holds a whole archive.
+FILE_BYTES = 256 << 20
+#: Records up to each of these sizes are written together, each group with so many to a file as its largest size allows; larger ones have a file each.
+SIZES = (16 << 10, 1 << 20, 64 << 20)
+
+
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, sizes: Sequence[int] = SIZES) -> None:
+    """Write gzip archives of at most file_bytes of payload; a larger record has one of its own. Groups of sizes without a record are not written.
+
+    A revisit goes by its full payload's size, so that groups are known before the join.
+    """
+    size = F.col("payload_bytes")
+    group = F.lit(len(sizes))
+    for n, most in reversed(list(enumerate(sizes))):
+        group = F.when(size <= most, n).otherwise(group)
+    found = sorted(r[0] for r in resolved.select(group.alias("g")).distinct().collect())  # four rows at most
+    for n in found or [0]:
+        per_file = max(1, file_bytes // sizes[n]) if n < len(sizes) else 1
+        rows = formatted(resolved.where(group == n), date).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        rows.option("maxRecordsPerFile", per_file).text(path)
 
 
 def _parsed(raw: Iterator[bytes], with_payload: bool) -> Iterator[tuple]:
     """Records of one archive, given as blocks of bytes; lengths rule, so that payloads may hold anything."""
-    have = b""
+    have, at = b"", 0
     blocks = iter(raw)
 
     def more(n: int) -> bool:
-        nonlocal have
-        got = [have]
-        size = len(have)
-        while size < n:
-            block = next(blocks, None)
-            if block is None:
-                break
-            got.append(block)
-            size += len(block)
-        have = b"".join(got)
-        return len(have) >= n
+        """Whether n bytes from `at` on are there, after taking further blocks where they are not; what lies before `at` is let go only then."""
+        nonlocal have, at
+        if len(have) - at < n:
+            got, size = [have[at:]], len(have) - at
+            while size < n and (block := next(blocks, None)) is not None:
+                got.append(block)
+                size += len(block)
+            have, at = b"".join(got), 0
+        return len(have) - at >= n
 
     while more(1):
-        while (end := have.find(b"\r\n\r\n")) < 0:
-            if not more(len(have) + 1):
+        while (end := have.find(b"\r\n\r\n", at)) < 0:
+            if not more(len(have) - at + 1):
                 raise ValueError("an archive ends within a record's header")
-        head = dict(line.split(": ", 1) for line in have[:end].decode().split("\r\n")[1:])
-        start, size = end + 4, int(head["Content-Length"])
-        if not more(start + size + 4):
+        head = dict(line.split(": ", 1) for line in have[at:end].decode().split("\r\n")[1:])
+        at, size = end + 4, int(head["Content-Length"])
+        if not more(size + 4):
             raise ValueError("an archive ends within a record")
-        block, have = have[start : start + size], have[start + size + 4 :]
-        body = block[block.index(b"\r\n\r\n") + 4 :]
+        split = have.index(b"\r\n\r\n", at) + 4
+        http, body = have[at:split].decode(), have[split : at + size]
+        at += size + 4
         kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-        http = block[: len(block) - len(body)].decode()
         length = int(http.split("Content-Length: ")[1].split("\r\n")[0])
         if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != length):
             raise ValueError(f"payload and digest differ in {head['WARC-Record-ID']}")
@@ -122,20 +137,22 @@ def _parsed(raw: Iterator[bytes], with_payload: bool) -> Iterator[tuple]:
 
 
 def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """Blocks of an archive, unpacked as they are asked for."""
+    """Blocks of an archive, unpacked as they are asked for; none has more than `step` bytes, however well it was packed."""
     if raw[:2] != b"\x1f\x8b":
         yield raw
         return
-    while raw:
+    view, at = memoryview(raw), 0
+    while at < len(raw):
         member = zlib.decompressobj(31)
-        for a in range(0, len(raw), step):
-            yield member.decompress(raw[a : a + step])
-            if member.eof:
-                raw = member.unused_data + raw[a + step :]
-                break
-        else:
-            yield member.flush()
-            return
+        while not member.eof:
+            held = member.unconsumed_tail
+            given = held or view[at : at + step]
+            if not len(given):
+                raise ValueError("an archive ends within a gzip member")
+            at += 0 if held else len(given)
+            if block := member.decompress(given, step):
+                yield block
+        at -= len(member.unused_data)
 
 
 COLUMNS = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
