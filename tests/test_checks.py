@@ -9,10 +9,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import paths
+from tideline.operators import intervals, paths
 from tideline.operators.ids import dense_numbered
 from tideline.operators.intervals import nearest
-from tideline.plans import counts, disclosure, matching, profile, quality
+from tideline.plans import analyst, counts, disclosure, matching, profile, quality
 from tideline.sources import files
 
 
@@ -237,3 +237,40 @@ def test_writers_at_once_publish_in_turn(spark, tmp_path):
     assert len(gone) == 1 and files.published(spark, root, "t").count() == 50
     files.publish({"t": spark.range(70)}, {}, root)
     assert files.newest(spark, root)[0] == last + 3 and files.published(spark, root, "t").count() == 70
+
+
+def test_as_of_strict_and_ahead(spark):
+    rng = random.Random(4)
+    left = [(n, rng.choice(["a", "b", None]), rng.choice([None, *range(12)])) for n in range(80)]
+    right = sorted({(rng.choice("ab"), t) for t in range(12) for _ in range(2) if rng.random() < 0.5}) + [(None, 3), ("a", None)]
+    l, r = spark.createDataFrame(left, "n int, k string, t int"), spark.createDataFrame([(k, t, t) for k, t in right], "k string, at int, v int")
+    for strict in (False, True):
+        for ahead in (False, True):
+            got = {x["n"]: x["v"] for x in intervals.as_of(l, r, ("k",), "t", "at", ["v"], strict, ahead).collect()}
+            for n, k, t in left:
+                near = [u for j, u in right if None not in (j, k, t, u) and j == k and ((u > t or (u == t and not strict)) if ahead else (u < t or (u == t and not strict)))]
+                assert got[n] == ((min(near) if ahead else max(near)) if near else None)
+
+
+def test_returned_within_is_the_pairwise_rule(spark):
+    rng = random.Random(9)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    rows = []
+    for n in range(120):
+        start = rng.randrange(40)
+        rows.append((n, rng.choice(["a", "b", "c", None]), day(start), rng.choice([None, day(start + rng.randrange(4)), day(start - 2)])))
+    got = {x["key"]: x["returned"] for x in analyst.returned_within(spark.createDataFrame(rows, "key int, who string, start timestamp_ntz, end timestamp_ntz"), "who", "key", 3).collect()}
+    for key, who, _, end in rows:
+        assert got[key] == int(any(k != key and w == who and None not in (w, end) and end < s <= end + timedelta(days=3) for k, w, s, _ in rows))
+
+
+def test_latest_weight_is_the_pairwise_rule(spark):
+    rng = random.Random(2)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    cases = [(n, rng.choice(["a", "b", None]), rng.choice([None, *map(day, range(30))])) for n in range(60)]
+    weights = [(rng.choice(["a", "b", None]), day(rng.randrange(30)), rng.choice(["3", "4.5", "n/a", None])) for _ in range(25)]
+    got = analyst.latest_before(spark.createDataFrame(cases, "c int, who string, time timestamp_ntz"), spark.createDataFrame(weights, "who string, time timestamp_ntz, text string"), "c", "who", 5)
+    got = {x["c"]: (x["weight_time"], x["weight"] and float(x["weight"])) for x in got.collect()}
+    for c, who, time in cases:
+        near = [(t, float(x)) for w, t, x in weights if x not in ("n/a", None) and who and time and w == who and time - timedelta(days=5) <= t < time]
+        assert got[c] == (max(near) if near else (None, None))

@@ -19,8 +19,60 @@ def test_episode_list_counts_bad_lines(spark, tmp_path):
 
 def test_dictionary_headings(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("Table Name\tField\tType\tPK\tDefinition\nCASES\t\t\t\tAll cases\nCASES\tKEY\tint\tY\tIdentifier\n")
-    rows = files.read_dictionary(spark, str(tmp_path / "d.tsv"), "\t").collect()
-    assert [(r["table"], r["column"], r["description"]) for r in rows] == [("CASES", None, "All cases"), ("CASES", "KEY", "Identifier")]
+    rows = files.read_dictionary(spark, str(tmp_path / "d.tsv"), "\t")[0].collect()
+    assert sorted((r["table"], r["column"] or "", r["description"], r["key"]) for r in rows) == [("CASES", "", "All cases", None), ("CASES", "KEY", "Identifier", True)]
+
+
+DICTIONARY = (
+    "Entity;Attribute-Name;Data Type;is_pk;Remarks\n"
+    "Cases;;;;\"All; cases,\nby day\"\n"
+    "CASES;Key;int;x;Identifier\n"
+    "cases;KEY;bad-type!;;Second\n"
+    "Cases;Day;date;n;\n"
+    "9bad;Col;int;;left out\n"
+    "Staff;Code;varchar(9);Y;" + "d" * 4100 + "\n"
+    ";;;;no names\n"
+)
+
+
+def entries(df):
+    return {(r["table"], r["column"]): (r["type"], r["description"], r["key"]) for r in df.collect()}
+
+
+def test_dictionary_rules(spark, tmp_path):
+    (tmp_path / "d.csv").write_text(DICTIONARY)
+    got, left = files.read_dictionary(spark, str(tmp_path / "d.csv"))
+    held = entries(got)
+    assert held == {
+        ("Cases", None): (None, "All; cases, by day", None),
+        ("Cases", "KEY"): (None, "Second", None),
+        ("Cases", "Day"): ("date", None, False),
+        ("Staff", "Code"): ("varchar(9)", "d" * 4000, True),
+    }
+    assert left.first().asDict() == {"skipped": 1, "cut": 1}
+    catalogue = spark.createDataFrame([("dbo_CASES", "x", "int"), ("cases", "key", "bigint"), ("STAFF", "other", "int")], "table string, column string, type string")
+    kept, missing = files.in_catalogue(got, catalogue)
+    assert entries(kept) == {("cases", None): (None, "All; cases, by day", None), ("cases", "key"): ("bigint", "Second", None)} and missing.first()["missing"] == 2
+
+
+def test_dictionary_with_a_file_of_tables(spark, tmp_path):
+    (tmp_path / "d.csv").write_text(DICTIONARY)
+    (tmp_path / "t.csv").write_text("TABLE,PRIMARY KEY,COMMENT\ncases,\"day, key\",Told here\nSTAFF,code nowhere,People\nUNKNOWN,a,b\n")
+    held = entries(files.read_dictionary(spark, str(tmp_path / "d.csv"), tables=str(tmp_path / "t.csv"))[0])
+    assert held[("Cases", None)][1] == "Told here" and held[("Cases", "KEY")][2] is True and held[("Cases", "Day")][2] is True
+    assert held[("Staff", None)] == (None, "People", None) and held[("Staff", "Code")][2] is True and len(held) == 5
+
+
+def test_dictionary_is_refused(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("thing,part,about\nA,B,text\n")
+    with pytest.raises(ValueError, match="the table and the column"):
+        files.read_dictionary(spark, str(tmp_path / "d.csv"))
+    with pytest.raises(ValueError, match="no heading nowhere"):
+        files.read_dictionary(spark, str(tmp_path / "d.csv"), headings={"table": "nowhere"})
+    with pytest.raises(ValueError, match="no field"):
+        files.read_dictionary(spark, str(tmp_path / "d.csv"), headings={"size": "part"})
+    got = files.read_dictionary(spark, str(tmp_path / "d.csv"), headings={"table": "Thing", "column": "part", "description": "ABOUT"})[0]
+    assert entries(got) == {("A", "B"): (None, "text", None)}
 
 
 def test_a_failed_gate_keeps_what_was_published(spark, tmp_path):

@@ -64,18 +64,22 @@ def minutes(seconds: Column) -> Column:
     return seconds.cast("double") / 60.0
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """For every row of left the latest row of right at or before its time: right's time and values, NULL without one.
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool = False, ahead: bool = False) -> DataFrame:
+    """For every row of left the latest row of right at or before its time, or the earliest at or after it: right's time and values, NULL without one.
 
-    Both sides are united and a running last value is taken, which is linear where an inequality join is quadratic. Right rows must be unique
-    by keys and time.
+    With `strict` a row of right at the same time does not count. Both sides are united and a running last value is taken, which is linear where an inequality join is
+    quadratic. Right rows must be unique by keys and time; rows of either side without a time or a key find nothing and are not found.
     """
     names = [*values, right_time]
     packed = F.struct(*[F.col(c) for c in names])
-    events = left.withColumns({"_side": F.lit(1), "_at": F.col(left_time), "_held": F.lit(None).cast(right.select(packed.alias("p")).schema[0].dataType)})
-    held = right.select(*by, F.lit(0).alias("_side"), F.col(right_time).alias("_at"), packed.alias("_held"))
-    run = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.unionByName(held, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(run)).where("_side = 1")
+    known = F.lit(True)
+    for c in (*by, right_time):
+        known = known & F.col(c).isNotNull()
+    events = left.withColumns({"_side": F.lit(0 if strict else 2), "_at": F.col(left_time), "_held": F.lit(None).cast(right.select(packed.alias("p")).schema[0].dataType)})
+    held = right.where(known).select(*by, F.lit(1).alias("_side"), F.col(right_time).alias("_at"), packed.alias("_held"))
+    order = F.desc_nulls_first("_at") if ahead else F.asc_nulls_first("_at")
+    run = Window.partitionBy(*by).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = events.unionByName(held, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(run)).where("_side <> 1")
     return out.select(*left.columns, *[F.col(f"_held.{c}").alias(c) for c in names if c not in left.columns])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import number
 from tideline.functions.time import minutes_between, plus, seconds_between
+from tideline.operators.intervals import as_of
 
 
 # Concepts of a mean pressure by cuff and by arterial line
@@ -85,9 +86,8 @@ def first_event_then_admission(cohort: DataFrame, events: DataFrame, admissions:
     """Cohort rows with their first event and the subject's latest admission at or before it."""
     first = events.groupBy(key).agg(F.min("time").alias("first_event"))
     rows = cohort.join(first, key, "left")
-    a = admissions.select(subject, F.col("admitted").alias("_at"))
-    near = rows.join(a, subject).where(F.col("_at") <= F.col("first_event")).groupBy(key).agg(F.max("_at").alias("admitted"))
-    return rows.join(near, key, "left").select(key, subject, "first_event", "admitted")
+    before = admissions.select(subject, F.col("admitted").alias("_at")).distinct()
+    return as_of(rows.select(key, subject, "first_event"), before, (subject,), "first_event", "_at", []).select(key, subject, "first_event", F.col("_at").alias("admitted"))
 
 
 def listed(keys: Sequence[str], table: DataFrame, key: str, labels: DataFrame, code: str) -> DataFrame:
@@ -119,9 +119,9 @@ def with_case_or_visit_only(cases: DataFrame, visits: DataFrame, subject: str, v
 def latest_before(cases: DataFrame, weights: DataFrame, case: str, subject: str, days: int = 730) -> DataFrame:
     """case, weight_time, weight: the latest readable weight in the days before the case's time."""
     w = weights.withColumn("_kg", number(F.col("text"))).where("_kg IS NOT NULL").select(subject, F.col("time").alias("_at"), "_kg")
-    near = cases.join(w, subject).where((F.col("_at") < F.col("time")) & (F.col("_at") >= plus(F.col("time"), days=-days)))
-    best = near.groupBy(case).agg(F.max(F.struct("_at", "_kg")).alias("w")).select(case, F.col("w._at").alias("weight_time"), F.col("w._kg").alias("weight"))
-    return cases.select(case).join(best, case, "left")
+    latest = as_of(cases.select(case, subject, "time"), w.groupBy(subject, "_at").agg(F.max("_kg").alias("_kg")), (subject,), "time", "_at", ["_kg"], strict=True)
+    near = F.col("_at") >= plus(F.col("time"), days=-days)
+    return latest.select(case, F.when(near, F.col("_at")).alias("weight_time"), F.when(near, F.col("_kg")).alias("weight"))
 
 
 def staff_lists(staff: DataFrame, key: str) -> DataFrame:
@@ -151,10 +151,15 @@ def running_amounts(totals: DataFrame, key: str, kind: str = "kind") -> DataFram
 
 
 def returned_within(events: DataFrame, subject: str, key: str, days: int = 30) -> DataFrame:
-    """key, returned: whether the same subject has another event that starts after this one's end and within so many days of it."""
-    other = events.select(subject, F.col("start").alias("_s"), F.col(key).alias("_k"))
-    hit = events.join(other, subject).where((F.col("_k") != F.col(key)) & (F.col("_s") > F.col("end")) & (F.col("_s") <= plus(F.col("end"), days=days))).select(key).distinct().withColumn("_hit", F.lit(1))
-    return events.select(key).join(hit, key, "left").select(key, F.coalesce("_hit", F.lit(0)).alias("returned"))
+    """key, returned: whether the same subject has another event that starts after this one's end and within so many days of it.
+
+    Keys are unique. The first later start decides; where that is this event's own, as its end comes before its start, the start after it does.
+    """
+    starts = events.groupBy(subject, F.col("start").alias("_s")).agg(F.min(key).alias("_one"), F.max(key).alias("_other"))
+    starts = starts.withColumn("_then", F.lead("_s").over(Window.partitionBy(subject).orderBy("_s")))
+    found = as_of(events.select(key, subject, "end"), starts, (subject,), "end", "_s", ["_one", "_other", "_then"], strict=True, ahead=True)
+    first = F.when((F.col("_one") == F.col(key)) & (F.col("_other") == F.col(key)), F.col("_then")).otherwise(F.col("_s"))
+    return found.select(key, F.when(first <= plus(F.col("end"), days=days), 1).otherwise(0).alias("returned"))
 
 
 def extremes(windows: DataFrame, readings: DataFrame, kinds: DataFrame, threshold: float, direction: str = "below") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tideline.functions.text import cut, number, open_end, pressures, repaired_end
 from tideline.functions.time import completed_months, completed_years, days_between, minutes_between, plus
 from tideline.operators.ids import numbered
+from tideline.operators.intervals import as_of
 from tideline.plans.measures import exposure_intervals
 from tideline.sources.staging import staged
 
@@ -338,8 +339,9 @@ def anaesthetic(t: Tables) -> DataFrame:
     asa = asa.agg(F.min(F.struct("measurement_datetime", "measurement_id", "value_as_concept_id")).alias("a")).select("procedure_occurrence_id", F.col("a.value_as_concept_id").alias("asa_class_concept_id"))
     w = m.where((F.col("measurement_concept_id") == WEIGHT) & (F.col("unit_concept_id") == KILOGRAM) & F.col("value_as_number").isNotNull()).select("person_id", "measurement_datetime", "measurement_id", "value_as_number")
     start, end, at = F.col("procedure_datetime"), F.col("procedure_end_datetime"), F.col("measurement_datetime")
-    near = po.select("procedure_occurrence_id", "person_id", "procedure_datetime", "procedure_end_datetime").join(w, "person_id").where((at >= plus(start, days=-7)) & (at <= F.coalesce(end, start)))
-    weight = near.groupBy("procedure_occurrence_id").agg(F.max(F.struct("measurement_datetime", "measurement_id", "value_as_number")).alias("w")).select("procedure_occurrence_id", F.col("w.value_as_number").alias("weight_kg"))
+    held = w.groupBy("person_id", "measurement_datetime").agg(F.max(F.struct("measurement_id", "value_as_number")).alias("w"))
+    latest = as_of(po.select("procedure_occurrence_id", "person_id", start.alias("_start"), F.coalesce(end, start).alias("_until")), held, ("person_id",), "_until", "measurement_datetime", ["w"])
+    weight = latest.where(at >= plus(F.col("_start"), days=-7)).select("procedure_occurrence_id", F.col("w.value_as_number").alias("weight_kg"))
     birth = F.col("birth_datetime")
     return po.join(asa, "procedure_occurrence_id", "left").join(weight, "procedure_occurrence_id", "left").select(
         F.col("procedure_occurrence_id").alias("anaesthetic_id"), "person_id", "visit_occurrence_id", "visit_detail_id", F.col("procedure_concept_id").alias("anaesthesia_type_concept_id"), start.alias("start_datetime"), end.alias("end_datetime"),

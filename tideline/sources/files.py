@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,18 +42,112 @@ def read_episode_list(spark: SparkSession, path: str, pairs: bool = False) -> tu
     return rows.where(good).distinct(), rows.agg(F.count_if(~good).alias("rejected"))
 
 
-HEADINGS = {"table": ("TABLE_NAME", "TABLE NAME", "TABLE"), "column": ("COLUMN_NAME", "FIELD", "COLUMN"), "type": ("DATA_TYPE", "TYPE"), "description": ("DESCRIPTION", "DEFINITION")}
-
-
-def read_dictionary(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A data dictionary under any of the known headings: table, column, type, description; a row without a column describes its table."""
-    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", True).csv(path)
-    have = {c.strip().upper(): c for c in raw.columns}
-    out = []
-    for name, known in HEADINGS.items():
-        hit = next((have[h] for h in known if h in have), None)
-        out.append((F.col(f"`{hit}`") if hit else F.lit(None)).cast("string").alias(name))
-    return raw.select(*out).where("table IS NOT NULL")
+# Headings under which a dictionary's fields are known, how a key is flagged, the longest description, and what names and types look like
+HEADINGS = {
+    "table": ("TABLE_NAME", "TABLE", "TABLENAME", "TABLE_NM", "TAB_NAME", "ENTITY", "ENTITY_NAME", "OBJECT_NAME"),
+    "column": ("COLUMN_NAME", "COLUMN", "COLUMNNAME", "COLUMN_NM", "COL_NAME", "FIELD", "FIELD_NAME", "ATTRIBUTE", "ATTRIBUTE_NAME", "ELEMENT_NAME"),
+    "description": ("DESCRIPTION", "COLUMN_DESCRIPTION", "FIELD_DESCRIPTION", "TABLE_DESCRIPTION", "DESC", "DEFINITION", "BUSINESS_DEFINITION", "COMMENT", "COMMENTS", "REMARKS", "NOTES"),
+    "type": ("DATA_TYPE", "DATATYPE", "TYPE", "COLUMN_TYPE", "SQL_TYPE", "TYPE_NAME", "FORMAT"),
+    "key": ("IS_PRIMARY_KEY", "PRIMARY_KEY", "PRIMARY_KEY_FLAG", "IS_PK", "PK", "PK_FLAG", "KEY", "IS_KEY", "KEY_FLAG", "KEY_COLUMNS"),
+}
+YES = ("Y", "YES", "TRUE", "T", "1", "X", "PK", "PRIMARY", "PRIMARY KEY")
+LONGEST_DESCRIPTION = 4000
+PLAIN_NAME = r"^[A-Za-z_][A-Za-z0-9_$#@ ]{0,127}$"
+PLAIN_TYPE = r"^[A-Za-z][A-Za-z0-9_ ()]{0,63}$"
+
+
+def _fields(raw: DataFrame, wanted: tuple[str, ...], own: Mapping[str, str]) -> dict[str, Column]:
+    """The trimmed cells of the wanted fields, '' where a heading or a cell is absent; headings are compared without case, spaces, hyphens or underscores at their ends."""
+    plain = lambda h: re.sub(r"[^A-Z0-9]+", "_", h.upper()).strip("_")
+    have: dict[str, str] = {}
+    for c in raw.columns:
+        have.setdefault(plain(c), c)
+    out = {}
+    for name in wanted:
+        if name in own and plain(own[name]) not in have:
+            raise ValueError(f"the dictionary has no heading {own[name]}, which was named for the {name}")
+        hit = next((have[h] for h in ([plain(own[name])] if name in own else HEADINGS[name]) if h in have), None)
+        out[name] = F.coalesce(F.trim(F.col("`" + hit.replace("`", "``") + "`")), F.lit("")) if hit else None
+    return out
+
+
+def _cells(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
+    """All cells as text under the headings of the first row; the separator that the first line has most often, unless it is named. Rows are numbered in `_row`."""
+    if sep is None:
+        line = spark.read.text(path).first()
+        sep = max(("\t", ",", ";", "|"), key=line[0].count) if line and any(line[0].count(s) for s in "\t,;|") else ","
+    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+    return raw.select(*[F.col("`" + c.replace("`", "``") + "`").alias(c.lstrip("\ufeff")) for c in raw.columns], F.monotonically_increasing_id().alias("_row"))
+
+
+def read_dictionary(spark: SparkSession, path: str, sep: str | None = None, tables: str | None = None, headings: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A vendor's data dictionary: table, column, type, description, key (NULL: not said), and one row of skipped and cut.
+
+    Fields are found under any of the known headings, or under the caller's own; without one for tables and one for columns the file is refused. A row without a column
+    describes its table. Names are the same in any case and keep the spelling of their table's first row; of several rows of a column the last counts. Rows whose table or
+    column is no plain name are left out and counted in skipped; descriptions lose control characters, and longer ones than 4,000 characters are cut and counted. A second
+    file of tables may give the tables' descriptions and, as a list of columns, their keys, which then rule over the flags; a key that names an unknown column is not used.
+    """
+    own = dict(headings or {})
+    if unknown := own.keys() - HEADINGS.keys():
+        raise ValueError(f"no field of a dictionary: {', '.join(sorted(unknown))}")
+    raw = _cells(spark, path, sep)
+    f = _fields(raw.drop("_row"), tuple(HEADINGS), own)
+    if lacking := [n for n in ("table", "column") if f[n] is None]:
+        raise ValueError(f"no heading for the {' and the '.join(lacking)}")
+    empty = F.lit("")
+    rows = raw.select("_row", *[(empty if c is None else c).alias(n) for n, c in f.items()]).where("table <> '' OR column <> ''")
+    named = F.col("table").rlike(PLAIN_NAME) & ((F.col("column") == "") | F.col("column").rlike(PLAIN_NAME))
+    text = F.trim(F.regexp_replace("description", r"\s+", " "))
+    left = rows.agg(F.count_if(~named).alias("skipped"), F.count_if(named & (F.length(text) > LONGEST_DESCRIPTION)).alias("cut"))
+    good = rows.where(named).withColumns({"_t": F.upper("table"), "_c": F.upper("column"), "description": _described("description")})
+    spelling = good.groupBy("_t").agg(F.min_by("table", "_row").alias("table"))
+    flag = F.when(F.col("key") != "", F.upper("key").isin(*YES))
+    kind = F.when(F.col("type").rlike(PLAIN_TYPE), F.col("type"))
+    last = good.select("_t", "_c", "_row", F.struct(F.when(F.col("column") != "", F.col("column")).alias("column"), kind.alias("type"), F.col("description"), flag.alias("key")).alias("e"))
+    entries = last.groupBy("_t", "_c").agg(F.max_by("e", "_row").alias("e")).select("_t", "_c", "e.*")
+    if tables is not None:
+        entries = _with_tables(entries, _cells(spark, tables, None), own)
+    out = entries.join(spelling, "_t")
+    return out.select("table", "column", F.when(F.col("column").isNotNull(), F.col("type")).alias("type"), "description", F.when(F.col("column").isNotNull(), F.col("key")).alias("key")), left
+
+
+def _described(name: str) -> Column:
+    """Text without control characters and runs of spaces, cut; NULL if nothing is left."""
+    text = F.substring(F.trim(F.regexp_replace(F.regexp_replace(name, r"[\x00-\x08\x0b-\x1f\x7f]", " "), r"\s+", " ")), 1, LONGEST_DESCRIPTION)
+    return F.when(text != "", text)
+
+
+def _with_tables(entries: DataFrame, raw: DataFrame, own: Mapping[str, str]) -> DataFrame:
+    """Entries with the descriptions and keys of a file of tables; tables that have no entry are passed over."""
+    f = _fields(raw.drop("_row"), ("table", "description", "key"), {k: v for k, v in own.items() if k == "table"})
+    if f["table"] is None:
+        raise ValueError("no heading for the table in the file of tables")
+    told = f["description"] is not None
+    rows = raw.select("_row", *[(F.lit("") if c is None else c).alias(n) for n, c in f.items()]).where(F.col("table").rlike(PLAIN_NAME))
+    parts = F.filter(F.split(F.upper("key"), r"[\s,;]+"), lambda p: p != "")
+    rows = rows.select(F.upper("table").alias("_t"), "_row", _described("description").alias("_d"), parts.alias("_parts"))
+    known = entries.where("_c <> ''").groupBy("_t").agg(F.collect_set("_c").alias("_known"))
+    usable = F.when((F.size("_parts") > 0) & (F.size(F.array_except("_parts", F.coalesce("_known", F.array().cast("array<string>")))) == 0), F.col("_parts"))
+    found = rows.join(known, "_t", "left").groupBy("_t").agg(F.max_by(F.struct("_d"), "_row")["_d"].alias("_d"), F.max_by(usable, F.when(usable.isNotNull(), F.col("_row"))).alias("_key"))
+    here = entries.join(found.withColumn("_in", F.lit(True)), "_t", "left")
+    key = F.when(F.col("_key").isNotNull(), F.array_contains("_key", F.col("_c"))).otherwise(F.col("key"))
+    described = F.when((F.col("_c") == "") & F.col("_in") & F.lit(told), F.col("_d")).otherwise(F.col("description"))
+    same = here.select("_t", "_c", "column", "type", described.alias("description"), key.alias("key"))
+    if not told:
+        return same
+    bare = found.where("_d IS NOT NULL").join(entries.select("_t").distinct(), "_t", "left_semi").join(entries.where("_c = ''").select("_t"), "_t", "left_anti")
+    none = F.lit(None).cast("string")
+    return same.unionByName(bare.select("_t", F.lit("").alias("_c"), none.alias("column"), none.alias("type"), F.col("_d").alias("description"), F.lit(None).cast("boolean").alias("key")))
+
+
+def in_catalogue(entries: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of tables and columns that catalogue(table, column, type) holds, in its spelling and with its type where the dictionary has none, and one row: missing, the columns it does not hold."""
+    c = catalogue.select(F.upper("table").alias("_t"), F.upper("column").alias("_c"), F.col("table").alias("c_table"), F.col("column").alias("c_column"), F.col("type").alias("c_type")).distinct()
+    whole = c.groupBy("_t").agg(F.min("c_table").alias("c_table")).select("_t", F.lit("").alias("_c"), "c_table", F.lit(None).cast("string").alias("c_column"), F.lit(None).cast("string").alias("c_type"))
+    rows = entries.withColumns({"_t": F.upper("table"), "_c": F.coalesce(F.upper("column"), F.lit(""))}).join(c.unionByName(whole), ["_t", "_c"], "left")
+    kept = rows.where("c_table IS NOT NULL").select(F.col("c_table").alias("table"), F.col("c_column").alias("column"), F.coalesce("type", "c_type").alias("type"), "description", "key")
+    return kept, rows.agg(F.count_if(F.col("c_table").isNull() & F.col("column").isNotNull()).alias("missing"))
 
 
 def write_ordered(df: DataFrame, path: str, columns: list[str]) -> None:
