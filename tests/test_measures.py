@@ -87,6 +87,22 @@ def test_registry_refuses(world):
     assert got.count() == 4
 
 
+def test_extreme_and_first_beyond(world):
+    s, e, r, k, _ = world
+    window = {"kinds": k.select("kind"), "from_minutes": 0, "until_minutes": None}
+    low = registry.measure("extreme_in_window", 1, s, e, r, direction="lowest", **window).collect()
+    # refused, late and empty readings do not count; an unknown stop leaves the window open; of equal values the first time counts
+    assert {x["anaesthetic_key"]: tuple(x)[1:] for x in low} == {"a": (6, 20.0, at(58)), "open": (2, 30.0, at(0)), "none": (0, None, None), "aged": (1, 10.0, at(0))}
+    high = registry.measure("extreme_in_window", 1, s, e, r, direction="highest", **window | {"from_minutes": 1, "until_minutes": 20}).collect()
+    assert {x["anaesthetic_key"]: tuple(x)[1:] for x in high} == {"a": (3, 50.0, at(3)), "open": (1, 30.0, at(2)), "none": (0, None, None), "aged": (0, None, None)}
+    first = registry.measure("time_to_first_beyond_threshold", 1, s, e, r, threshold=25, direction="below", **window).collect()
+    assert {x["anaesthetic_key"]: tuple(x)[1:] for x in first} == {"a": (6, at(58), 58.0), "open": (2, None, None), "none": (0, None, None), "aged": (1, at(0), 0.0)}
+    above = registry.measure("time_to_first_beyond_threshold", 1, s, e, r, threshold=40, direction="above", **window).collect()
+    assert {x["anaesthetic_key"]: tuple(x)[1:] for x in above} == {"a": (6, at(0), 0.0), "open": (2, None, None), "none": (0, None, None), "aged": (1, None, None)}
+    with pytest.raises(ValueError, match="no choice"):
+        registry.measure("extreme_in_window", 1, s, e, r, direction="deepest", **window)
+
+
 @pytest.mark.parametrize("partitions", [1, 7, 40])
 def test_numbers_do_not_depend_on_partitions(spark, partitions):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x").repartition(partitions)

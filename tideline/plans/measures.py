@@ -58,6 +58,33 @@ def cooling(subjects: DataFrame, episodes: DataFrame, readings: DataFrame, kind:
     return own.join(sums, KEY, "left").join(first, KEY, "left").select(KEY, F.coalesce("n", F.lit(0)).alias("readings"), "minutes_below", "lowest", F.col("a.reading_time").alias("arrival_time"), F.col("a.value").alias("arrival_temperature"))
 
 
+def extreme(subjects: DataFrame, episodes: DataFrame, readings: DataFrame, kinds: DataFrame, direction: str = "lowest", from_minutes: int = 0, until_minutes: int | None = None) -> DataFrame:
+    """The lowest or highest reading in the window, and when it was first met: anaesthetic_key, readings, extreme, extreme_time; NULL without a reading.
+
+    Partial aggregates meet by episode key, as the join before has dealt them; no reading is sorted.
+    """
+    if direction not in ("lowest", "highest"):
+        raise ValueError(f"direction: {direction}")
+    own = windowed(eligible(episodes, subjects), from_minutes, until_minutes)
+    signed = F.col("value") if direction == "lowest" else -F.col("value")
+    least = F.min(F.struct(signed.alias("signed"), "reading_time", "value"))
+    sums = readings_within(own, readings, kinds).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), least.alias("x"))
+    return own.join(sums, KEY, "left").select(KEY, F.coalesce("n", F.lit(0)).alias("readings"), F.col("x.value").alias("extreme"), F.col("x.reading_time").alias("extreme_time"))
+
+
+def first_beyond(subjects: DataFrame, episodes: DataFrame, readings: DataFrame, kinds: DataFrame, threshold: float, direction: str = "below", from_minutes: int = 0, until_minutes: int | None = None) -> DataFrame:
+    """Minutes from the start to the first reading beyond a threshold: anaesthetic_key, readings, first_time, minutes_to_first.
+
+    NULL where none is beyond; readings tells whether there was one at all.
+    """
+    if direction not in ("below", "above"):
+        raise ValueError(f"direction: {direction}")
+    own = windowed(eligible(episodes, subjects), from_minutes, until_minutes)
+    beyond = F.col("value") < threshold if direction == "below" else F.col("value") > threshold
+    sums = readings_within(own, readings, kinds).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(beyond, F.col("reading_time"))).alias("first_time"))
+    return own.join(sums, KEY, "left").select(KEY, F.coalesce("n", F.lit(0)).alias("readings"), "first_time", minutes(seconds_between(F.col("start_time"), F.col("first_time"))).alias("minutes_to_first"))
+
+
 def completeness(subjects: DataFrame, episodes: DataFrame, readings: DataFrame, kinds: DataFrame, expected_minutes: int = 5, from_minutes: int = 0, until_minutes: int | None = None) -> DataFrame:
     """How much of the window readings cover, and the longest gap: anaesthetic_key, window_minutes, readings, covered_minutes, share_covered, longest_gap_minutes."""
     own = windowed(eligible(episodes, subjects), from_minutes, until_minutes).withColumn("window_until", F.when(F.col("stop_time").isNotNull(), F.col("window_until")))

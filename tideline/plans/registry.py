@@ -45,6 +45,7 @@ class Measure:
 
 _WINDOW = {"from_minutes": Parameter("whole"), "until_minutes": Parameter("whole_or_empty")}
 _KINDS = Parameter("table", columns=("kind", "preference"))
+_KIND = Parameter("table", columns=("kind",))
 _BURDEN = {"kinds": _KINDS, "bands": Parameter("table", columns=("from_days", "until_days", "threshold")), "direction": Parameter("choice", ("below", "above")), "stands_minutes": Parameter("whole"), **_WINDOW}
 _FACTOR = Parameter("table", columns=("kind", "factor"))
 
@@ -54,7 +55,10 @@ MEASURES = {
         Measure("hypotension_burden", 1, measures.burden, _BURDEN, "episode", "minutes"),
         Measure("hypoxaemia_burden", 1, measures.burden, _BURDEN, "episode", "minutes"),
         Measure("hypothermia", 1, measures.cooling, {"threshold": Parameter("number"), "stands_minutes": Parameter("whole"), "recovery_minutes": Parameter("whole"), **_WINDOW}, "episode", "minutes"),
-        Measure("monitoring_completeness", 1, measures.completeness, {"kinds": Parameter("table", columns=("kind",)), "expected_minutes": Parameter("whole"), **_WINDOW}, "episode", "minutes"),
+        Measure("minutes_beyond_threshold", 1, measures.burden, _BURDEN, "episode", "minutes"),
+        Measure("extreme_in_window", 1, measures.extreme, {"kinds": _KIND, "direction": Parameter("choice", ("lowest", "highest")), **_WINDOW}, "episode", "the kind's own"),
+        Measure("time_to_first_beyond_threshold", 1, measures.first_beyond, {"kinds": _KIND, "threshold": Parameter("number"), "direction": Parameter("choice", ("below", "above")), **_WINDOW}, "episode", "minutes"),
+        Measure("monitoring_completeness", 1, measures.completeness, {"kinds": _KIND, "expected_minutes": Parameter("whole"), **_WINDOW}, "episode", "minutes"),
         Measure("volatile_consumption", 1, measures.two_signal_integral, {"vapour": _FACTOR, "co2e": _FACTOR, "stands_minutes": Parameter("whole"), **_WINDOW}, "episode and agent", "millilitres"),
     )
 }

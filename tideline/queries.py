@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.plans import disclosure, measures
+from tideline.plans import disclosure, measures, registry
 from tideline.sources.driver_frames import COMMON, Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,34 @@ def m3_cooling(x: Frames) -> DataFrame:
     return rounded(out, "minutes_below")
 
 
+def _within_sql(until: int | None = None) -> str:
+    end = "stop_time" if until is None else f"least(stop_time, start_time + INTERVAL {until} MINUTE)"
+    return f"""WITH {COMMON}, own AS (SELECT *, {end} AS until_w FROM eligible), inside AS (
+  SELECT o.anaesthetic_key, r.reading_time, r.value FROM own o JOIN reading r USING (anaesthetic_key)
+  WHERE r.kind IN ('view', 'click', 'purchase') AND r.accepted = 1 AND r.value IS NOT NULL AND r.reading_time >= o.start_time AND (o.until_w IS NULL OR r.reading_time <= o.until_w)
+)"""
+
+
+@query(
+    f"""{_within_sql(4320)}, s AS (SELECT anaesthetic_key, count(*) AS n, max(value) AS extreme FROM inside GROUP BY 1),
+t AS (SELECT i.anaesthetic_key, min(reading_time) AS extreme_time FROM inside i JOIN s ON s.anaesthetic_key = i.anaesthetic_key AND i.value = extreme GROUP BY 1)
+SELECT e.anaesthetic_key, coalesce(n, 0) AS readings, extreme, extreme_time FROM eligible e LEFT JOIN s USING (anaesthetic_key) LEFT JOIN t USING (anaesthetic_key)"""
+)
+def x1_extreme_in_window(x: Frames) -> DataFrame:
+    """The registered measure, by name and version."""
+    return registry.measure("extreme_in_window", 1, x.subjects(), x.episodes(), x.readings(), kinds=kinds_of(x).select("kind"), direction="highest", from_minutes=0, until_minutes=4320)
+
+
+@query(
+    f"""{_within_sql()}, s AS (SELECT anaesthetic_key, count(*) AS n, min(reading_time) FILTER (value < 60) AS first_time FROM inside GROUP BY 1)
+SELECT e.anaesthetic_key, coalesce(n, 0) AS readings, first_time, round(CAST(date_diff('second', start_time, first_time) / 60.0 AS DOUBLE), 6) AS minutes_to_first FROM eligible e LEFT JOIN s USING (anaesthetic_key)"""
+)
+def x1_time_to_first_beyond(x: Frames) -> DataFrame:
+    """The registered measure, by name and version."""
+    out = registry.measure("time_to_first_beyond_threshold", 1, x.subjects(), x.episodes(), x.readings(), kinds=kinds_of(x).select("kind"), threshold=60.0, direction="below", from_minutes=0, until_minutes=None)
+    return rounded(out, "minutes_to_first")
+
+
 @query(
     f"""
 WITH {COMMON}, times AS (

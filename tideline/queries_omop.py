@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.time import plus
 from tideline.plans import omop
-from tideline.queries import query
+from tideline.queries import SQL, query
 from tideline.sources.driver_frames import Frames
 
 MAP = [
@@ -118,6 +120,11 @@ def o2_provider(x: Frames) -> DataFrame:
     return _run(x, "provider")["provider"]
 
 
+@query("SELECT row_number() OVER (ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 3, '0')) AS care_site_id, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS care_site_source_value, n_name AS care_site_name FROM nation")
+def o2_care_site(x: Frames) -> DataFrame:
+    return _run(x, "care_site")["care_site"]
+
+
 @query(f"WITH {_BASE} SELECT visit_occurrence_id, person_id, s AS visit_start_datetime, e AS visit_end_datetime, care_site_id, CAST(o_orderkey AS VARCHAR) AS visit_source_value FROM visit")
 def o3_visit_occurrence(x: Frames) -> DataFrame:
     return _run(x, "person", "care_site", "visit_occurrence")["visit_occurrence"].select("visit_occurrence_id", "person_id", "visit_start_datetime", "visit_end_datetime", "care_site_id", "visit_source_value")
@@ -237,24 +244,6 @@ def o7_drug_infusion(x: Frames) -> DataFrame:
     return omop.drug_infusion(_run(x, *_TO_DETAIL)).select("person_id", "drug_concept_id", "drug_exposure_start_datetime", "drug_exposure_end_datetime", "stop_reason", "sig", "visit_detail_id")
 
 
-@query(
-    f"""WITH {_BASE}{_CHARTED}{_INFUSED}, n AS (SELECT 'person' AS target, count(*) AS rows FROM person UNION ALL SELECT 'visit_occurrence', count(*) FROM visit UNION ALL SELECT 'visit_detail', count(*) FROM detail
-UNION ALL SELECT 'drug_exposure', (SELECT count(*) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'N')) + (SELECT count(*) FROM infused)
-UNION ALL SELECT 'procedure_occurrence', (SELECT count(*) FROM proc) + (SELECT count(*) FROM lineitem JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_partkey % 3 = 2) + (SELECT count(*) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_linestatus = 'F')
-UNION ALL SELECT 'measurement', (SELECT count(*) FROM meas) + (SELECT count(sys) + count(dia) + count(*) FILTER (sys IS NOT NULL AND dia IS NOT NULL AND visit_detail_id IS NOT NULL) FROM linked) + (SELECT count(*) FROM proc WHERE risk IN (1, 2, 3))
-UNION ALL SELECT 'anaesthetic', count(*) FROM proc UNION ALL SELECT 'anaesthetic_phase', count(*) FROM proc UNION ALL SELECT 'cdm_source', 1) SELECT * FROM n"""
-)
-def o20_whole_run(x: Frames) -> DataFrame:
-    """All steps in their order; the rows of the tables that several steps fill, or that come last."""
-    t = omop.run(source(x))
-    names = ("person", "visit_occurrence", "visit_detail", "drug_exposure", "procedure_occurrence", "measurement", "anaesthetic", "anaesthetic_phase", "cdm_source")
-    parts = [t[n].agg(F.lit(n).alias("target"), F.count(F.lit(1)).alias("rows")) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @query(
     f"""WITH {_BASE} SELECT person_id, CAST(coalesce(d.concept, 0) AS BIGINT) AS drug_concept_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, l_quantity AS quantity, CAST(coalesce(r.concept, 0) AS BIGINT) AS route_concept_id, visit_occurrence_id
 FROM lineitem JOIN visit ON o_orderkey = l_orderkey LEFT JOIN map d ON d.vocabulary = 'SITE_DRUG' AND d.code = CAST(l_partkey % 7 AS VARCHAR) LEFT JOIN map r ON r.vocabulary = 'SITE_ROUTE' AND r.code = l_linestatus WHERE l_returnflag IN ('R', 'N')"""
@@ -280,3 +269,27 @@ SELECT person_id, CAST(concept AS BIGINT) AS device_concept_id, CAST(CAST(a AS D
 def o15_device_exposure(x: Frames) -> DataFrame:
     t = _run(x, *_TO_DETAIL, "device_exposure")["device_exposure"]
     return t.select("person_id", "device_concept_id", F.col("device_exposure_start_date").cast("string").alias("first_day"), F.col("device_exposure_end_date").cast("string").alias("last_day"), "visit_detail_id")
+
+
+#: The other targets and the queries that hold their rows.
+_ALONE = {"provider": "o2_provider", "care_site": "o2_care_site", "condition_occurrence": "o4_condition_occurrence", "death": "o5_death", "observation": "o14_observation", "device_exposure": "o15_device_exposure", "observation_period": "o16_observation_period"}
+
+
+def _counted() -> str:
+    return " ".join(f"UNION ALL SELECT '{target}', count(*) FROM ({SQL[name]})" for target, name in _ALONE.items())
+
+
+@query(
+    f"""WITH {_BASE}{_CHARTED}{_INFUSED}, n AS (SELECT 'person' AS target, count(*) AS rows FROM person UNION ALL SELECT 'visit_occurrence', count(*) FROM visit UNION ALL SELECT 'visit_detail', count(*) FROM detail
+UNION ALL SELECT 'drug_exposure', (SELECT count(*) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'N')) + (SELECT count(*) FROM infused)
+UNION ALL SELECT 'procedure_occurrence', (SELECT count(*) FROM proc) + (SELECT count(*) FROM lineitem JOIN detail d ON d.o_orderkey = l_orderkey WHERE l_partkey % 3 = 2) + (SELECT count(*) FROM lineitem JOIN visit ON o_orderkey = l_orderkey WHERE l_linestatus = 'F')
+UNION ALL SELECT 'measurement', (SELECT count(*) FROM meas) + (SELECT count(sys) + count(dia) + count(*) FILTER (sys IS NOT NULL AND dia IS NOT NULL AND visit_detail_id IS NOT NULL) FROM linked) + (SELECT count(*) FROM proc WHERE risk IN (1, 2, 3))
+UNION ALL SELECT 'anaesthetic', count(*) FROM proc UNION ALL SELECT 'anaesthetic_phase', count(*) FROM proc UNION ALL SELECT 'cdm_source', 1
+{_counted()}) SELECT target, rows, CASE WHEN target NOT IN ('death', 'cdm_source') THEN rows END AS identifiers FROM n"""
+)
+def o20_whole_run(x: Frames) -> DataFrame:
+    """All steps in their order: the rows of every target, and its different identifiers, which no layer may repeat."""
+    t = omop.run(source(x))
+    keys = {s.target: s.key for s in (*omop.CORE, *omop.LAYER, *omop.DERIVED)}
+    counted = [t[n].agg(F.lit(n).alias("target"), F.count(F.lit(1)).alias("rows"), (F.countDistinct(k) if k else F.lit(None).cast("long")).alias("identifiers")) for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, counted)
