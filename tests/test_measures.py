@@ -103,6 +103,15 @@ def test_extreme_and_first_beyond(world):
         registry.measure("extreme_in_window", 1, s, e, r, direction="deepest", **window)
 
 
+def test_events_counted(spark, world):
+    s, e, *_ = world
+    rows = [("a", "x", at(0)), ("a", "x", at(0)), ("a", "y", at(60)), ("a", "x", at(61)), ("a", "x", None), ("a", "z", at(5)), ("open", "y", at(500)), ("t", "x", at(1)), (None, "x", at(1)), ("a", None, at(1))]
+    events = spark.createDataFrame(rows, "anaesthetic_key string, kind string, event_time timestamp_ntz")
+    kinds = spark.createDataFrame([("x",), ("y",), ("x",)], "kind string")
+    got = registry.measure("count_of_events", 1, s, e, events, kinds=kinds, from_minutes=0, until_minutes=None)
+    assert {x["anaesthetic_key"]: x["events"] for x in got.collect()} == {"a": 3, "open": 1, "none": 0, "aged": 0}
+
+
 @pytest.mark.parametrize("partitions", [1, 7, 40])
 def test_numbers_do_not_depend_on_partitions(spark, partitions):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x").repartition(partitions)

@@ -85,6 +85,15 @@ def first_beyond(subjects: DataFrame, episodes: DataFrame, readings: DataFrame,
     return own.join(sums, KEY, "left").select(KEY, F.coalesce("n", F.lit(0)).alias("readings"), "first_time", minutes(seconds_between(F.col("start_time"), F.col("first_time"))).alias("minutes_to_first"))
 
 
+def events_counted(subjects: DataFrame, episodes: DataFrame, events: DataFrame, kinds: DataFrame, from_minutes: int = 0, until_minutes: int | None = None) -> DataFrame:
+    """Events of the chosen kinds in the window, ends included: anaesthetic_key, events; none is 0. An event without a time is in no window, and a kind named twice counts once."""
+    own = windowed(eligible(episodes, subjects), from_minutes, until_minutes)
+    chosen = events.join(F.broadcast(kinds.select("kind").distinct()), "kind", "left_semi")  # a parameter table of a few rows
+    inside = (F.col("event_time") >= F.col("window_from")) & (F.col("window_until").isNull() | (F.col("event_time") <= F.col("window_until")))
+    sums = own.select(KEY, "window_from", "window_until").join(chosen, KEY).where(inside).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    return own.join(sums, KEY, "left").select(KEY, F.coalesce("n", F.lit(0)).alias("events"))
+
+
 def completeness(subjects: DataFrame, episodes: DataFrame, readings: DataFrame, kinds: DataFrame, expected_minutes: int = 5, from_minutes: int = 0, until_minutes: int | None = None) -> DataFrame:
     """How much of the window readings cover, and the longest gap: anaesthetic_key, window_minutes, readings, covered_minutes, share_covered, longest_gap_minutes."""
     own = windowed(eligible(episodes, subjects), from_minutes, until_minutes).withColumn("window_until", F.when(F.col("stop_time").isNotNull(), F.col("window_until")))

@@ -58,6 +58,7 @@ MEASURES = {
         Measure("minutes_beyond_threshold", 1, measures.burden, _BURDEN, "episode", "minutes"),
         Measure("extreme_in_window", 1, measures.extreme, {"kinds": _KIND, "direction": Parameter("choice", ("lowest", "highest")), **_WINDOW}, "episode", "the kind's own"),
         Measure("time_to_first_beyond_threshold", 1, measures.first_beyond, {"kinds": _KIND, "threshold": Parameter("number"), "direction": Parameter("choice", ("below", "above")), **_WINDOW}, "episode", "minutes"),
+        Measure("count_of_events", 1, measures.events_counted, {"kinds": _KIND, **_WINDOW}, "episode", "events"),
         Measure("monitoring_completeness", 1, measures.completeness, {"kinds": _KIND, "expected_minutes": Parameter("whole"), **_WINDOW}, "episode", "minutes"),
         Measure("volatile_consumption", 1, measures.two_signal_integral, {"vapour": _FACTOR, "co2e": _FACTOR, "stands_minutes": Parameter("whole"), **_WINDOW}, "episode and agent", "millilitres"),
     )
@@ -65,7 +66,7 @@ MEASURES = {
 
 
 def measure(name: str, version: int, subjects: DataFrame, episodes: DataFrame, readings: DataFrame, **given: Any) -> DataFrame:
-    """Run a registered measure; every parameter must be given."""
+    """Run a registered measure; every parameter must be given. Measures of events take them in place of readings."""
     if (name, version) not in MEASURES:
         raise ValueError(f"no measure {name} version {version}")
     m = MEASURES[name, version]

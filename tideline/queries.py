@@ -139,6 +139,18 @@ def x1_time_to_first_beyond(x: Frames) -> DataFrame:
     return rounded(out, "minutes_to_first")
 
 
+@query(
+    f"""WITH {COMMON}, s AS (SELECT e.anaesthetic_key, count(*) AS n FROM eligible e JOIN reading r USING (anaesthetic_key)
+  WHERE r.kind IN ('error', 'signup') AND r.reading_time >= e.start_time AND r.reading_time <= coalesce(least(e.stop_time, e.start_time + INTERVAL 2880 MINUTE), e.start_time + INTERVAL 2880 MINUTE) GROUP BY 1)
+SELECT e.anaesthetic_key, coalesce(n, 0) AS events FROM eligible e LEFT JOIN s USING (anaesthetic_key)"""
+)
+def x1_count_of_events(x: Frames) -> DataFrame:
+    """The registered measure, by name and version."""
+    events = x.readings().select("anaesthetic_key", "kind", F.col("reading_time").alias("event_time"))
+    kinds = x.spark.createDataFrame([("error",), ("signup",)], "kind string")
+    return registry.measure("count_of_events", 1, x.subjects(), x.episodes(), events, kinds=kinds, from_minutes=0, until_minutes=2880)
+
+
 @query(
     f"""
 WITH {COMMON}, times AS (
