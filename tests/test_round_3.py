@@ -1,9 +1,12 @@
-"""Distances to the microsecond, learning from every text, numbers without a window."""
+"""Distances to the microsecond, numbers without a window."""
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from tideline.operators.ids import numbered
 from tideline.plans import analyst
 
 
@@ -21,3 +24,13 @@ def test_results_around_are_near_to_the_microsecond(spark):
     assert found("before", start - timedelta(hours=72)) == 0
     assert found("before", start - timedelta(hours=72, milliseconds=50)) is None
     assert found("either", start - timedelta(milliseconds=600), start + timedelta(milliseconds=500)) == 1
+
+
+def test_numbers_with_their_columns_alone(spark):
+    df = spark.range(1000).selectExpr("999 - id AS x", "id % 7 AS y", "'long text' AS z").repartition(9)
+    got = numbered(df, ["y", "x"], "id", 11, ["x", F.col("y").alias("w")])
+    assert got.columns == ["id", "x", "w"]
+    assert [(r.w, r.x) for r in got.orderBy("id").collect()] == sorted((r.y, r.x) for r in df.collect())
+    assert got.agg(F.min("id"), F.max("id"), F.countDistinct("id")).first()[:] == (11, 1010, 1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
