@@ -42,6 +42,8 @@ class Model:
         return total
 
 
+#: A leaf's most log odds: where large counts meet a probability near 0 or 1, a Newton step has hardly a curvature and would overshoot.
+STEP = 8.0
 Cell = tuple[tuple[int, ...], float, float]  # features, rows, rows of class 1
 
 
@@ -88,7 +90,8 @@ def fit(cells: list[Cell], rounds: int = 20, rate: float = 0.4) -> Model:
             splits.append((g, d))
             for low in (False, True):
                 leaf = [r for r in own if (r[0][g] > d) == low]
-                leaves.append(rate * sum(r[1] for r in leaf) / (sum(r[2] for r in leaf) + 1))
+                step = rate * sum(r[1] for r in leaf) / (sum(r[2] for r in leaf) + 1)
+                leaves.append(max(-STEP, min(STEP, step)))
         tree = Tree(tuple(splits), tuple(leaves))
         trees.append(tree)
         scores = [s + tree.value(x) for s, (x, _, _) in zip(scores, cells, strict=True)]

@@ -1,8 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts become lower-case letters with single spaces for all else; n-grams of one to three of these characters are hashed
-into a fixed number of buckets. Fitting counts buckets by language on a bounded sample of the labelled rows (`per_language` texts of
-each language, chosen by a hash of the id); the log-probability matrix, languages x buckets, is broadcast. Scoring counts the
+into a fixed number of buckets. Fitting counts buckets by language on all labelled rows, summed by Spark; the log-probability matrix, languages x buckets, is broadcast. Scoring counts the
 buckets of each text, batch by batch in numpy and over the whole text, and multiplies these sparse counts with the matrix.
 
 Defined results: a null text, or one without a letter, is 'und' with score 0; so is every text if nothing was learned.
@@ -12,7 +11,6 @@ Rows are judged one by one, so repeated rows, ties and order do not matter; othe
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +34,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities by language and bucket; 'prior' is each language's log share of the sample."""
+    """Log probabilities by language and bucket; 'prior' is each language's log share of the labelled texts."""
 
     languages: tuple[str, ...]
     log_probability: np.ndarray
@@ -83,33 +81,33 @@ def learnt(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(True))
 
 
-def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int = 4000, most_languages: int = 200) -> Model:
-    """Learn from at most about per_language texts of each language; more than most_languages labels are an error."""
+def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, most_languages: int = 200) -> Model:
+    """Learn from every labelled text; more than most_languages labels are an error."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counted = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(most_languages + 1).collect()}
     if len(counted) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counted:
         return Model((), np.zeros((0, BUCKETS)), np.zeros(0))
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counted.items()) for x in (k, math.ceil(1e6 * min(1, per_language / n)))])
-    sample = rows.where(draw < share[F.col(lang)]).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    texts = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch, data, offsets in pieces(batches, "text"):
             points, at = letters(*codepoints(data, offsets))
             names = batch.column(0).to_pylist()
-            for k, name in enumerate(names):
-                own = points[at[k] : at[k + 1]]
-                to = found.setdefault(name, np.zeros(BUCKETS, np.int64))
-                for n in ORDERS:
-                    to += np.bincount(ngrams(own, n), minlength=BUCKETS) if len(own) >= n else 0
+            own = {name: k for k, name in enumerate(dict.fromkeys(names))}
+            of = np.array([own[name] for name in names], np.int64)
+            sums = np.zeros(len(own) * BUCKETS, np.int64)
+            for text, bucket in _places(points, at):
+                sums += np.bincount(of[text] * BUCKETS + bucket, minlength=len(sums))
+            for name, k in own.items():
+                found[name] = found.get(name, 0) + sums[k * BUCKETS : (k + 1) * BUCKETS]
         for name, to in found.items():
             full = np.flatnonzero(to)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(to[full])], names=["lang", "bucket", "n"])
 
-    sums = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = texts.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counted))
     counts = np.full((len(languages), BUCKETS), 0.5)
     if len(sums):
@@ -118,18 +116,25 @@ def fit(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: in
     return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(total / total.sum()))
 
 
-def _counted(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sparse counts of the texts' n-grams as (text, bucket, times), for BLOCK positions at a time; a text may go over several blocks."""
+def _places(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text and bucket of each n-gram, for BLOCK positions at a time; a text may go over several blocks."""
     for a in range(0, len(points), BLOCK):
         b = min(a + BLOCK, len(points))
-        codes = []
+        texts, buckets = [], []
         for n in ORDERS:
             h = ngrams(points[a : b + n - 1], n)
             place = np.arange(a, a + len(h))
             text = np.searchsorted(at, place, "right") - 1
             whole = place + n <= at[text + 1]  # an n-gram doesn't cross the end of its text
-            codes.append(text[whole] * BUCKETS + h[whole])
-        code, times = np.unique(np.concatenate(codes), return_counts=True)
+            texts.append(text[whole])
+            buckets.append(h[whole])
+        yield np.concatenate(texts), np.concatenate(buckets)
+
+
+def _counted(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse counts of the texts' n-grams as (text, bucket, times), block by block."""
+    for text, bucket in _places(points, at):
+        code, times = np.unique(text * BUCKETS + bucket, return_counts=True)
         yield code // BUCKETS, code % BUCKETS, times
 
 

@@ -5,14 +5,14 @@ overlapping candidates: addresses with written-out signs, loose and tight runs o
 and of the words around it; none of them tells the base rule itself (no plus sign, check digit or range of parts). For
 each kind, trees are boosted on labels that do not repeat the base rules:
 
-- Right are the base spans of a sample of texts (`sample_texts`, by a hash of the id), in copies of the texts in which each is rewritten so that its rule no longer finds it: an
+- Right are the base spans of all texts, in copies of the texts in which each is rewritten so that its rule no longer finds it: an
   address with its signs in words or brackets, a card with a wrong check digit, a phone number without its plus sign. Nothing is added to ip addresses.
 - The candidates of the texts as they are that meet no base span have no label: some are such missed forms, most are other things. Of those with the same features as many count as right as
   there should be if a person's data is missed once in `rarity` times, and all others as wrong. Competing runs, such as card-long ones whose check digit fails, therefore decide: where they
   are as many as the cards that pass, nearly all are wrong, and where they are few beside them, they are mistyped cards. Numbers pass a check digit one time in ten by
   chance; passing runs are discounted by a ninth of the failing ones of the same features.
 
-Fitting uses counts of feature cells, of which there are at most 4,480 by the features' ranges; one half of the sample fits, the other sets for each kind the
+Fitting uses counts of feature cells, of which there are at most 4,480 by the features' ranges; one half of the texts, by a hash of the id, fits, the other sets for each kind the
 threshold at which at least `precision` of the candidates are right, by the same reckoning and with all competing runs. Candidates above it that overlap no base span
 are added, best first where they overlap one another.
 
@@ -146,7 +146,7 @@ def candidates(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """For each kind the trees, the probability from which a candidate is added (None adds nothing), and the features that a right candidate of the sample had; others add nothing."""
+    """For each kind the trees, the probability from which a candidate is added (None adds nothing), and the features that a right candidate of the texts had; others add nothing."""
 
     trees: tuple[boosting.Model, ...]
     thresholds: tuple[float | None, ...]
@@ -189,13 +189,10 @@ def rewritten(text: Column, spans: Column, style: Column) -> Column:
     return F.aggregate(spans, start, step, end)
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, sample_texts: int = 20_000, precision: float = 0.95, rarity: int = 20) -> Model:
-    """Boost trees on a sample of about sample_texts texts; see the module's docstring."""
-    rows = docs.where(F.col(text).isNotNull())
-    n = rows.count()
+def fit(docs: DataFrame, doc_id: str, text: str, precision: float = 0.95, rarity: int = 20) -> Model:
+    """Boost trees on the counts of all texts; see the module's docstring."""
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(41)), F.lit(1_000_000))
-    sample = rows.where(draw < int(1e6 * min(1.0, sample_texts / max(1, n))) + 1)
-    each = sample.select(F.col(text).cast("string").alias("text"), (F.pmod(draw, F.lit(2)) == 0).alias("fits"), (F.shiftright(draw, 1) % 4).cast("int").alias("style"))
+    each = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), (F.pmod(draw, F.lit(2)) == 0).alias("fits"), (F.shiftright(draw, 1) % 4).cast("int").alias("style"))
     each = each.withColumn("base", base_spans(F.col("text")))
     other = each.where(F.size("base") > 0).select("fits", F.lit(False).alias("own"), F.inline(F.array(rewritten(F.col("text"), F.col("base"), F.col("style")))))
     each = each.select("fits", F.lit(True).alias("own"), "text", F.col("base").alias("spans")).union(other)
