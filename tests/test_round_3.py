@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tideline import queries_checks  # noqa: F401  registers its queries
 from tideline.operators.ids import numbered
-from tideline.plans import analyst
+from tideline.plans import analyst, profile
+from tideline.queries import QUERIES
 
 
 def test_results_around_are_near_to_the_microsecond(spark):
@@ -34,3 +37,21 @@ def test_numbers_with_their_columns_alone(spark):
     assert got.agg(F.min("id"), F.max("id"), F.countDistinct("id")).first()[:] == (11, 1010, 1000)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_block_of_several_files_is_one_cluster(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(0, 960, 1, 6).withColumn("block", F.col("id") % 16).write.partitionBy("block").parquet(path)
+    df = spark.read.parquet(path)
+    assert len(df.inputFiles()) == 96
+    whole, part = (profile.block_sampled(df, percent, pattern="block=[^/]+") for percent in (100, 40))
+    assert (whole.blocks, whole.read, part.blocks) == (16, 16, 16) and len(part.rows.inputFiles()) == 6 * part.read
+    got = profile.estimated(part, {"all": F.lit(True)}).first()
+    assert (got["estimate"], got["standard_error"]) == (960.0, 0.0)  # blocks are equal, files need not be
+
+
+def test_no_task_gathers_a_block(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda *_: pytest.fail("rows are dealt by block"))
+    assert QUERIES["s8_block_sample"](spark, "/root/testdata/sf0.001").count() == 2

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -110,38 +111,42 @@ def scaled(counts: DataFrame, figures: Sequence[str], percent: float) -> DataFra
 
 @dataclass(frozen=True)
 class BlockSample:
-    """A sample of a table's files: their rows, the files that there are and that are read, and bytes likewise."""
+    """A sample of a table's files: their rows, the blocks that there are and that are read, and the part of a path that names a file's block."""
 
     rows: DataFrame
     blocks: int
     read: int
+    pattern: str = "[^/]*$"
 
 
-def block_sampled(df: DataFrame, percent: float, seed: int = 1, name: Callable[[str], str] = lambda f: f.rsplit("/", 1)[-1]) -> BlockSample:
-    """Whole files of a table that was read from Parquet files, each chosen by a digest of its name and the seed; one at least. The others are not opened.
+def block_sampled(df: DataFrame, percent: float, seed: int = 1, pattern: str = "[^/]*$") -> BlockSample:
+    """Whole blocks of a table that was read from Parquet files, each chosen by a digest of its name and the seed; one at least. Files of the others are not opened.
 
-    Only names of files, which the driver lists for any read, are looked at.
+    A block is the files with the same part of their path by `pattern`, each file alone by default. Only names of files, which the driver lists for any read, are looked at.
     """
     from hashlib import md5
 
-    files = sorted(df.inputFiles())
-    share = lambda f: int(md5(f"{seed}:{name(f)}".encode()).hexdigest()[:8], 16) / (1 << 32)
-    chosen = [f for f in files if share(f) < percent / 100] or sorted(files, key=share)[:1]
+    files: dict[str, list[str]] = {}
+    for f in df.inputFiles():
+        files.setdefault(re.search(pattern, f)[0], []).append(f)
+    share = lambda n: int(md5(f"{seed}:{n}".encode()).hexdigest()[:8], 16) / (1 << 32)
+    chosen = [n for n in sorted(files) if share(n) < percent / 100] or sorted(files, key=share)[:1]
     if not chosen:
-        return BlockSample(df, 0, 0)
-    return BlockSample(df.sparkSession.read.schema(df.schema).format("parquet").load(chosen), len(files), len(chosen))
+        return BlockSample(df, 0, 0, pattern)
+    rows = df.sparkSession.read.schema(df.schema).format("parquet").load([f for n in chosen for f in sorted(files[n])])
+    return BlockSample(rows, len(files), len(chosen), pattern)
 
 
 def estimated(sample: BlockSample, conditions: Mapping[str, Column]) -> DataFrame:
     """figure, estimate, standard_error: of the rows that meet each condition in the whole table, from their counts in the sample's files.
 
-    A file is a cluster: the error is that of the mean over files without replacement; none for a sample of all files, NULL for one file of several.
+    A block is a cluster: the error is that of the mean over blocks without replacement; none for a sample of all blocks, NULL for one block of several.
     """
     n, blocks = sample.read, sample.blocks
-    by_file = sample.rows.groupBy(F.input_file_name().alias("_f")).agg(*[F.count_if(c).alias(k) for k, c in conditions.items()])
+    by_block = sample.rows.groupBy(F.regexp_extract(F.input_file_name(), sample.pattern, 0).alias("_f")).agg(*[F.count_if(c).alias(k) for k, c in conditions.items()])
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.col(k).alias("x")) for k in conditions]))
-    sums = by_file.select(cells.alias("c")).groupBy("c.figure").agg(F.sum("c.x").cast("double").alias("s"), F.sum(F.col("c.x").cast("double") * F.col("c.x")).alias("q"))
-    listed = sample.rows.sparkSession.createDataFrame([(k,) for k in conditions], "figure string").join(sums, "figure", "left").fillna(0.0, ["s", "q"])  # files without rows give none
+    sums = by_block.select(cells.alias("c")).groupBy("c.figure").agg(F.sum("c.x").cast("double").alias("s"), F.sum(F.col("c.x").cast("double") * F.col("c.x")).alias("q"))
+    listed = sample.rows.sparkSession.createDataFrame([(k,) for k in conditions], "figure string").join(sums, "figure", "left").fillna(0.0, ["s", "q"])  # blocks without rows give none
     variance = F.greatest((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1), F.lit(0.0)) if n > 1 else F.lit(None).cast("double")
     error = F.lit(0.0) if n == blocks else blocks * F.sqrt((1 - n / blocks) * variance / n)
     return listed.select("figure", (F.col("s") * (blocks / n if n else 0)).alias("estimate"), error.alias("standard_error"))
