@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline import queries_checks  # noqa: F401  registers its queries
 from tideline.operators.ids import numbered
-from tideline.plans import analyst, profile
+from tideline.plans import analyst, omop, profile
 from tideline.queries import QUERIES
 
 
@@ -55,3 +55,37 @@ def test_no_task_gathers_a_block(spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "repartition", lambda *_: pytest.fail("rows are dealt by block"))
     assert QUERIES["s8_block_sample"](spark, "/root/testdata/sf0.001").count() == 2
+
+
+def _small_source(spark):
+    visits = spark.createDataFrame([(i, "p", datetime(2024, 1, 1 + i)) for i in range(1, 9)], "visit_key long, patient_key string, admitted timestamp_ntz")
+    return {
+        "concepts": spark.createDataFrame([("SITE_DIAGNOSIS", "1", 11)], "vocabulary string, code string, concept long"),
+        "subjects": spark.createDataFrame([("p", datetime(1990, 1, 1).date(), 1, 0)], "patient_key string, birth_date date, sex long, is_test int"),
+        "wards": spark.createDataFrame([("w", "ward")], "ward_key string, label string"),
+        "visits": visits.withColumns({"discharged": F.col("admitted"), "ward_key": F.lit("w")}),
+        "diagnoses": spark.createDataFrame([(1 + i % 8, i, i % 2, "X") for i in range(40)], "visit_key long, seq int, diagnosis int, icd string"),
+    }
+
+
+def test_identifiers_that_nothing_reads_cost_no_range(spark):
+    steps = [next(s for s in omop.CORE if s.target == n) for n in ("person", "care_site", "visit_occurrence", "condition_occurrence")]
+    want = omop.run(_small_source(spark), steps)["condition_occurrence"].drop("condition_occurrence_id")
+    got = omop.run(_small_source(spark), steps, unread=("condition_occurrence",))["condition_occurrence"]
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 40
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_visits_by_a_whole_number_move_no_dealt_rows(spark, monkeypatch):
+    monkeypatch.setattr(omop, "_visits", lambda t: t["v"])
+    visits = spark.createDataFrame([("1", 10), ("02", 20), ("x", 30), ("3", 40)], "_visit string, visit_occurrence_id long")
+    rows = spark.createDataFrame([(1,), (2,), (3,), (3,), (4,)], "visit_key long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = omop._of_visits(rows.repartition("visit_key").join(rows.distinct(), "visit_key"), {"v": visits})
+        assert sorted(map(tuple, got.collect())) == [(1, 10), (3, 40), (3, 40)]  # "02" is another key than 2
+        assert "hashpartitioning(cast(visit_key" not in got._jdf.queryExecution().executedPlan().toString()  # by text, rows would be dealt again
+        text = omop._of_visits(rows.withColumn("visit_key", F.lpad(F.col("visit_key").cast("string"), 2, "0")), {"v": visits}, how="left")
+        assert sorted((r.visit_key, r.visit_occurrence_id or 0) for r in text.collect()) == [("01", 0), ("02", 20), ("03", 0), ("03", 0), ("04", 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
