@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
-from tideline import queries_checks  # noqa: F401  registers its queries
-from tideline.plans import omop
+from tideline import queries_analyst, queries_checks  # noqa: F401  register their queries
+from tideline.plans import matching, omop
 from tideline.queries import QUERIES
 from tideline.queries_omop import _STEPS, _TO_DETAIL, source
 from tideline.sources.driver_frames import Frames
@@ -45,3 +46,24 @@ def test_roles_need_no_other_doses(spark, monkeypatch):
     want = _rows(QUERIES["o7_infusion_roles"](spark, SMALL))
     monkeypatch.setattr(omop, "CORE", [replace(s, rows=lambda *_: pytest.fail("doses are made and thrown away")) if s.target == "drug_exposure" else s for s in omop.CORE])
     assert _rows(QUERIES["o7_infusion_roles"](spark, SMALL)) == want
+
+
+def test_words_are_taken_once_in_several_tasks(spark, monkeypatch):
+    plans = []
+    keep = matching.staged
+
+    def staged(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(matching, "staged", staged)
+    got = QUERIES["b1_b4_matched_phrases"](spark, SMALL)
+    final = got._jdf.queryExecution().executedPlan().toString()
+    assert "[a-z]+" not in final and len([p for p in plans if "[a-z]+" in p]) == 2
+    assert all("hashpartitioning" in p for p in plans)
+
+
+def test_order_is_found_as_before_where_a_word_is_missing(spark):
+    rows = spark.createDataFrame([(["a", "b"], ["a", "x", "b"], 1.0), (["a", "b"], ["b", "a"], 1.0), (["a", "b"], ["a", "x"], 1.0), (["a", "a"], ["a"], 1.0), (["a"], ["a"], 1.0), (["a", "b"], None, 1.0), ([], ["a"], 1.0)], "p array<string>, t array<string>, score double")
+    got = matching.with_order(rows, F.col("p"), F.col("t"))
+    assert [(r.in_order, r.score) for r in got.collect()] == [(True, 3.0), *[(False, 1.0)] * 6]

@@ -59,6 +59,11 @@ def described(name: Column, description: Column, **tables) -> Column:
     return F.concat(own, own, words(description, **tables))
 
 
+def tokenised(rows: DataFrame, key: str, *columns: Column | str) -> DataFrame:
+    """`columns` of rows, those of `words` among them, written once: stems cost more than what is done with them, so they are made in tasks that rows are dealt to by key, however few files hold them, and never twice."""
+    return staged(rows.repartition(key).select(*columns), "tokens")
+
+
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """doc, word, tf, length: a row for each word of each document."""
     rows = docs.select(F.col(doc), F.explode_outer(tokens).alias("word")).where("word IS NOT NULL").groupBy(doc, "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -127,8 +132,8 @@ def in_order(phrase: Column, tokens: Column, gap: int = 2) -> Column:
 
 
 def with_order(scores: DataFrame, phrase: Column, tokens: Column, bonus: float = 2.0, gap: int = 2) -> DataFrame:
-    """Scores with `in_order`, and `bonus` added where the phrase's words, two at least, stand in order."""
-    found = scores.withColumn("in_order", (F.size(phrase) > 1) & in_order(phrase, tokens, gap))
+    """Scores with `in_order`, and `bonus` added where the phrase's words, two at least, stand in order; the order is only looked for where no word is missing."""
+    found = scores.withColumn("in_order", (F.size(phrase) > 1) & (F.size(F.array_except(phrase, tokens)) == 0) & in_order(phrase, tokens, gap))
     return found.withColumn("score", F.col("score") + F.when(F.col("in_order"), bonus).otherwise(0.0))
 
 

@@ -158,8 +158,8 @@ def b1_b4_matched_phrases(x: Frames) -> DataFrame:
     """Names of parts as phrases against all parts: names count twice, words in order add to the score, a factor by size, the best three."""
     part = x.table("part")
     same = {"spellings": {"colour": "color"}, "abbreviations": {"std": "standard", "promo": "promotional"}, "synonyms": {"tini": "small"}}
-    docs = part.select(F.col("p_partkey").alias("doc"), matching.described(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"), **same).alias("t"), F.when(F.col("p_size") < 25, 1.0).otherwise(0.8).alias("suits"))
-    asked = part.select(F.col("p_name").alias("query")).distinct().withColumn("qt", matching.words(F.col("query"), **same))
+    docs = matching.tokenised(part, "p_partkey", F.col("p_partkey").alias("doc"), matching.described(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"), **same).alias("t"), F.when(F.col("p_size") < 25, 1.0).otherwise(0.8).alias("suits"))
+    asked = matching.tokenised(part.select(F.col("p_name").alias("query")).distinct(), "query", "query", matching.words(F.col("query"), **same).alias("qt"))
     scores = matching.bm25(asked, "query", F.col("qt"), docs, "doc", F.col("t")).join(asked, "query").join(docs, "doc")
     ranked = matching.weighted(matching.with_order(scores, F.col("qt"), F.col("t")), F.col("suits"), 6.0, 3.0)
     return matching.best(ranked, "query", "doc", 3).select("query", "doc", "rank", F.round("score", 6).alias("score"), "in_order", "confidence")
