@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline import queries_analyst, queries_checks  # noqa: F401  register their queries
+from tideline.operators.ids import unnumbered
 from tideline.plans import matching, omop
 from tideline.queries import QUERIES
 from tideline.queries_omop import _STEPS, _TO_DETAIL, source
@@ -67,3 +68,15 @@ def test_order_is_found_as_before_where_a_word_is_missing(spark):
     rows = spark.createDataFrame([(["a", "b"], ["a", "x", "b"], 1.0), (["a", "b"], ["b", "a"], 1.0), (["a", "b"], ["a", "x"], 1.0), (["a", "a"], ["a"], 1.0), (["a"], ["a"], 1.0), (["a", "b"], None, 1.0), ([], ["a"], 1.0)], "p array<string>, t array<string>, score double")
     got = matching.with_order(rows, F.col("p"), F.col("t"))
     assert [(r.in_order, r.score) for r in got.collect()] == [(True, 3.0), *[(False, 1.0)] * 6]
+
+
+@pytest.mark.parametrize("through", [False, True])
+def test_pressures_move_once_and_part_at_the_end(spark, through):
+    t = omop.run(source(Frames(spark, SMALL)), [_STEPS[s] for s in (*_TO_DETAIL, "procedure_occurrence")])
+    more = spark.createDataFrame([("SITE_OBS_SYSTOLIC", "4", 9), ("SITE_OBS_DIASTOLIC", "3", 8)], t["concepts"].schema)  # one code with two concepts, one with a single part
+    rows = lambda t: omop.measurement_pressures(t, unnumbered, through)
+    got, before = rows(t | {"concepts": t["concepts"].unionByName(more)}), rows(t)
+    n = {c: got.where(f"measurement_concept_id = {c}").count() for c in (3004249, 9, 3012888, 8)}
+    assert n[3004249] == n[9] > n[3012888] > 0 == n[8] and got.count() == before.count() + n[9]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_known") < plan.index("Join")  # the plan begins with its last step
