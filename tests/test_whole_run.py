@@ -71,18 +71,39 @@ def test_rows_in_ranges_have_the_numbers_of_a_total_order(spark, shuffled, monke
 def test_rows_in_wrong_partitions_get_no_numbers(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).cast("int").alias("_range")).repartition(4, "id")
     with pytest.raises(ValueError, match="by range"):
-        ids.numbered(df, ["id"], "n", out=["id"], dealt=True)
+        ids.numbered(df, ["id"], "n", out=["id"], dealt=ids.Ranges([20, 40]))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 8, 9])
 def test_places_of_keys(spark, n):
-    ranges = ids.Ranges.__new__(ids.Ranges)
-    ranges.least = [f"k{10 * i}" for i in range(1, n + 1)]
+    ranges = ids.Ranges([f"k{10 * i}" for i in range(1, n + 1)])
     keys = [None, "", "k10", "k100", "k11", "k49", "k50", "k99", "z"]
     got = ranges.placed(spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect()
     assert {r.k: r._range for r in got} == {k: sum(k is not None and b <= k for b in ranges.least) for k in keys}
 
 
+def test_keys_of_a_range_sort_by_what_they_do_not_begin_with_alike(spark):
+    ranges = ids.Ranges(["A001", "A00100", "A0011é", "A0011éz", "A0011é\U0001f600", "B"])
+    keys = [None, "", "A", "A00", "A001", "A0010", "A00100", "A001000", "A0011", "A0011é", "A0011éa", "A0011éy", "A0011éz", "A0011é\uffff", "A0011é\U0001f600", "A2", "B", "Z"]
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k string, n int").repartition(5)
+    got = ids.numbered(ranges.dealt(ranges.placed(df, "k")), ["k"], "id", out=["k", "n"], dealt=ranges).collect()
+    assert sorted((r.id, r.n) for r in got) == [(n + 1, n) for n in range(len(keys))]
+
+
+def test_rows_of_their_own_key_need_no_sample_of_their_joins(spark, monkeypatch):
+    monkeypatch.setattr(ids, "LEAST_IN_RANGE", 11)
+    plans = []
+    keep = ids.staged
+    rows = spark.createDataFrame([((37 * i) % 101 - 50 if i else None, i % 7) for i in range(101)], "given_key long, visit int")
+    monkeypatch.setattr(ids, "staged", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, label))
+    dealt, ranges = omop._by_own_key(rows.join(rows.select("visit").distinct(), "visit"), rows, "given_key", ids.numbered)
+    got = ids.numbered(dealt, ["given_key"], "id", out=["given_key"], dealt=ranges).orderBy("id").collect()
+    assert len(ranges.least) >= 3 and "rangepartitioning" not in plans[0]
+    keys = [r.given_key for r in got]
+    assert [r.id for r in got] == list(range(1, 102)) and keys[0] is None and keys[1:] == sorted(keys[1:])
+    assert omop._by_own_key(rows, rows, "given_key", ids.unnumbered)[1] is None
+
+
 def test_readings_are_read_once_for_several_steps(spark, monkeypatch):
     labels = []
     keep = omop.staged
